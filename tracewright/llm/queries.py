@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.entities import SYSMON, host_form, integer_form
-from tracewright.llm import components, nearest_time, runs
+from tracewright.llm import components, leakage, nearest_time, runs
 from tracewright.operators.timestamps import with_instant
 from tracewright.plans.general import ENTITY_SQL
 from tracewright.plans.tables import entity_rows, table
@@ -34,7 +34,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("first_record").alias("first_record_id"), F.col("last_record").alias("last_record_id"), "n_records")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found}
 
 SQL = {
     "p1_found": f"""WITH {ENTITY_SQL},
