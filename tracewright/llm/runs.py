@@ -112,7 +112,7 @@ def _segments(df: DataFrame, max_gap_us: int, penalty: float, label_weight: floa
             yield from t.combine_chunks().to_batches()
 
         for b in batches:
-            t = pa.Table.from_batches([b])
+            t = pa.Table.from_arrays(b.columns, names=b.schema.names)  # without the batch's nullability
             if joining:  # what is closed already only passes through
                 closed = t.column("closed")
                 yield from t.filter(closed).combine_chunks().to_batches()
