@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.entities import SYSMON, host_form, integer_form
-from tracewright.llm import components, leakage, nearest_time, runs
+from tracewright.llm import components, langid, leakage, nearest_time, runs
 from tracewright.operators.timestamps import with_instant
 from tracewright.plans.general import ENTITY_SQL
 from tracewright.plans.tables import entity_rows, table
@@ -38,7 +38,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.label_cases(table(spark, folder, "documents"), "doc_id", "text", "lang")
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.language_segments(docs, "doc_id", "text", langid.fit(docs, "doc_id", "text", "lang"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found, "p10_segments": p10_segments}
 
 SQL = {
     "p1_found": f"""WITH {ENTITY_SQL},
