@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.entities import SYSMON, host_form, integer_form
-from tracewright.llm import components, langid, leakage, nearest_time, runs
+from tracewright.llm import components, langid, leakage, nearest_time, packing, runs
 from tracewright.operators.timestamps import with_instant
 from tracewright.plans.general import ENTITY_SQL
 from tracewright.plans.tables import entity_rows, table
@@ -34,6 +34,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("first_record").alias("first_record_id"), F.col("last_record").alias("last_record_id"), "n_records")
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
 
@@ -47,7 +51,7 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_segments(docs, "doc_id", "text", langid.fit(docs, "doc_id", "text", "lang"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found, "p10_segments": p10_segments}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_segments": p10_segments}
 
 SQL = {
     "p1_found": f"""WITH {ENTITY_SQL},
