@@ -173,6 +173,10 @@ def passages(words: np.ndarray, counts: np.ndarray, index: Index) -> tuple[np.nd
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
     doc, item, low, high = doc[first], item[first], diagonal[first], diagonal[last]
+    possible = _possible(words, begin, index, doc, item)
+    doc, item, low, high = doc[possible], item[possible], low[possible], high[possible]
+    if not len(doc):
+        return none, none, np.zeros(0)
     out_doc, out_item, out_words = [], [], []
     for k in range(0, len(doc), 4096):
         s = slice(k, k + 4096)
@@ -199,21 +203,49 @@ def _longest(words: np.ndarray, begin: np.ndarray, index: Index, doc: np.ndarray
         hit |= ok
     gain = np.where(hit, 1.0, -MISS) * index.weight[p]
     share = index.share[p]
-    # Best stretch by running sums: one column a place, all alignments at once.
-    width = int(lens.max())
+    return _stretches(row, lens, gain, index.share[p])[0]
+
+
+def _stretches(row: np.ndarray, lens: np.ndarray, gain: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the stretch of the highest gain, words of the longest stretch that never loses all) of each row of ``lens`` entries."""
+    n, width = len(lens), int(lens.max())
     col = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
-    g, s = np.zeros((len(doc), width)), np.zeros((len(doc), width))
-    g[:, :] = -1.0
-    g[row, col], s[row, col] = gain, share
-    run, length, best, words_of = np.zeros(len(doc)), np.zeros(len(doc)), np.zeros(len(doc)), np.zeros(len(doc))
+    g, s = np.full((width, n), -1.0), np.zeros((width, n))  # one line a place, all rows at once
+    g[col, row], s[col, row] = gain, share
+    run, length, best, words_of, longest = (np.zeros(n) for _ in range(5))
     for c in range(width):
-        run, length = run + g[:, c], length + s[:, c]
-        dead = run <= 0
-        run[dead] = 0.0
-        length[dead] = 0.0
+        run = run + g[c]
+        alive = run > 0
+        run, length = run * alive, (length + s[c]) * alive
         better = run > best
         best, words_of = np.where(better, run, best), np.where(better, length, words_of)
-    return words_of
+        np.maximum(longest, length, out=longest)
+    return words_of, longest
+
+
+def _possible(words: np.ndarray, begin: np.ndarray, index: Index, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which alignments can be long enough at all: even if every item word that the document has anywhere stood in its place.
+
+    With more words in place no stretch gets shorter, so nothing is lost. All alignments of
+    a document and item share the answer.
+    """
+    pair, back = np.unique(np.stack([doc, item], 1), axis=0, return_inverse=True)
+    ok = np.zeros(len(pair), bool)
+    v = len(index.vocabulary) + 1
+    step = int(min(4096, max(16, 64_000_000 // v)))
+    for k in range(0, len(pair), step):
+        d, i = pair[k : k + step, 0], pair[k : k + step, 1]
+        own, at = np.unique(d, return_inverse=True)
+        n = begin[own + 1] - begin[own]
+        row = np.repeat(np.arange(len(own)), n)
+        has = np.zeros((len(own), v), bool)
+        has[row, words[np.repeat(begin[own], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]] = True
+        lens = index.begin[i + 1] - index.begin[i]
+        row = np.repeat(np.arange(len(i)), lens)
+        p = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens) + index.begin[i][row]
+        gain = np.where(has[at.ravel()[row], index.words[p]], 1.0, -MISS) * index.weight[p]
+        ok[k : k + step] = _stretches(row, lens, gain, index.share[p])[1] >= index.need[i]
+    return ok[back.ravel()]
 
 
 def rarities(texts: list[str]) -> dict[int, float]:
