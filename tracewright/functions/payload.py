@@ -11,10 +11,20 @@ from tracewright.functions.text import collapse, is_nullish
 from tracewright.schema import PAYLOAD_KEYS
 
 
+def parsed(payload: Column) -> Column:
+    """The payload as a variant; null unless all of it is valid JSON. Where many members are read, keep this in a column of its own."""
+    return F.try_parse_json(payload)
+
+
+def member(variant: Column, key: str) -> Column:
+    """Text of a top-level member of a parsed payload."""
+    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
+    return F.try_variant_get(variant, f"$['{quoted}']", "string")
+
+
 def field(payload: Column, key: str) -> Column:
     """Text of a top-level member; null unless the whole payload is valid JSON (a cut-off payload has no members)."""
-    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(F.try_parse_json(payload), f"$['{quoted}']", "string")
+    return member(parsed(payload), key)
 
 
 def keys_of(name: str, event_id: str | None = None) -> list[str]:
@@ -28,7 +38,9 @@ def keys_of(name: str, event_id: str | None = None) -> list[str]:
 def equals(payload: Column, name: str, value: str, event_id: str | None = None) -> Column:
     """Any key of the field holds ``value``, whatever the case; false for null and for text that is no JSON."""
     wanted = F.lit(value.strip().lower())
-    return reduce(lambda a, b: a | b, [F.coalesce(F.lower(field(payload, k)) == wanted, F.lit(False)) for k in keys_of(name, event_id)])
+    # A payload can hold the value only if its text does, or if something in it is escaped: most are never parsed.
+    may = F.coalesce(F.contains(F.lower(payload), wanted) | F.contains(payload, F.lit("\\")), F.lit(False))
+    return may & reduce(lambda a, b: a | b, [F.coalesce(F.lower(field(payload, k)) == wanted, F.lit(False)) for k in keys_of(name, event_id)])
 
 
 def as_map(payload: Column) -> Column:

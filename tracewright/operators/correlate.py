@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import payload
 from tracewright.functions.text import delta_text, strip_dot0
 from tracewright.schema import LINK_DEFAULT, LINK_RULES, resolve_columns
+from tracewright.session import fresh
 
 # Per entity type the values that are none, and the payload keys in order.
 NO_LOGON = ["0x0", "0x3e7", "0", "999", "0x0:0x0"]
@@ -47,9 +48,10 @@ def extract(df: DataFrame, started: str | None = None) -> DataFrame:
     """
     at = {k: F.col(f"`{c}`") for k, c in resolve_columns(df.columns).items()}
     none = F.lit(None).cast("string")
-    body = at.get("event_data", none)
+    variant = fresh(df.columns, "__payload")
+    df = df.withColumn(variant, payload.parsed(at.get("event_data", none)))
     col = lambda n: at.get(n, none)
-    key = lambda k: F.trim(payload.field(body, k))
+    key = lambda k: F.trim(payload.member(F.col(variant), k))
     by_name = {c.lower(): c for c in df.columns}
     named = lambda *n: F.coalesce(*[F.nullif(F.trim(F.col(f"`{by_name[x]}`")), F.lit("")) for x in n if x in by_name], none)
     found: list[tuple[str, Column]] = []

@@ -266,7 +266,7 @@ def rebuild_nodes(levels: DataFrame) -> DataFrame:
 
 
 def rebuild_fields(levels: DataFrame) -> DataFrame:
-    """(record_id, node_path, field, value) of every scalar: node_path is the nearest array element (else the payload), field the keys from there."""
+    """(record_id, node_path, field, value) of every scalar: node_path is the nearest array element (else the payload), field the keys from there; a scalar element is its own node, with an empty field."""
     return _rebuild(levels.where(~F.endswith("path", F.lit("[]"))), True)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,13 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
 
     Salts are given so that no salt of a key holds much more than ``share`` of the rows.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    found = counts.where(F.col("n") > share * total).limit(int(1 / share) + 1).collect() if total else []
-    rows = [tuple(r)[:-1] + (int(-(-r["n"] // max(1, int(share * total)))),) for r in found]
+    seen = Observation()
+    n = fresh(keys, "n")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).observe(seen, F.sum(n).alias("total"))
+    # One pass: the most frequent keys, as many as can be heavy, and the number of rows on the way.
+    found = counts.orderBy(F.desc(n)).limit(int(1 / share) + 1).collect()
+    limit = share * ((seen.get["total"] or 0) if found else 0)
+    rows = [(*tuple(r)[:-1], int(-(-r[n] // max(1, int(limit))))) for r in found if r[n] > limit]
     schema = df.select(*keys).schema.add(fresh(keys, "salts"), T.IntegerType())
     return df.sparkSession.createDataFrame(rows, schema)
 

@@ -264,10 +264,10 @@ def with_instant(df: DataFrame, text: str, host: Column, zones: DataFrame, out:
     """
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column {out} is there already")
-    key = fresh(df.columns, "__h")
-    lookup = broadcast_if_small(host_zone_lookup(zones), BROADCAST_HOSTS).withColumnRenamed("__host", key)
+    key, zone, locale = (fresh(df.columns, n) for n in ("__h", "__z", "__l"))
+    lookup = broadcast_if_small(host_zone_lookup(zones), BROADCAST_HOSTS).toDF(key, zone, locale)
     joined = df.withColumn(key, host).join(lookup, key, "left")
-    return joined.withColumn(out, instant(F.col(text), F.col("__zone"), F.col("__locale"), zone_tables(zones))).select(*[F.col(f"`{c}`") for c in df.columns], out)
+    return joined.withColumn(out, instant(F.col(text), F.col(zone), F.col(locale), zone_tables(zones))).select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
 def needs_host(text: Column) -> Column:

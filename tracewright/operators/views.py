@@ -67,11 +67,11 @@ def payload_facets(df: DataFrame, body: Column) -> DataFrame:
     cells = []
     for facet, (keys, none) in FACETS.items():
         for k in keys:
-            v = or_null(payload.field(body, k))
+            v = or_null(payload.member(F.col("v"), k))
             v = basename(v) if facet == "processes" else v
             cells.append(F.struct(F.lit(facet).alias("facet"), F.when(~v.isin(none) if none else v.isNotNull(), v).alias("value")))
     found = F.array_distinct(F.filter(F.array(*cells), lambda c: c["value"].isNotNull()))
-    return df.select(F.explode(found).alias("c")).groupBy("c.facet", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(payload.parsed(body).alias("v")).select(F.explode(found).alias("c")).groupBy("c.facet", "c.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dedup_ratio(records: int, templates: int) -> float:
