@@ -41,8 +41,8 @@ def all_strings(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Header row, all strings, quoted line breaks, empty text kept apart from null."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\0")
+    """Header row, all strings, quoted line breaks; CSV knows no null, so what is empty is empty text."""
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', emptyValue="").na.fill("")
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
