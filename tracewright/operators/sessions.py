@@ -38,9 +38,11 @@ def sessions(df: DataFrame, keys: list[str], at_us: str, gap_us: int, counted: s
     block_us = block_us or max(2 * gap_us, 3_600_000_000)
     k = [f"k{i}" for i in range(len(keys))]
     e = df.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(at_us).alias("t"), F.col(counted).cast("string").alias("id")).dropna(subset=[*k, "t"])
-    # Earlier time of the same id, if any; repeated rows go here. Null ids are spread by their time.
+    # Copies go before anything is moved by key: a row repeated any number of times is one row a task here.
+    e = e.distinct()
+    # Earlier time of the same id, if any. Null ids are spread by their time.
     same = Window.partitionBy(*k, F.coalesce("id", F.concat(F.lit("\0"), F.col("t").cast("string")))).orderBy("t")
-    e = e.withColumn("prev", F.lag("t").over(same)).where("prev is null or prev < t").withColumn("block", F.floor(F.col("t") / block_us))
+    e = e.withColumn("prev", F.lag("t").over(same)).withColumn("block", F.floor(F.col("t") / block_us))
     local = _sweep(e, [*k, "block"], "t", F.col("t") + gap_us)
     new = F.col("id").isNotNull() & F.col("prev").isNull()
     # An id seen before the local session counts unless the whole session turns out to reach back to that time.
