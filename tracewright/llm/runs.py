@@ -131,7 +131,8 @@ def _segments(df: DataFrame, max_gap_us: int, penalty: float, label_weight: floa
 def runs(df: DataFrame, entity: Column, at_us: str, order: Column, label: Column, record: str, max_gap_us: int, least: int = 2, penalty: float = 0.5, label_weight: float = 1.0, gap_weight: float = 1.0, block_us: int = 21_600_000_000) -> DataFrame:
     """(entity, label, first_record, last_record, start_us, end_us, duration_us, n_records) of runs of at least ``least`` events."""
     e = df.select(entity.cast("string").alias("entity"), F.floor(F.col(at_us) / block_us).alias("block"), F.lit(0).cast("long").alias("seq"), label.cast("long").alias("label"), F.col(record).cast("string").alias("first_record"), F.col(record).cast("string").alias("last_record"), F.col(at_us).alias("start_us"), F.col(at_us).alias("end_us"), F.lit(1).cast("long").alias("n_records"), F.lit(False).alias("closed"), order.alias("o"))
-    e = e.where("entity is not null and start_us is not null").repartition("entity", "block").sortWithinPartitions("entity", "block", "start_us", "o", "first_record", "label").drop("o")
+    # Copies go before anything is moved by entity: a row repeated any number of times is one row a task here.
+    e = e.where("entity is not null and start_us is not null").distinct().repartition("entity", "block").sortWithinPartitions("entity", "block", "start_us", "o", "first_record", "label").drop("o")
     local = _segments(e, max_gap_us, penalty, label_weight, gap_weight, False)
     # A finished run goes through the second pass untouched, spread by its block; one of too few events ends here.
     rim = local.where(~F.col("closed") | (F.col("n_records") >= least)).repartition("entity", F.when(F.col("closed"), F.col("block")))
