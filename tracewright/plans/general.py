@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import nested, salted, sessions, timestamps
 from tracewright.plans.tables import entity_rows, table
+from tracewright.plans.times_sql import TIMES_SQL, host_sql
 
 SESSION_GAP_US = 1_800_000_000
 
@@ -43,7 +44,30 @@ entities AS (SELECT * FROM ent WHERE entity_type <> '' AND entity_value NOT IN (
              'localhost', 'none', 'null', 'nan', '00000000-0000-0000-0000-000000000000'))
 """
 
+def _read(j: str) -> str:
+    """A JSON string that holds an object or array as that value."""
+    return f"CASE WHEN json_type({j}) = 'VARCHAR' AND regexp_matches({j} ->> '$', '^\\s*[\\[{{]') AND json_valid({j} ->> '$') THEN CAST({j} ->> '$' AS JSON) ELSE {j} END"
+
+
 SQL = {
+    "p2_found": f"""WITH RECURSIVE src AS (SELECT DISTINCT RecordID, 'EventData' AS root, EventData AS t FROM canonical_logs UNION SELECT DISTINCT RecordID, 'UserData', UserData FROM canonical_logs),
+top AS (SELECT RecordID, root, {_read("j")} AS j FROM (SELECT RecordID, root, CAST(t AS JSON) AS j FROM src WHERE json_valid(t))),
+node AS (
+  SELECT RecordID AS record_id, root AS path, root AS parent, root AS up, false AS element, j FROM top WHERE json_type(j) IN ('OBJECT', 'ARRAY')
+  UNION ALL
+  SELECT record_id, p AS path, CASE WHEN element AND json_type(v) = 'OBJECT' THEN p ELSE parent END AS parent, parent AS up, element, v AS j FROM (
+    SELECT record_id, p, parent, element, {_read("v0")} AS v FROM (
+      SELECT record_id, CASE WHEN o THEN path || '.' || k ELSE path || '[' || k || ']' END AS p, parent, NOT o AS element,
+             CASE WHEN o THEN json_extract(j, '$."' || k || '"') ELSE json_extract(j, '$[' || k || ']') END AS v0
+      FROM (SELECT record_id, path, parent, j, json_type(j) = 'OBJECT' AS o,
+                   unnest(CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) ELSE list_transform(range(CAST(json_array_length(j) AS BIGINT)), lambda x: CAST(x AS VARCHAR)) END) AS k FROM node)))
+  WHERE json_type(v) IN ('OBJECT', 'ARRAY'))
+SELECT DISTINCT record_id, path AS node_path, up AS parent_path FROM node WHERE element AND json_type(j) = 'OBJECT'""",
+    "p7_found": rf"""WITH rec AS (SELECT RecordID, min({host_sql('Computer')}) AS host FROM canonical_logs GROUP BY 1),
+texts AS (SELECT DISTINCT 'canonical_logs' AS table_name, RecordID AS row_key, TimeCreated AS text, {host_sql('Computer')} AS host FROM canonical_logs
+  UNION ALL SELECT DISTINCT 'template_instances', CAST(instance_id AS VARCHAR), time_created_utc, host FROM template_instances LEFT JOIN rec ON event_record_id = RecordID),
+{TIMES_SQL}
+SELECT DISTINCT table_name, row_key, utc_us FROM instants WHERE utc_us IS NOT NULL AND NOT regexp_matches(text, '^\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$')""",
     "p4_found": f"""WITH {ENTITY_SQL}
 SELECT entity_type, entity_value, strftime(ts, '%Y-%m-%d') AS day_utc, CAST(count(DISTINCT event_record_id) AS BIGINT) AS n_records
 FROM entities GROUP BY ALL HAVING count(DISTINCT event_record_id) >= 5""",
