@@ -10,6 +10,7 @@ from tracewright.llm import components, langid, leakage, nearest_time, packing,
 from tracewright.operators.timestamps import with_instant
 from tracewright.plans.general import ENTITY_SQL
 from tracewright.plans.tables import entity_rows, table
+from tracewright.plans.times_sql import TIMES_SQL, host_sql
 
 NEAREST_TOLERANCE_US = 120_000_000
 RUN_GAP_US = 600_000_000
@@ -60,4 +61,15 @@ r AS (SELECT * FROM entities WHERE entity_type IN ('ip_address', 'logon_id') AND
 m AS (SELECT l.correlation_id AS a, r.correlation_id AS b, row_number() OVER (PARTITION BY l.correlation_id ORDER BY abs(l.t_us - r.t_us), r.t_us, r.correlation_id) AS n
       FROM l JOIN r ON l.entity_type = r.entity_type AND l.entity_value = r.entity_value AND abs(l.t_us - r.t_us) <= 120000000)
 SELECT least(a, b) AS correlation_id_a, greatest(a, b) AS correlation_id_b FROM m WHERE n = 1""",
+    "p3_found": f"""WITH RECURSIVE {ENTITY_SQL},
+l AS (SELECT DISTINCT event_record_id AS r, entity_type, entity_value FROM entities WHERE entity_type IN ('logon_id', 'activity_id')),
+e AS (SELECT DISTINCT a.r AS a, b.r AS b FROM l a JOIN l b ON a.entity_type = b.entity_type AND a.entity_value = b.entity_value),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT a AS event_record_id, min(b) AS group_id FROM reach GROUP BY a HAVING count(*) > 1""",
+    "p6_found": rf"""WITH texts AS (SELECT DISTINCT RecordID, TimeCreated AS text, TRY_CAST(regexp_replace(trim(EventID), '\.0$', '') AS BIGINT) AS event_id, {host_sql('Computer')} AS host FROM canonical_logs),
+{TIMES_SQL},
+o AS (SELECT *, CAST(RecordID AS BIGINT) AS n FROM instants WHERE utc_us IS NOT NULL AND host IS NOT NULL),
+b AS (SELECT *, CASE WHEN event_id = lag(event_id) OVER w AND utc_us - lag(utc_us) OVER w <= 600000000 THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY host ORDER BY utc_us, n)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY host ORDER BY utc_us, n) AS run FROM b)
+SELECT arg_min(RecordID, (utc_us, n)) AS first_record_id, arg_max(RecordID, (utc_us, n)) AS last_record_id, CAST(count(*) AS BIGINT) AS n_records FROM r GROUP BY host, run HAVING count(*) >= 3""",
 }
