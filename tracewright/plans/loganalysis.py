@@ -387,7 +387,7 @@ def _(spark, folder):
     return correlate.extract(logs(spark, folder).distinct()).select("record_id", "entity_type", "entity_value")
 
 
-@query("process_starts_before")
+@query("process_starts_before", f"WITH {RECORDS_SQL} SELECT RecordID, max(CASE WHEN EventID IN ('1', '4688') THEN TimeCreated END) OVER (PARTITION BY Computer, ProcessID ORDER BY TimeCreated RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS started FROM records")
 def _(spark, folder):
     r = event_records(spark, folder)
     return correlate.with_last_start(r, "Computer", "ProcessID", "TimeCreated", "started").select("RecordID", "started")
@@ -423,7 +423,14 @@ def _(spark, folder):
     return windows.skew_order(event_records(spark, folder), ["Computer"], "t_us", "seq", 60_000_000).select("RecordID", "Computer", "cluster_us", "seq")
 
 
-@query("sliding_windows")
+@query("sliding_windows", f"""WITH RECURSIVE {RECORDS_SQL},
+g AS (SELECT RecordID, Computer, t_us, t_us - lag(t_us) OVER (PARTITION BY Computer ORDER BY t_us, seq) AS gap, seq FROM records),
+i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY Computer ORDER BY t_us, seq) AS n FROM g),
+s AS (SELECT Computer, n, min(t_us) AS a, max(t_us) AS b FROM i GROUP BY ALL),
+f AS (SELECT Computer, n, a AS anchor, b FROM s WHERE n = 1
+  UNION ALL SELECT s.Computer, s.n, CASE WHEN s.a >= f.anchor + 480000000 * ((f.b - f.anchor) // 480000000 + 1) + 600000000 THEN s.a ELSE f.anchor END, s.b FROM f JOIN s ON s.Computer = f.Computer AND s.n = f.n + 1),
+w AS (SELECT i.RecordID, i.Computer, i.t_us, anchor, unnest(range(greatest(0, (i.t_us - anchor) // 480000000 - 1), (i.t_us - anchor) // 480000000 + 1)) AS k FROM i JOIN f ON i.Computer = f.Computer AND i.n = f.n)
+SELECT RecordID, Computer, anchor + k * 480000000 AS window_us FROM w WHERE t_us < anchor + k * 480000000 + 600000000""")
 def _(spark, folder):
     return windows.sliding(event_records(spark, folder), ["Computer"], "t_us").select("RecordID", "Computer", "window_us")
 
