@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import payload
 from tracewright.functions.text import delta_text, strip_dot0
 from tracewright.schema import LINK_DEFAULT, LINK_RULES, resolve_columns
-from tracewright.session import fresh
+from tracewright.session import broadcast_if_small, fresh
 
 # Per entity type the values that are none, and the payload keys in order.
 NO_LOGON = ["0x0", "0x3e7", "0", "999", "0x0:0x0"]
@@ -18,6 +18,8 @@ LOGON_KEYS = ["TargetLogonId", "SubjectLogonId", "LogonId", "TargetLinkedLogonId
 NAME_KEYS = ["TargetUserName", "SubjectUserName", "UserName", "AccountName"]
 SID_KEYS = ["TargetUserSid", "SubjectUserSid", "UserSid"]
 ADDRESS_KEYS = ["IpAddress", "SourceAddress", "ClientAddress", "SourceIP", "ClientIP"]
+#: More entities of an anchor than this are joined by shuffle.
+ANCHOR_ROWS = 50_000
 #: Events that start a process.
 STARTS = ["1", "4688"]
 
@@ -97,8 +99,8 @@ def linked_to(index: DataFrame, anchor: str, overrides: dict[str, int] | None =
     """Records linked to one anchor: best link of each (weight, then entity order), by weight and distance.
 
     ``index``: event_record_id, source_type, event_id, provider, ts (timestamp), entity_type,
-    entity_value, confidence, confidence_weight, correlation_id. The anchor's own rows are a
-    handful and are broadcast behind that bound; an unknown anchor gives no rows.
+    entity_value, confidence, confidence_weight, correlation_id. The anchor's own rows are
+    broadcast if they are few, as they should be; an unknown anchor gives no rows.
     """
     rules = F.broadcast(rule_table(index.sparkSession, overrides))
     mine = index.where(F.col("event_record_id") == anchor).groupBy("entity_type", F.lower("entity_value").alias("v")).agg(F.min("correlation_id").alias("entity_order"), F.min("ts").alias("anchor_ts"))
@@ -110,7 +112,7 @@ def linked_to(index: DataFrame, anchor: str, overrides: dict[str, int] | None =
     # One anchor has one time: the first of its rows.
     mine = mine.withColumn("anchor_ts", F.min("anchor_ts").over(Window.partitionBy(F.lit(1))))
     other = index.where(F.col("event_record_id") != anchor).withColumn("v", F.lower("entity_value"))
-    met = other.join(F.broadcast(mine), ["entity_type", "v"]).withColumn("delta_s", (F.unix_micros("ts") - F.unix_micros("anchor_ts")) / 1e6).where(F.abs("delta_s") <= F.col("window_s"))
+    met = other.join(broadcast_if_small(mine, ANCHOR_ROWS), ["entity_type", "v"]).withColumn("delta_s", (F.unix_micros("ts") - F.unix_micros("anchor_ts")) / 1e6).where(F.abs("delta_s") <= F.col("window_s"))
     best = Window.partitionBy("event_record_id").orderBy(F.desc("confidence_weight"), "entity_order", F.abs("delta_s"), "correlation_id")
     out = met.withColumn("n", F.row_number().over(best)).where("n = 1")
     out = out.withColumn("time_delta", delta_text(F.col("delta_s"))).withColumn("relation", F.concat(F.lit("Shared "), F.initcap(F.replace(F.col("entity_type"), F.lit("_"), F.lit(" "))), F.lit(": `"), "entity_value", F.lit("` ("), "time_delta", F.lit(" in "), F.coalesce("source_type", F.lit("None")), F.lit(")")))
@@ -120,24 +122,24 @@ def linked_to(index: DataFrame, anchor: str, overrides: dict[str, int] | None =
 def link_counts(index: DataFrame, types: list[str], overrides: dict[str, int] | None = None) -> DataFrame:
     """(event_record_id, entity_type, entity_value, n_linked): for every record, how many other records of the entity lie within its window.
 
-    No pair is listed: the rows of an entity in a window around a row are counted by a
-    range frame. The frame runs inside (entity, time block), with the rows of one window
-    before and after the block as context, so a hot entity is spread over its blocks.
+    No pair is listed. The rows up to a time are counted twice for each row, at both ends of
+    its window; the difference is the number inside. Times and window ends run through a
+    cumulative count per (entity, time block), on top of the count of the blocks before, so
+    that an entity of any size is spread over its blocks and the work grows with its rows.
     """
-    rules = {t: int((overrides or {}).get(t, LINK_RULES.get(t, LINK_DEFAULT)[0])) for t in types}
     w_us = F.lit(None).cast("long")
-    for t, s in rules.items():
-        w_us = F.when(F.col("entity_type") == t, F.lit(s * 1_000_000)).otherwise(w_us)
-    rows = index.where(F.col("entity_type").isin(types)).select("entity_type", "entity_value", "event_record_id", "t_us").where("t_us is not null").distinct().withColumn("w", w_us)
-    # Blocks as wide as the window: context lies in the block itself or in one beside it.
-    rows = rows.withColumn("own", F.floor(F.col("t_us") / F.col("w")))
-    spread = rows.select("*", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("block"))
-    by = [F.col("entity_type"), F.col("entity_value"), F.col("block")]
-    parts = []
-    for t, s in rules.items():
-        frame = Window.partitionBy(*by).orderBy("t_us").rangeBetween(-s * 1_000_000, s * 1_000_000)
-        parts.append(spread.where(F.col("entity_type") == t).withColumn("n_linked", F.count(F.lit(1)).over(frame) - 1).where("block = own"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("event_record_id", "entity_type", "entity_value", "t_us", "n_linked")
+    for t in types:
+        w_us = F.when(F.col("entity_type") == t, F.lit(int((overrides or {}).get(t, LINK_RULES.get(t, LINK_DEFAULT)[0])) * 1_000_000)).otherwise(w_us)
+    key, row = ["entity_type", "entity_value"], ["event_record_id", "t_us"]
+    rows = index.where(F.col("entity_type").isin(types)).select(*key, *row).where("t_us is not null").distinct().withColumn("w", w_us)
+    point = lambda at, side, sign: F.struct(at.alias("at"), F.lit(side).alias("side"), F.lit(sign).alias("sign"))
+    # At one time: lower ends first, then the rows themselves, then upper ends; so both ends are inclusive.
+    points = F.array(point(F.col("t_us") - F.col("w"), 0, -1), point(F.col("t_us"), 1, 0), point(F.col("t_us") + F.col("w"), 2, 1))
+    p = rows.withColumn("p", F.explode(points)).select(*key, *row, "p.at", "p.side", "p.sign", F.floor(F.col("p.at") / F.col("w")).alias("block"))
+    is_row = F.when(F.col("sign") == 0, 1).otherwise(0)
+    run = Window.partitionBy(*key, "block").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = p.groupBy(*key, "block").agg(F.sum(is_row).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    counted = p.withColumn("upto", F.sum(is_row).over(run)).where("sign <> 0").join(offsets, [*key, "block"])
+    total = counted.groupBy(*key, *row).agg(F.sum(F.col("sign") * (F.col("upto") + F.col("offset"))).alias("n"))
+    return total.select("event_record_id", *key, "t_us", (F.col("n") - 1).alias("n_linked"))

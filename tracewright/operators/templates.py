@@ -18,11 +18,12 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tracewright.functions.text import capitalize, collapse, family_label, mask, or_null, sequence_text, strip_dot0
+from tracewright.operators.order import numbered_within
 from tracewright.schema import LEVEL_RANK, resolve_columns
 
 WILD = "<*>"
@@ -140,16 +141,15 @@ def mine(records: DataFrame, settings: Settings | None = None) -> DataFrame:
             yield from done()
 
     found = texts.select("channel", "masked", "first", "n_tokens").mapInArrow(run, "channel string, masked string, opened long, template_string string")
-    number = Window.partitionBy("channel").orderBy("opened", "template_string")
-    clusters = found.select("channel", "opened", "template_string").distinct().withColumn("cluster", F.row_number().over(number))
+    clusters = numbered_within(found.select("channel", "opened", "template_string").distinct(), "channel", ["opened", "template_string"], "cluster")
     found = found.join(clusters, ["channel", "opened", "template_string"])
     return records.join(found.select("channel", "masked", "cluster", "template_string"), ["channel", "masked"])
 
 
 def signatures(records: DataFrame) -> DataFrame:
     """``records`` plus cluster and template_string, one cluster for each masked text of a channel: templating without a tree, for checks and first looks."""
-    number = Window.partitionBy("channel").orderBy("opened", "masked")
-    texts = records.groupBy("channel", "masked").agg(F.min("seq").alias("opened")).withColumn("cluster", F.row_number().over(number)).drop("opened")
+    texts = records.groupBy("channel", "masked").agg(F.min("seq").alias("opened"))
+    texts = numbered_within(texts, "channel", ["opened", "masked"], "cluster").drop("opened")
     return records.join(texts, ["channel", "masked"]).withColumn("template_string", F.col("masked"))
 
 

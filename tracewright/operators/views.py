@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import payload
 from tracewright.functions.text import basename, cell, duration_text, is_nullish, or_null, strip_dot0
+from tracewright.operators.order import numbered_rows
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
@@ -95,16 +96,3 @@ def markdown_batches(df: DataFrame, order: list[Column], columns: list[str], siz
     first, last = F.col("batch") * size + 1, F.least((F.col("batch") + 1) * size, F.lit(total))
     title = F.concat(F.lit("### LOG BATCH ["), first.cast("string"), F.lit(" to "), last.cast("string"), F.lit(f" of {total}]\nColumns: {', '.join(columns)}\n\n{head}\n"))
     return g.select("batch", F.concat(title, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text"))
-
-
-def numbered_rows(df: DataFrame, order: list[Column]) -> DataFrame:
-    """``df`` plus ``__n``, its position (from 0) in the order: range-sorted partitions, each numbered from its own offset.
-
-    The sorted table is written to the checkpoint folder first, so that both passes see the same partitions.
-    """
-    from tracewright.session import cut
-
-    sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}))
-    sizes = sorted_.groupBy("__p").agg(F.count(F.lit(1)).alias("c"), F.min("__i").alias("__first"))  # one row a partition
-    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    return sorted_.join(F.broadcast(offsets), "__p").withColumn("__n", F.col("__offset") + F.col("__i") - F.col("__first")).drop("__p", "__i", "__offset", "__first")
