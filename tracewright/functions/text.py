@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewright.schema import EVENT_FAMILIES, MASKS, NULL_WORDS, NULL_WORDS_WIDE
+from tracewright.schema import EVENT_DESCRIPTIONS, EVENT_FAMILIES, MASKS, NULL_WORDS, NULL_WORDS_WIDE
 
 
 def is_nullish(c: Column, wide: bool = True) -> Column:
@@ -64,6 +64,11 @@ def family_label(event_id: Column, source: Column | None = None) -> Column:
     return F.when(known.isNotNull(), F.concat(plain, F.lit(": "), known)).otherwise(other)
 
 
+def description(event_id: Column) -> Column:
+    """One-line description of an event id, null if there is none."""
+    return F.element_at(literal_map(EVENT_DESCRIPTIONS), strip_dot0(event_id))
+
+
 # Fixed value: the DNS name space of UUID version 5.
 _NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
@@ -102,6 +107,18 @@ def token_estimate(c: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
 
 
+def token_count(c: Column, encode) -> Column:
+    """Tokens by any ``encode(text) -> sequence`` that can be sent to the executors; 0 for null or empty text."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("int")
+    def count(t: pd.Series) -> pd.Series:
+        return pd.Series([len(encode(x)) if x else 0 for x in t], dtype="int32")
+
+    return count(c)
+
+
 def html_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import payload
 from tracewright.functions.text import delta_text, strip_dot0
+from tracewright.operators.order import numbered_rows
 from tracewright.schema import LINK_DEFAULT, LINK_RULES, resolve_columns
 from tracewright.session import broadcast_if_small, fresh
 
@@ -89,6 +90,27 @@ def extract(df: DataFrame, started: str | None = None) -> DataFrame:
     return df.select(*head, F.explode(first).alias("e")).select("record_id", "source_type", "event_id", "provider", "time", "e.seq", "e.entity_type", "e.entity_value", "e.confidence", "e.weight")
 
 
+def build_index(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Index rows of the records that ``stored`` has none of: correlation_id (numbered on from the stored ones), entity_type, entity_value, event_record_id, source_type, event_id, provider, time_created_utc, confidence, confidence_weight."""
+    found = extract(records).withColumnRenamed("record_id", "event_record_id").withColumnRenamed("time", "time_created_utc").withColumnRenamed("weight", "confidence_weight")
+    start = 0
+    if stored is not None:
+        found = found.join(stored.select("event_record_id").where("event_record_id is not null").distinct(), "event_record_id", "left_anti")
+        start = stored.agg(F.max("correlation_id")).first()[0] or 0
+    found = numbered_rows(found, [F.col("event_record_id"), F.col("seq"), F.col("entity_value")], "n")
+    return found.select((F.col("n") + start + 1).alias("correlation_id"), "entity_type", "entity_value", "event_record_id", "source_type", "event_id", "provider", "time_created_utc", "confidence", "confidence_weight")
+
+
+#: Least weights that an explorer offers.
+LEAST_WEIGHTS = {"all": 0.2, "high": 0.95, "medium-high": 0.75, "medium": 0.55}
+
+
+def annotate(records: DataFrame, record_id: str, links: DataFrame) -> DataFrame:
+    """``records`` plus link_delta, link_confidence and link_relation of a link to them, null without one."""
+    marks = links.select(F.col("event_record_id").alias("__r"), F.col("time_delta").alias("link_delta"), F.col("confidence").alias("link_confidence"), F.col("relation").alias("link_relation"))
+    return records.join(marks, strip_dot0(F.col(f"`{record_id}`").cast("string")) == F.col("__r"), "left").drop("__r")
+
+
 def rule_table(spark, overrides: dict[str, int] | None = None) -> DataFrame:
     """(entity_type, window_s, label, weight), one row a type."""
     rows = [(t, int((overrides or {}).get(t, w)), label, weight) for t, (w, label, weight) in LINK_RULES.items()]

@@ -116,6 +116,11 @@ def _scorer(ids: list, q: np.ndarray, meta: list | None, k: int, digits: int):
     return run
 
 
+def model_metadata(embedder: Embedder) -> dict:
+    """What an index should say about the vectors in it."""
+    return {"model_name": embedder.name, "dimension": embedder.dimension, "distance": "cosine", "normalised": True}
+
+
 def changed(templates: DataFrame, indexed: DataFrame) -> DataFrame:
     """``templates`` plus ``action``: embed (new, or its text differs), update (only counts or times differ) or skip."""
     old = indexed.select(F.col("template_id").alias("__t"), F.col("text_hash").alias("__h"), F.col("total_count").alias("__n"), F.col("last_seen_utc").alias("__l"))

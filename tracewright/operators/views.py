@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import payload
-from tracewright.functions.text import basename, cell, duration_text, is_nullish, or_null, strip_dot0
+from tracewright.functions.text import basename, cell, description, duration_text, is_nullish, or_null, strip_dot0
 from tracewright.operators.order import numbered_rows
+from tracewright.schema import resolve_columns
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
@@ -75,6 +76,43 @@ def payload_facets(df: DataFrame, body: Column) -> DataFrame:
     return df.select(payload.parsed(body).alias("v")).select(F.explode(found).alias("c")).groupBy("c.facet", "c.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def findings(df: DataFrame, ts: str, scope: int | None = None, templates: int = 0) -> dict:
+    """Figures of a card about matching records: count, span, hosts, users, levels, most frequent events with descriptions, payload values, shares.
+
+    Each figure is an aggregate with a bounded answer; no record reaches the driver.
+    """
+    at = {k: F.col(f"`{c}`") for k, c in resolve_columns(df.columns).items()}
+    none = F.lit(None).cast("string")
+    col = lambda k: at.get(k, none)
+    first = span(df, ts).withColumn("n", F.lit(0)).first()
+    n = df.count()
+    most = [(r["v"], r["n"], r["d"]) for r in top(df, strip_dot0(col("event_id")), "v", 3).withColumn("d", description(F.col("v"))).collect()]
+    values = payload_facets(df, col("event_data"))
+    place = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
+    shown = values.withColumn("r", F.row_number().over(place)).where("r <= 3").orderBy("facet", "r").collect()
+    return {
+        "records": n, "first": first["first_ts"], "last": first["last_ts"], "duration": first["duration"], "hosts": [r["v"] for r in top(df, col("computer"), "v", 2).collect()], "users": [r["v"] for r in top(df, col("user_id"), "v", 3).collect()],
+        "levels": {r["v"]: r["n"] for r in top(df, col("level"), "v", 20).collect()}, "events": most, "providers": [r["v"] for r in top(df, col("provider"), "v", 3).collect()],
+        "payload": {f: [r["value"] for r in shown if r["facet"] == f] for f in FACETS}, "scope_percent": round(n / scope * 100, 2) if scope else 100.0, "dedup_percent": round(dedup_ratio(n, templates), 2),
+    }
+
+
+def card(question: str, f: dict) -> str:
+    """A card in words."""
+    if not f["records"]:
+        return f"### Findings\n\nNo records match: {question.strip()}"
+    events = "; ".join(f"Event {e}{f' ({d})' if d else ''}: {n:,}" for e, n, d in f["events"])
+    lines = [f"Question: {question.strip()}", f"Records: {f['records']:,} ({f['scope_percent']} % of the scope)", f"Span: {f['first']} to {f['last']} ({f['duration']})", f"Hosts: {', '.join(f['hosts']) or 'N/A'}", f"Users: {', '.join(f['users']) or 'N/A'}", "Levels: " + ", ".join(f"{k}: {v:,}" for k, v in f["levels"].items()), f"Events: {events or 'N/A'}"]
+    lines += [f"{k.capitalize()}: {', '.join(v)}" for k, v in f["payload"].items() if v]
+    return "### Findings\n\n" + "\n".join(f"- {x}" for x in lines)
+
+
+def converter_order(record_id: Column, time: Column) -> list[Column]:
+    """Order of converted files: numeric record id; others count as 0 and go by time."""
+    n = strip_dot0(record_id).try_cast("bigint")
+    return [F.coalesce(n, F.lit(0)), F.when(n.isNull(), time)]
+
+
 def dedup_ratio(records: int, templates: int) -> float:
     """Share of records that templates save, in percent."""
     return max(0.0, 1.0 - templates / records) * 100.0 if records and templates else 0.0

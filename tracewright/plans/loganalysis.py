@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from tracewright.functions import payload, text
 from tracewright.functions.entities import integer_form
 from tracewright.operators import correlate, filters, records, templates, vectors, views, windows
+from tracewright.operators.order import numbered_rows
 from tracewright.operators.filters import EntityFilters, QueryFilter, TimeRange
 from tracewright.plans.base import INDEX_SQL, RECORDS_SQL, entity_index, event_records, logs
 from tracewright.plans.parser import parse
 from tracewright.plans.pipeline import Pipeline
 from tracewright.plans.tables import table
-from tracewright.schema import EVENT_FAMILIES, MASKS
+from tracewright.schema import EVENT_DESCRIPTIONS, EVENT_FAMILIES, MASKS
 from tracewright.sources import writers
 
 QUERIES: dict = {}
@@ -233,6 +234,25 @@ def _(spark, folder):
     return views.page(event_records(spark, folder).select("RecordID", "TimeCreated", "Channel"), [views.record_order(F.col("RecordID")).desc()], 3, 50)
 
 
+@query("converter_order", f"WITH {RECORDS_SQL} SELECT RecordID, CAST(row_number() OVER (ORDER BY CAST(RecordID AS BIGINT)) - 1 AS BIGINT) AS place FROM records")
+def _(spark, folder):
+    r = event_records(spark, folder).select("RecordID", "TimeCreated")
+    return numbered_rows(r, views.converter_order(F.col("RecordID"), F.col("TimeCreated")), "place").select("RecordID", "place")
+
+
+@query("event_descriptions", "WITH d(id, label) AS (VALUES " + ", ".join(f"('{k}', '{q(v)}')" for k, v in EVENT_DESCRIPTIONS.items()) + f") SELECT {_PLAIN('EventID')} AS event_id, any_value(label) AS description, CAST(count(*) AS BIGINT) AS n FROM canonical_logs LEFT JOIN d ON {_PLAIN('EventID')} = id GROUP BY 1")
+def _(spark, folder):
+    e = text.strip_dot0(F.col("EventID"))
+    return logs(spark, folder).groupBy(e.alias("event_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("description", text.description(F.col("event_id")))
+
+
+@query("findings_card")
+def _(spark, folder):
+    r = event_records(spark, folder)
+    f = views.findings(r.where("EventID = '4624'"), "ts", r.count())
+    return spark.createDataFrame([(views.card("successful logons", f),)], "card string")
+
+
 @query("first_fifty_in_time", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated FROM records ORDER BY ts, RecordID LIMIT 50")
 def _(spark, folder):
     return filters.run(event_records(spark, folder), QueryFilter(), None, 50, "ts").select("RecordID", "TimeCreated")
@@ -413,6 +433,18 @@ def _(spark, folder):
     return correlate.link_counts(entity_index(spark, folder), ["logon_id", "ip_address"]).select("event_record_id", "entity_type", "entity_value", "n_linked")
 
 
+@query("entity_index_build", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS last_id FROM (" + _extract_sql() + ")")
+def _(spark, folder):
+    built = correlate.build_index(logs(spark, folder).distinct())
+    return built.agg(F.count_distinct("correlation_id").alias("n_rows"), F.max("correlation_id").alias("last_id"))
+
+
+@query("annotated_records", _LINKED_SQL.replace("SELECT event_record_id, entity_type, entity_value, confidence_weight, delta_s FROM m WHERE n = 1 ORDER BY", "SELECT DISTINCT RecordID, CASE WHEN r IS NULL THEN 'none' ELSE 'linked' END AS link FROM canonical_logs LEFT JOIN (SELECT event_record_id AS r FROM m WHERE n = 1 ORDER BY") + ") ON RecordID = r")
+def _(spark, folder):
+    out = correlate.annotate(logs(spark, folder).select("RecordID"), "RecordID", correlate.linked_to(entity_index(spark, folder), _ANCHOR))
+    return out.select("RecordID", F.when(F.col("link_relation").isNull(), "none").otherwise("linked").alias("link")).distinct()
+
+
 # Time windows.
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import payload
 from tracewright.functions.text import html_escape
 from tracewright.operators.records import clean
+from tracewright.operators.views import converter_order
 from tracewright.sources.readers import find_files, read_any, read_evtx
 
 FORMATS = {"csv": ".csv", "json": ".json", "jsonl": ".jsonl", "xml": ".xml"}
@@ -102,6 +103,7 @@ def convert(spark: SparkSession, source: str, target: str | None = None, kind: s
         try:
             os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
             df = read_evtx(spark, [f]) if extension == ".evtx" else clean(read_any(spark, f))
+            df = df.orderBy(*converter_order(F.col("RecordID"), F.col("TimeCreated")))
             out.append((f, path, write_file(df, path, kind), True, None))
         except Exception as e:  # noqa: BLE001 - any failure becomes a row
             out.append((f, path, 0, False, str(e)[:500]))

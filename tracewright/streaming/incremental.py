@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewright.operators import templates
+from tracewright.operators import correlate, templates, vectors
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -74,6 +74,51 @@ class TemplateStore:
         return lambda batch, _: self.add(batch) and None
 
 
+class EntityStore:
+    """The entity index, kept in a folder; records that have entities there are left out when they come again."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def index(self) -> DataFrame | None:
+        return _stored(self.spark, self.path)
+
+    def add(self, records: DataFrame) -> None:
+        correlate.build_index(records, self.index()).write.mode("append").parquet(self.path)
+
+
+class VectorStore:
+    """One vector a template: new or changed texts are embedded, other changes only rewrite their figures, the rest stays.
+
+    Each change is a new version of the folder; the newest one counts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, embedder: vectors.Embedder):
+        self.spark, self.path, self.embedder = spark, path, embedder
+
+    def vectors(self) -> DataFrame | None:
+        t = _stored(self.spark, self.path)
+        return None if t is None else t.where(F.col("v") == t.agg(F.max("v")).first()[0]).drop("v")
+
+    def add(self, templates_: DataFrame) -> dict[str, int]:
+        """Bring the store up to date with a template table; returns how many were embedded, updated and skipped."""
+        old = self.vectors()
+        if old is None:
+            todo = templates_.withColumn("text_hash", F.sha1("template_string")).withColumn("action", F.lit("embed"))
+        else:
+            todo = vectors.changed(templates_, old)
+        done = {r["action"]: r["count"] for r in todo.groupBy("action").count().collect()}
+        if set(done) - {"skip"}:
+            new = vectors.embedded(todo.where("action = 'embed'").drop("action"), "template_string", self.embedder)
+            if old is not None:
+                kept = todo.where("action <> 'embed'").drop("action").join(old.select("template_id", "embedding"), "template_id")
+                gone = old.join(templates_.select("template_id"), "template_id", "left_anti")
+                new = new.unionByName(kept).unionByName(gone, allowMissingColumns=True)
+            version = 0 if old is None else _stored(self.spark, self.path).agg(F.max("v")).first()[0] + 1
+            new.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        return {k: done.get(k, 0) for k in ("embed", "update", "skip")}
+
+
 def append_new(spark: SparkSession, path: str, key: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that appends rows with keys not stored yet."""
 
