@@ -90,9 +90,9 @@ def test_text_forms(spark):
 
 
 def test_summaries(spark):
-    rows = [('{"a": "1", "b": null}', "m", None, "5"), ("[7, 8]", "m", None, "5"), ("plain text", "m", None, "5"), (None, " told\n us ", None, "5"), ("", "", '{"u": 2}', "5"), (None, None, None, "5"), (None, None, None, None)]
+    rows = [('{"a": "1", "b": null}', "m", None, "5"), ("[7, 8]", "m", None, "5"), ('{"a": "1", "b', "m", None, "5"), ("plain text", "m", None, "5"), (None, " told\n us ", None, "5"), ("", "", '{"u": 2}', "5"), (None, None, None, "5"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "e string, m string, u string, t string")
-    assert [r[0] for r in df.select(payload.summary(F.col("e"), F.col("m"), F.col("u"), F.col("t"))).collect()] == ["a=1", "Data1=7, Data2=8", "Data1=plain text", "told us", "u=2", "Task: 5", "-"]
+    assert [r[0] for r in df.select(payload.summary(F.col("e"), F.col("m"), F.col("u"), F.col("t"))).collect()] == ["a=1", "Data1=7, Data2=8", 'Data1={"a": "1", "b', "Data1=plain text", "told us", "u=2", "Task: 5", "-"]
 
 
 def test_lines_and_documents(spark):
@@ -112,9 +112,9 @@ def test_raw_events():
 
 
 def test_clean_replaces_null_words(spark):
-    df = spark.createDataFrame([(" None ", '{"a": null, "b": "NaN", "c": ["null", 1]}', "keep null here")], "recordid string, EventData string, Message string")
+    df = spark.createDataFrame([(" None ", '{"a": null, "b": "NaN", "c": ["null", 1], "d": "x, null, y"}', "keep null here")], "recordid string, EventData string, Message string")
     r = records.clean(df).first()
-    assert r["RecordID"] == "" and r["Message"] == "keep null here" and r["EventData"].replace(" ", "") == '{"a":"","b":"","c":["",1]}' and r["Version"] == ""
+    assert r["RecordID"] == "" and r["Message"] == "keep null here" and r["EventData"].replace(" ", "") == '{"a":"","b":"","c":["",1],"d":"x,null,y"}' and r["Version"] == ""
 
 
 def test_views(spark):

@@ -45,10 +45,11 @@ def equals(payload: Column, name: str, value: str, event_id: str | None = None)
 
 def as_map(payload: Column) -> Column:
     """Payload as a map: an object's members, a list as Data1..n, other text as Data1; null if there is nothing."""
-    t = F.trim(payload)
+    t = F.when(parsed(payload).isNotNull() | ~F.trim(payload).rlike(r"^[\[{]"), F.trim(payload))  # null: looks like JSON, but is none
     listed = F.from_json(t, "array<string>")
     numbered = F.map_from_arrays(F.transform(listed, lambda _, i: F.concat(F.lit("Data"), (i + 1).cast("string"))), listed)
-    return F.when(is_nullish(payload), None).when(F.startswith(t, F.lit("{")), F.coalesce(F.from_json(t, "map<string,string>"), F.create_map(F.lit("Data1"), t))).when(F.startswith(t, F.lit("[")) & listed.isNotNull(), numbered).otherwise(F.create_map(F.lit("Data1"), t))
+    whole = F.create_map(F.lit("Data1"), F.trim(payload))
+    return F.when(is_nullish(payload), None).when(t.isNull(), whole).when(F.startswith(t, F.lit("{")), F.coalesce(F.from_json(t, "map<string,string>"), F.create_map(F.lit("Data1"), t))).when(F.startswith(t, F.lit("[")) & listed.isNotNull(), numbered).otherwise(F.create_map(F.lit("Data1"), t))
 
 
 def summary(event_data: Column, message: Column, user_data: Column, task: Column) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tracewright.functions.text import collapse, is_nullish, or_null, shorten, uuid5
 from tracewright.schema import CANONICAL, CANONICAL_SCHEMA, LEVEL_NAMES, NULL_WORDS
@@ -24,17 +25,42 @@ DOCUMENT_ORDER = [
 ]
 
 
+def without_nulls(text: str | None) -> str | None:
+    """JSON text with nulls and null words as empty texts; anything else as it is."""
+    try:
+        v = json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return text
+
+    def walk(x: object) -> object:
+        if isinstance(x, dict):
+            return {k: walk(y) for k, y in x.items()}
+        if isinstance(x, list):
+            return [walk(y) for y in x]
+        return "" if x is None or isinstance(x, str) and x.strip().lower() in NULL_WORDS else x
+
+    return json.dumps(walk(v), ensure_ascii=False).encode("utf-8", "replace").decode()
+
+
 def clean(df: DataFrame) -> DataFrame:
-    """All canonical columns as trimmed text, missing ones and null words as empty text; null words inside JSON too."""
+    """All canonical columns as trimmed text, missing ones and null words as empty text; in the payload columns also inside JSON.
+
+    Only payloads that look like JSON and hold a null word somewhere are read.
+    """
     have = {c.lower(): c for c in df.columns}
 
+    @pandas_udf("string")
+    def emptied(t: pd.Series) -> pd.Series:
+        return t.map(without_nulls)
+
     def one(c: str) -> Column:
         if c.lower() not in have:
             return F.lit("").alias(c)
         t = F.trim(F.col(f"`{have[c.lower()]}`").cast("string"))
-        # Inside JSON: null and quoted null words after a colon, comma or bracket.
-        inner = F.regexp_replace(t, r'(?i)(?<=[:,\[])(\s*)(?:null|"\s*(?:null|none|nan)\s*")(?=\s*[,}\]])', '$1""')
-        return F.when(is_nullish(t, wide=False), F.lit("")).when(t.rlike(r"^[\[{]"), inner).otherwise(t).alias(c)
+        plain_text = F.when(is_nullish(t, wide=False), F.lit("")).otherwise(t)
+        if c not in LONG:
+            return plain_text.alias(c)
+        return F.when(t.rlike(r"(?is)^[\[{].*(null|none|nan)"), emptied(F.when(t.rlike(r"(?is)^[\[{].*(null|none|nan)"), t))).otherwise(plain_text).alias(c)
 
     return df.select(*[one(c) for c in CANONICAL])
 
