@@ -53,6 +53,8 @@ LONGEST = 4
 BITS = 18
 #: Of the regularised leader: step, its offset, L1, L2; rounds over the sample.
 ALPHA, BETA, L1, L2, ROUNDS = 0.3, 1.0, 0.02, 0.5, 4
+#: Rounds of the models that only judge labels: telling languages apart takes fewer than calibrated weights.
+JUDGE_ROUNDS = 2
 #: Evidence (log odds) that a change of language must bring, and words that a segment must have.
 CHANGE, LEAST_WORDS = 6.0, 7
 
@@ -245,11 +247,11 @@ def train(texts: list[str], labels: list[int], names: list[str], passes: int = P
     x = count * idf[gram] / np.sqrt(np.maximum(np.bincount(row, count, m), 1.0))[row]
     held, fair, every = c.text_of % 5 == 4, np.ones(m, bool), np.arange(m)
 
-    def model_of(use: np.ndarray) -> Model:
+    def model_of(use: np.ndarray, rounds: int) -> Model:
         use = np.flatnonzero(use)
         share = np.bincount(y[use], minlength=k).astype(float)
         balance = np.where(share > 0, share.sum() / (k * np.maximum(share, 1.0)), 0.0)
-        weight, bias = _leader(row, gram, x, y, balance, use, m, k)
+        weight, bias = _leader(row, gram, x, y, balance, use, m, k, rounds)
         return Model((weight * idf[:, None]).astype(np.float32), bias, 1.0, names)
 
     half = (c.text_of // 5) % 2 == 0
@@ -257,20 +259,20 @@ def train(texts: list[str], labels: list[int], names: list[str], passes: int = P
         # Each half of the texts is judged by a model of the other half, which has not seen it.
         p, whole = np.zeros((m, k)), np.zeros((m, k))
         for side in (half, ~half):
-            logits, words = model_of(~side & fair).logits(c)
+            logits, words = model_of(~side & fair, JUDGE_ROUNDS).logits(c)
             p[side] = softmax(logits)[side]
             # A wrong label is wrong for all of its text, which is easier to see than in one sentence.
             told = np.stack([np.bincount(c.text_of, words * np.log(np.maximum(softmax(logits)[:, j], 1e-6))) for j in range(k)], 1)
             whole[side] = told[c.text_of][side]
         fair = (p[every, y] >= 0.5) & (whole.argmax(1) == y)
-    model = model_of(~held & fair)
+    model = model_of(~held & fair, ROUNDS)
     logits, words = model.logits(c)
     known = held & fair & (words >= 3)
     model.temperature = _temperature(logits[known], y[known])
     return model
 
 
-def _leader(row: np.ndarray, gram: np.ndarray, x: np.ndarray, y: np.ndarray, balance: np.ndarray, chosen: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _leader(row: np.ndarray, gram: np.ndarray, x: np.ndarray, y: np.ndarray, balance: np.ndarray, chosen: np.ndarray, m: int, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Follow-the-regularised-leader, per coordinate, in small batches."""
     d = 1 << BITS
     z, n = np.zeros((d + 1, k)), np.zeros((d + 1, k))
@@ -280,7 +282,7 @@ def _leader(row: np.ndarray, gram: np.ndarray, x: np.ndarray, y: np.ndarray, bal
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     rng = np.random.default_rng(7)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         order = rng.permutation(chosen)
         for a in range(0, len(order), 64):
             rows = order[a : a + 64]
