@@ -11,6 +11,7 @@ from tracewright.operators.timestamps import with_instant
 from tracewright.plans.general import ENTITY_SQL
 from tracewright.plans.tables import entity_rows, table
 from tracewright.plans.times_sql import TIMES_SQL, host_sql
+from tracewright.session import cut
 
 NEAREST_TOLERANCE_US = 120_000_000
 RUN_GAP_US = 600_000_000
@@ -18,7 +19,9 @@ RUN_LEAST = 3
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    e = entity_rows(spark, folder).where(F.col("entity_type").isin("ip_address", "logon_id"))
+    # Both sides come from one table and are needed more than once: its few rows of these types are kept instead of read again.
+    e = entity_rows(spark, folder).where(F.col("entity_type").isin("ip_address", "logon_id") & F.col("source_type").isin(*SYSMON, "security"))
+    e = cut(e.select("entity_type", "entity_value", "source_type", "correlation_id", "t_us"))
     met = nearest_time.nearest_in_time(e.where(F.col("source_type").isin(SYSMON)), e.where("source_type = 'security'"), ["entity_type", "entity_value"], "t_us", NEAREST_TOLERANCE_US, "correlation_id")
     return met.select(F.least("left_id", "right_id").alias("correlation_id_a"), F.greatest("left_id", "right_id").alias("correlation_id_b"))
 
