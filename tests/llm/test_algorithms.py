@@ -74,7 +74,11 @@ def brute_groups(links):
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60), st.booleans())
 def test_forest_spans_and_is_no_larger_than_its_nodes(links, hashed):
     a, b = (np.array([f"n{x[i]:02d}" for x in links], object) for i in (0, 1))
-    node, root = components.forest(a, b, hashed)
+    ranks = np.array([hash(("r", x)) % 7 for x in np.concatenate([a, b])], np.int64) if hashed else None
+    node, root, rank = components.forest(a, b, ranks)
+    if hashed:
+        of = dict(zip(node, zip(rank.tolist(), node)))
+        assert all(of[r] <= of[n] for n, r in zip(node, root))
     assert len(node) == len(set(node))
     mine, other = defaultdict(set), defaultdict(set)
     for n, r in zip(node, root):

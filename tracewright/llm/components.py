@@ -49,47 +49,64 @@ def roots_of(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return parent
 
 
-def forest(a: np.ndarray, b: np.ndarray, hashed: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links as (node, root) with a row for each root itself; roots are smallest by text or by hash."""
+def forest(a: np.ndarray, b: np.ndarray, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Spanning forest of the links as (node, root, rank of each node), with a row for each root itself.
+
+    Roots are the smallest nodes of their trees, by ``ranks`` (of all ends of ``a``, then of
+    ``b``; ties by text) if they are given, else by text.
+    """
     codes, names = pd.factorize(np.concatenate([a, b]))
-    if hashed:
-        order = np.lexsort((names, pd.util.hash_array(np.asarray(names, object), categorize=False)))
-    else:
+    names = np.asarray(names, object)
+    if ranks is None:
         order = np.argsort(names, kind="stable")
-    rank = np.empty(len(names), np.int64)
-    rank[order] = np.arange(len(names))
-    codes = rank[codes]
+    else:
+        of = np.zeros(len(names), np.int64)
+        of[codes] = ranks
+        order = np.lexsort((names, of))
+        ranks = of[order]
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    codes = place[codes]
     root = roots_of(codes[: len(a)], codes[len(a) :], len(names))
-    names = np.asarray(names, object)[order]
-    return names, names[root]
+    names = names[order]
+    return names, names[root], ranks
 
 
 def _forests(links: DataFrame, hashed: bool, max_links: int) -> DataFrame:
-    """(node, root) of each partition's spanning forest."""
+    """(node, root) of each partition's spanning forest; roots are smallest by text, or by Spark's hash if ``hashed``."""
+    if hashed:
+        links = links.select("a", "b", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"))
     schema = pa.schema([("node", pa.string()), ("root", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = root = np.zeros(0, object)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.zeros(0, np.int64)
+        held: list[list[np.ndarray]] = []
         n = 0
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            return forest(np.concatenate([node, *[x for x, _ in held]]), np.concatenate([root, *[y for _, y in held]]), hashed)
+        def fold() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b = np.concatenate([node, *[h[0] for h in held]]), np.concatenate([root, *[h[1] for h in held]])
+            if not hashed:
+                return (*forest(a, b)[:2], rank)
+            at = pd.Index(node).get_indexer(root)  # every root is a node of its own
+            return forest(a, b, np.concatenate([rank, *[h[2] for h in held], rank[at], *[h[3] for h in held]]))
 
         def out() -> Iterator[pa.RecordBatch]:
             for i in range(0, len(node), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 50_000], pa.string()), pa.array(root[i : i + 50_000], pa.string())], schema=schema)
 
         for batch in batches:
-            held.append((np.asarray(batch.column(0).to_pylist(), object), np.asarray(batch.column(1).to_pylist(), object)))
+            ends = [np.asarray(batch.column(i).to_pylist(), object) for i in (0, 1)]
+            held.append(ends + [batch.column(i).to_numpy() for i in (2, 3)] if hashed else ends)
             n += batch.num_rows
             if n >= max(200_000, len(node)):  # fold in steps that keep pace with the forest, so that folding stays linear
-                (node, root), held, n = fold(), [], 0
+                (node, root, rank), held, n = fold(), [], 0
                 if len(node) > max_links:
                     yield from out()
                     node = root = np.zeros(0, object)
+                    rank = np.zeros(0, np.int64)
         if held:
-            node, root = fold()
+            node, root, rank = fold()
         yield from out()
 
     return links.mapInArrow(run, "node string, root string")
@@ -115,12 +132,8 @@ def components(links: DataFrame, a: str, b: str, max_links: int = MAX_LINKS) ->
         if n == 0:
             break
         if n <= max_links:
-            # The last level: one forest. Its order no longer matters for progress.
-            todo = todo.coalesce(1)
-            again = hashed
-            hashed = False
-            levels.append(_forests(todo, False, 2 * max_links).select("node", F.col("root").alias("low")))
-            hashed = again
+            # The last level: one forest of at most two nodes a link.
+            levels.append(_forests(todo.coalesce(1), False, 2 * max_links).select("node", F.col("root").alias("low")))
             break
         hashed = True
         order = lambda c: F.struct(F.xxhash64(c), F.col(c))
