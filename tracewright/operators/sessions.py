@@ -7,7 +7,8 @@ so that neighbours exactly one gap apart stay together.
 A key may hold any share of the rows: the sweep runs over (key, time block) first and
 turns each block into its local sessions, then over the few local sessions of a key. The
 second sweep sees at most (time span / gap + blocks) rows of a key, however many events
-it has.
+it has. Ids that come back in a later session travel with its row until the session's
+final start is known; ids of one session only, like record ids, never do.
 
 Defined results: rows with null key parts or time are left out; repeated rows count once;
 an id that is seen at several times counts once in each session; null ids keep a session
