@@ -85,9 +85,10 @@ def extract(df: DataFrame, started: str | None = None) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(t).alias("entity_type"), v.alias("entity_value"), F.lit(rules[t][1]).alias("confidence"), F.lit(rules[t][2]).alias("weight")) for i, (t, v) in enumerate(found)])
     good = F.filter(cells, lambda e: e["entity_value"].isNotNull() & (e["entity_value"] != "") & ~F.lower(e["entity_value"]).isin("nan", "none", "null"))
     # Of equal entities of a record the first stays: no shuffle, the record has them all.
-    first = F.filter(good, lambda e: ~F.exists(good, lambda o: (o["seq"] < e["seq"]) & (o["entity_type"] == e["entity_type"]) & (F.lower(o["entity_value"]) == F.lower(e["entity_value"]))))
+    # The list is a column of its own, built once a record and not once an element.
+    first = F.filter("found", lambda e: ~F.exists("found", lambda o: (o["seq"] < e["seq"]) & (o["entity_type"] == e["entity_type"]) & (F.lower(o["entity_value"]) == F.lower(e["entity_value"]))))
     head = [strip_dot0(col("record_id")).alias("record_id"), col("channel").alias("source_type"), strip_dot0(col("event_id")).alias("event_id"), col("provider").alias("provider"), col("time").alias("time")]
-    return df.select(*head, F.explode(first).alias("e")).select("record_id", "source_type", "event_id", "provider", "time", "e.seq", "e.entity_type", "e.entity_value", "e.confidence", "e.weight")
+    return df.select(*head, good.alias("found")).select("record_id", "source_type", "event_id", "provider", "time", F.explode(first).alias("e")).select("record_id", "source_type", "event_id", "provider", "time", "e.seq", "e.entity_type", "e.entity_value", "e.confidence", "e.weight")
 
 
 def build_index(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
