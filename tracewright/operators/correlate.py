@@ -158,7 +158,7 @@ def link_counts(index: DataFrame, types: list[str], overrides: dict[str, int] |
     point = lambda at, side, sign: F.struct(at.alias("at"), F.lit(side).alias("side"), F.lit(sign).alias("sign"))
     # At one time: lower ends first, then the rows themselves, then upper ends; so both ends are inclusive.
     points = F.array(point(F.col("t_us") - F.col("w"), 0, -1), point(F.col("t_us"), 1, 0), point(F.col("t_us") + F.col("w"), 2, 1))
-    p = rows.withColumn("p", F.explode(points)).select(*key, *row, "p.at", "p.side", "p.sign", F.floor(F.col("p.at") / F.col("w")).alias("block"))
+    p = rows.withColumn("p", F.explode(points)).select(*key, *row, "p.at", "p.side", "p.sign", F.floor(F.col("p.at") / F.greatest(F.col("w"), F.lit(1))).alias("block"))
     is_row = F.when(F.col("sign") == 0, 1).otherwise(0)
     run = Window.partitionBy(*key, "block").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
