@@ -46,6 +46,7 @@ def test_nearest_edges(spark):
     a = spark.createDataFrame([("k", 100, 1), ("k", 111, 2)], "k string, t long, id long")
     b = spark.createDataFrame([("k", 90, 9), ("k", 110, 8), ("k", 110, 7), ("k", 90, 10)], "k string, t long, id long")
     assert sorted(map(tuple, nearest_time.nearest_in_time(a, b, ["k"], "t", 10, "id").collect())) == [(1, 9, 10), (2, 7, 1)]
+    assert [tuple(x) for x in nearest_time.nearest_in_time(a, a.withColumn("id", F.col("id") + 10), ["k"], "t", 0, "id").orderBy("left_id").collect()] == [(1, 11, 0), (2, 12, 0)]
     assert nearest_time.nearest_in_time(a.limit(0), b, ["k"], "t", 10, "id").count() == 0
     assert nearest_time.nearest_in_time(a, b.limit(0), ["k"], "t", 10, "id").count() == 0
 

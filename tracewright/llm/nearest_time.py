@@ -10,7 +10,7 @@ their partner through their time at the end; that join has one partner row a (ke
 so a hot time can be split.
 
 Defined results: rows with null key parts or time have no partner; the tolerance is
-inclusive; of equally near rows the earlier one wins, then the smaller id; repeated rows
+inclusive and may be 0; of equally near rows the earlier one wins, then the smaller id; repeated rows
 count once; an empty side gives an empty table; further columns play no part.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], at_us: str, tolerance_us: int, row_id: str) -> DataFrame:
     """(left_id, right_id, distance_us) for every left row that has a right row of equal ``keys`` near enough."""
     k = [f"k{i}" for i in range(len(keys))]
-    bucket = F.floor(F.col("t") / tolerance_us).alias("bucket")
+    bucket = F.floor(F.col("t") / max(tolerance_us, 1)).alias("bucket")
 
     def shape(df: DataFrame) -> DataFrame:
         return df.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(at_us).alias("t"), F.col(row_id).alias("id")).dropna(subset=[*k, "t", "id"])
