@@ -92,6 +92,29 @@ def test_leaks_are_found_and_look_alikes_are_not(spark):
     assert leakage.leaked(d, i.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_one_changed_rare_word_in_a_shortest_passage():
+    kinds = ["a privilege grant lasting N minutes outside the P calendar", "a refused ticket with code N next to a granted one", "a chain of N short sessions that all lead back to P"]
+    r = random.Random(3)
+    names = ["quill", "fenview", "latchd", "umbauth", "brkload", "vrelay", "gnmail", "kcmd"]
+    fill = lambda: r.choice(kinds).replace("N", str(r.randrange(10_000))).replace("P", r.choice(names))
+    texts = [f"The trace of host{r.randrange(10_000)} begins with {fill()} while {r.choice(names)}{r.randrange(10_000)} answers for desk {r.randrange(10_000)} under ticket {r.randrange(10_000)}" for _ in range(120)]
+    index = leakage.build_index(texts, leakage.rarities(texts))
+
+    def found(words):
+        h = word_hashes([" ".join(words)])[0]
+        place = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
+        numbers = np.where(index.vocabulary[place] == h, place + 1, 0).astype(np.int32)
+        return set(leakage.passages(numbers, np.array([len(h)]), index)[1].tolist())
+
+    for i in range(120):
+        w = texts[i].split()
+        passage, k = w[-12:], 4
+        assert passage[k][-1].isdigit()
+        assert i in found([*passage[:k], "different", *passage[k + 1 :]]), i
+        # Another scenario: the same words, other particulars.
+        assert not found([f"other{k}" if x[-1].isdigit() or x in names else x for k, x in enumerate(w)]), i
+
+
 def test_several_passes_over_the_items_give_the_same(spark, monkeypatch):
     items = make_items()
     docs = spark.createDataFrame([(k, t) for k, t in items], "doc_id long, text string")

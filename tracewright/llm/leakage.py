@@ -14,6 +14,12 @@ other particulars loses the words that matter. A leak is a passage of at least
 ``LEAST_SHARE`` of the item's words and at least ``LEAST_WORDS`` words; one word less is
 let through, as a changed word at the end of a passage shortens it.
 
+So dear a miss would cut a short passage at a single changed word. A stretch with enough
+words in their places is therefore a passage as well if they are evidence enough: what a
+word in place tells is its surprise, given the words before it as the other items have
+them. The fixed words of a scenario tell next to nothing, its particulars a lot. Here a
+miss whose neighbours match costs ``CHANGED``, however rare the word.
+
 Layout, case, accents, look-alike letters, invisible characters and mark-up do not matter.
 Null and blank texts or items give no rows; items without words of their own are never
 found; repeated rows count once; ids may be any type; an empty side gives an empty table.
@@ -39,6 +45,10 @@ BLOCK = 2
 LEAST_SHARE = 1 / 3
 LEAST_WORDS = 12
 MISS = 3.0
+#: Evidence (natural logarithm of odds) that a single changed word costs, and that a stretch with changed words must have.
+CHANGED, EVIDENT = 2.5, 6.0
+#: Words before a word that may foretell it.
+BEFORE = 3
 #: Words to and fro that an aligned word may be off its diagonal; hits further apart are different alignments.
 SLACK, APART = 3, 8
 #: Characters of items that one search index may hold; more items mean more passes over the documents.
@@ -70,6 +80,8 @@ class Index:
     begin: np.ndarray  # where each item starts in words
     share: np.ndarray  # part of a word as written that each entry is (an address has several)
     weight: np.ndarray
+    surprise: np.ndarray  # what each entry tells in its place
+    written: np.ndarray  # number of the word as written that each entry is of
     need: np.ndarray  # words that a passage of the item must have
     shift: np.ndarray  # by block hash
     bucket: np.ndarray  # sorted hashes of the distinct patterns
@@ -91,15 +103,45 @@ def _suffix(windows: np.ndarray) -> np.ndarray:
     return h
 
 
-def build_index(texts: list[str], rarity: dict[int, float]) -> Index:
-    hashes, shares, begin = [], [], [0]
+def surprises(texts: list[str], rarity: dict[int, float]) -> list[np.ndarray]:
+    """For each word of each text: its weight, or less if other texts have it too behind one of the ``BEFORE`` words before it."""
+    hashes = [word_hashes(t.split())[0] for t in texts]
+    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    vocabulary, words = np.unique(flat, return_inverse=True)
+    out = np.array([rarity[int(x)] for x in vocabulary] or [0.0])[words] if len(flat) else np.zeros(0)
+    item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
+    for d in range(1, BEFORE + 1):
+        at = np.arange(d, len(flat))
+        at = at[item[at] == item[at - d]]
+        pair = words[at - d].astype(np.int64) * len(vocabulary) + words[at]
+        both, before = _texts_with(pair, item[at]) - 1, _texts_with(words[at - d], item[at]) - 1  # in other texts
+        known = both > 0
+        out[at[known]] = np.minimum(out[at[known]], np.log(before[known] / both[known]))
+    return np.split(out, np.cumsum([len(h) for h in hashes])[:-1])
+
+
+def _texts_with(key: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """For each entry, the number of items that have its key."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    _, key = np.unique(key, return_inverse=True)
+    pairs = np.unique(key.astype(np.int64) * (int(item.max()) + 1) + item)
+    return np.bincount(pairs // (int(item.max()) + 1))[key]
+
+
+def build_index(texts: list[str], rarity: dict[int, float], surprise: list[np.ndarray] | None = None) -> Index:
+    hashes, shares, written, begin = [], [], [], [0]
     for text in texts:
         h, n = word_hashes(text.split())
         hashes.append(h)
         shares.append(np.repeat(1.0 / np.maximum(n, 1), n))
+        written.append(np.repeat(np.arange(len(n)), n))
         begin.append(sum(map(len, hashes)))
+    surprise = surprises(texts, rarity) if surprise is None else surprise
     flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     share = np.concatenate(shares) if shares else np.zeros(0)
+    tells = np.concatenate(surprise) if surprise else np.zeros(0)
+    written_ = np.concatenate(written) if written else np.zeros(0, np.int64)
     vocabulary = np.unique(flat)
     words = (np.searchsorted(vocabulary, flat) + 1).astype(np.int32)
     begin = np.array(begin, np.int64)
@@ -120,7 +162,7 @@ def build_index(texts: list[str], rarity: dict[int, float]) -> Index:
     rank[order] = np.arange(len(order))
     which = rank[which.ravel()]
     by = np.argsort(which, kind="stable")
-    return Index(vocabulary, words, begin, share, by_word[words - 1] if len(words) else np.zeros(0), need, shift, bucket[order], distinct[order], ends[by], np.searchsorted(which[by], np.arange(len(order) + 1)), item_of)
+    return Index(vocabulary, words, begin, share, by_word[words - 1] if len(words) else np.zeros(0), tells, written_, need, shift, bucket[order], distinct[order], ends[by], np.searchsorted(which[by], np.arange(len(order) + 1)), item_of)
 
 
 def search(words: np.ndarray, counts: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +231,7 @@ def passages(words: np.ndarray, counts: np.ndarray, index: Index) -> tuple[np.nd
 
 
 def _longest(words: np.ndarray, begin: np.ndarray, index: Index, doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Words of the best stretch of each alignment (diagonals ``low`` to ``high``)."""
+    """Words of the best stretch of each alignment (diagonals ``low`` to ``high``), at least those needed if its words in place are evident."""
     a, b = index.begin[item], index.begin[item + 1]
     lens = b - a
     row = np.repeat(np.arange(len(doc)), lens)
@@ -202,8 +244,55 @@ def _longest(words: np.ndarray, begin: np.ndarray, index: Index, doc: np.ndarray
         ok[ok] = words[t[ok]] == want[ok]
         hit |= ok
     gain = np.where(hit, 1.0, -MISS) * index.weight[p]
+    w = _stretches(row, lens, gain, index.share[p])[0]
+    need = index.need[item]
+    return np.where(_evident(row, lens, p, hit, index, need, w < need), np.maximum(w, need), w)
+
+
+def _evident(row: np.ndarray, lens: np.ndarray, p: np.ndarray, hit: np.ndarray, index: Index, need: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether a stretch of each row that is ``asked`` for has ``need`` words in place and evidence of ``EVIDENT``; ``hit``: entries ``p`` that are in place."""
+    share = hit * index.share[p]
+    # All words in place together are the most that a stretch can have.
+    asked = asked & (np.bincount(row, share, len(lens)) >= need - 1e-9) & (np.bincount(row, share * index.surprise[p], len(lens)) >= EVIDENT)
+    out, keep = np.zeros(len(lens), bool), asked[row]
+    if asked.any():
+        out[asked] = _evidence((np.cumsum(asked) - 1)[row[keep]], lens[asked], p[keep], hit[keep], index, need[asked]) >= EVIDENT
+    return out
+
+
+def _evidence(row: np.ndarray, lens: np.ndarray, p: np.ndarray, hit: np.ndarray, index: Index, need: np.ndarray) -> np.ndarray:
+    """The most evidence of any stretch of each row with ``need`` words in place; minus infinity if that is below ``EVIDENT`` anyway."""
     share = index.share[p]
-    return _stretches(row, lens, gain, index.share[p])[0]
+    start = np.cumsum(lens) - lens
+    # The neighbours of a word as written, which may be several entries.
+    edge = np.concatenate([[True], (row[1:] != row[:-1]) | (index.written[p[1:]] != index.written[p[:-1]])])
+    first = np.flatnonzero(edge)
+    last = np.append(first[1:], len(p)) - 1
+    of = np.cumsum(edge) - 1
+    whole = np.add.reduceat(hit, first, dtype=np.int64) == last - first + 1
+    single = ~whole & (first > start[row[first]]) & (last < (start + lens - 1)[row[last]])
+    single[single] = hit[first[single] - 1] & hit[last[single] + 1]
+    # Parts that a changed word has kept tell nothing.
+    gain = np.where(whole[of], index.surprise[p] * share, np.where(hit | single[of], 0.0, -np.maximum(CHANGED, MISS * index.weight[p])))
+    gain[first[single]] = -CHANGED
+    n, width = len(lens), int(lens.max())
+    col = np.arange(len(row)) - start[row]
+    sums, placed = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+    sums[col + 1, row], placed[col + 1, row] = gain, hit * share
+    np.cumsum(sums, axis=0, out=sums)
+    least = np.minimum.accumulate(sums, axis=0)
+    most = (sums - least).max(axis=0)
+    go = np.flatnonzero(most >= EVIDENT)  # the others stay below whatever the number of words
+    out = np.full(n, -np.inf)
+    sums, least, placed, need = sums[:, go], least[:, go], placed[:, go].cumsum(axis=0), need[go]
+    best, k, each = np.full(len(go), -np.inf), np.full(len(go), -1), np.arange(len(go))
+    for c in range(1, width + 1):
+        while (more := placed[k + 1, each] <= placed[c] - need + 1e-9).any():  # k: the last start that leaves words enough
+            k = k + more
+        found = k >= 0
+        best[found] = np.maximum(best[found], sums[c, found] - least[k[found], each[found]])
+    out[go] = best
+    return out
 
 
 def _stretches(row: np.ndarray, lens: np.ndarray, gain: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +315,7 @@ def _stretches(row: np.ndarray, lens: np.ndarray, gain: np.ndarray, share: np.nd
 def _possible(words: np.ndarray, begin: np.ndarray, index: Index, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Which alignments can be long enough at all: even if every item word that the document has anywhere stood in its place.
 
-    With more words in place no stretch gets shorter, so nothing is lost. All alignments of
+    With more words in place no stretch gets shorter or less evident, so nothing is lost. All alignments of
     a document and item share the answer.
     """
     pair, back = np.unique(np.stack([doc, item], 1), axis=0, return_inverse=True)
@@ -243,8 +332,10 @@ def _possible(words: np.ndarray, begin: np.ndarray, index: Index, doc: np.ndarra
         lens = index.begin[i + 1] - index.begin[i]
         row = np.repeat(np.arange(len(i)), lens)
         p = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens) + index.begin[i][row]
-        gain = np.where(has[at.ravel()[row], index.words[p]], 1.0, -MISS) * index.weight[p]
-        ok[k : k + step] = _stretches(row, lens, gain, index.share[p])[1] >= index.need[i]
+        hit = has[at.ravel()[row], index.words[p]]
+        gain = np.where(hit, 1.0, -MISS) * index.weight[p]
+        long = _stretches(row, lens, gain, index.share[p])[1] >= index.need[i]
+        ok[k : k + step] = long | _evident(row, lens, p, hit, index, index.need[i], ~long)
     return ok[back.ravel()]
 
 
@@ -265,6 +356,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
     rows = items.where(F.col(item_text).isNotNull()).select(item_id, item_text).distinct().orderBy(item_id, item_text).collect()
     texts = [" ".join(s) for s in own_sentences([r[1] for r in rows])]
     rarity = rarities(texts)
+    surprise = surprises(texts, rarity)
     d, i = docs.schema[doc_id].dataType, items.schema[item_id].dataType
     schema = T.StructType([T.StructField(doc_id, d), T.StructField(item_id, i)])
     passes: list[list[int]] = [[]]
@@ -278,13 +370,13 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
     src = docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text))
     out = None
     for chosen in passes:
-        part = src.mapInArrow(_searcher([texts[k] for k in chosen], [rows[k][0] for k in chosen], rarity, doc_id, item_id), schema)
+        part = src.mapInArrow(_searcher([texts[k] for k in chosen], [rows[k][0] for k in chosen], rarity, [surprise[k] for k in chosen], doc_id, item_id), schema)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 
-def _searcher(texts: list[str], ids: list, rarity: dict[int, float], doc_id: str, item_id: str):
-    index = build_index(texts, rarity)
+def _searcher(texts: list[str], ids: list, rarity: dict[int, float], surprise: list[np.ndarray], doc_id: str, item_id: str):
+    index = build_index(texts, rarity, surprise)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
