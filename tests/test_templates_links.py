@@ -62,6 +62,21 @@ def test_levels_times_and_merge(spark):
     assert templates.rollup(templates.mine(prepared(spark, rows).limit(0))).count() == 0
 
 
+def test_drain_queries_mine_the_payload(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tracewright.plans.loganalysis import QUERIES
+    from tracewright.schema import CANONICAL
+
+    texts = [("Job done", '{"a": "alpha"}'), ("Job done", '{"completely": "different", "second": "member"}'), (None, "payload only"), (None, "quite another payload text"), ("Job done", None)]
+    rows = [dict.fromkeys(CANONICAL) | {"RecordID": str(i), "TimeCreated": "2026-09-15T10:00:00Z", "EventID": "1", "Channel": "System", "Provider": "P", "Message": m, "EventData": d} for i, (m, d) in enumerate(texts)]
+    pq.write_table(pa.Table.from_pylist(rows, pa.schema([(c, pa.string()) for c in CANONICAL])), str(tmp_path / "canonical_logs.parquet"))
+    t = {r["template_string"] for r in QUERIES["drain_templates"](spark, str(tmp_path)).collect()}
+    assert len(t) == 5 and {"Job done", "payload only", "quite another payload text"} <= t and sum("| Payload:" in x for x in t) == 2
+    assert len({r["template_id"] for r in QUERIES["drain_instances"](spark, str(tmp_path)).collect()}) == 5
+
+
 def test_colliding_record_ids_do_not_multiply(spark):
     df = spark.createDataFrame([("1", "Security", 0), ("1", "System", 1), ("1", "Application", 2)], "RecordID string, Channel string, uid long")
     inst = spark.createDataFrame([(0, "1", "T1"), (1, "1", "T1"), (2, "1", "T2")], "instance_id long, event_record_id string, template_id string")

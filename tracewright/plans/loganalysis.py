@@ -302,10 +302,10 @@ def _(spark, folder):
     return logs(spark, folder).where("Message is not null").select(text.mask(text.collapse(F.col("Message"))).alias("masked")).groupBy("masked").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _prepared(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages of all records, exact copies once; the sequence is the numeric record id."""
-    df = logs(spark, folder).select("RecordID", "TimeCreated", "EventID", "LevelName", "Channel", "Provider", "Message").distinct()
-    return templates.prepared(df, integer_form(F.col("RecordID")), payload_too=False)
+def _prepared(spark: SparkSession, folder: str, payload_too: bool = False) -> DataFrame:
+    """Messages of all records, and payloads where asked for, exact copies once; the sequence is the numeric record id."""
+    df = logs(spark, folder).select("RecordID", "TimeCreated", "EventID", "LevelName", "Channel", "Provider", "Message", *["EventData"] * payload_too).distinct()
+    return templates.prepared(df, integer_form(F.col("RecordID")), payload_too=payload_too)
 
 
 _WIDE = lambda c: f"CASE WHEN {c} IS NULL OR lower(trim({c})) IN {_WORDS} THEN NULL ELSE trim({c}) END"
@@ -351,12 +351,12 @@ def _(spark, folder):
 
 @query("drain_templates")
 def _(spark, folder):
-    return templates.rollup(templates.mine(_prepared(spark, folder)))
+    return templates.rollup(templates.mine(_prepared(spark, folder, payload_too=True)))
 
 
 @query("drain_instances")
 def _(spark, folder):
-    return templates.instances(templates.mine(_prepared(spark, folder)))
+    return templates.instances(templates.mine(_prepared(spark, folder, payload_too=True)))
 
 
 @query("template_variables")
