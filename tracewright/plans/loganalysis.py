@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +17,7 @@ from tracewright.plans.parser import parse
 from tracewright.plans.pipeline import Pipeline
 from tracewright.plans.tables import table
 from tracewright.schema import EVENT_DESCRIPTIONS, EVENT_FAMILIES, MASKS
+from tracewright.session import scratch_folder
 from tracewright.sources import writers
 
 QUERIES: dict = {}
@@ -618,9 +618,7 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 def _finished(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all input there is; its result as a table in the checkpoint folder."""
-    from tracewright.session import ensure_checkpoint_dir
-
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    base = scratch_folder(spark, "stream")
 
     def save(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/n={n}")

@@ -3,28 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting a temporary one only where the session names none."""
+    """The checkpoint folder: the session's own, else that of ``spark.checkpoint.dir``; on a local master also a temporary one.
+
+    Other masters have no folder that all machines see unless they name one, so without it
+    this is an error. What is written there is compressed, and removed by Spark's cleaner as
+    soon as nothing refers to it any more, unless the session says otherwise.
+    """
     sc = spark.sparkContext
+    conf = sc._jsc.sc().conf()
+    conf.setIfMissing("spark.checkpoint.compress", "true")
+    conf.setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewright-"))
+    sc.setCheckpointDir(checkpoint_root(sc.master, sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def checkpoint_root(master: str, named: str | None) -> str:
+    """Where checkpoints may go."""
+    if named:
+        return named
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="tracewright-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, removed when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions of a shuffle as the session sets them, one at least."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
