@@ -10,11 +10,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.session import fresh
+from tracewright.session import fresh, parallelism
+
+
+#: Part of the rows that heavy keys are looked for in.
+SAMPLE = 0.1
+#: Least number of parts that the work is meant to fall into.
+LEAST_PARTS = 500
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -33,9 +39,18 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def with_salt(df: DataFrame, keys: list[str], spread: Column, share: float, salt: str) -> DataFrame:
-    """``df`` plus ``salt``: 0 for ordinary keys, else a hash of ``spread`` below the key's number of salts."""
-    heavy = heavy_keys(df, keys, share)
+def default_share(spark: SparkSession) -> float:
+    """Share of the rows from which on a key is heavy: half of what a shuffle partition would get if all were equal."""
+    return 1.0 / max(LEAST_PARTS, 2 * parallelism(spark))
+
+
+def with_salt(df: DataFrame, keys: list[str], spread: Column, share: float | None, salt: str) -> DataFrame:
+    """``df`` plus ``salt``: 0 for ordinary keys, else a hash of ``spread`` below the key's number of salts.
+
+    Heavy keys are looked for in a sample of the rows. Which keys count as heavy decides how
+    the work is spread, never a result: salts depend on key and ``spread`` alone.
+    """
+    heavy = heavy_keys(df.select(*keys).sample(SAMPLE, seed=7), keys, share or default_share(df.sparkSession))
     names = {k: fresh(df.columns, f"__{i}k") for i, k in enumerate(keys)}
     n = fresh(df.columns, "__n")
     heavy = heavy.toDF(*[names[k] for k in keys], n)
@@ -44,7 +59,7 @@ def with_salt(df: DataFrame, keys: list[str], spread: Column, share: float, salt
     return salted.drop(n, *names.values())
 
 
-def salted_distinct(df: DataFrame, keys: list[str], per: list[str], counted: str, out: str, share: float = 0.002) -> DataFrame:
+def salted_distinct(df: DataFrame, keys: list[str], per: list[str], counted: str, out: str, share: float | None = None) -> DataFrame:
     """Number of distinct, non-null ``counted`` for each ``keys + per``; ``keys`` are those that may be heavy.
 
     An empty input gives an empty table; null keys form a group of their own; repeated rows count once.
@@ -59,7 +74,7 @@ def salted_distinct(df: DataFrame, keys: list[str], per: list[str], counted: str
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
-def salted_aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, str]], share: float = 0.002) -> DataFrame:
+def salted_aggregate(df: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, str]], share: float | None = None) -> DataFrame:
     """``aggregates``: output name -> (count | sum | min | max, column or ``*``), per ``keys``, in two salted stages.
 
     Equal to one plain ``groupBy``; an empty input gives an empty table, null keys form a group.

@@ -17,8 +17,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    e = entity_rows(spark, folder).where("t_us is not null").withColumn("day_utc", F.date_from_unix_date(F.floor(F.col("t_us") / 86_400_000_000).cast("int")).cast("string"))
-    return salted.salted_distinct(e, ["entity_type", "entity_value"], ["day_utc"], "event_record_id", "n_records").where("n_records >= 5")
+    e = entity_rows(spark, folder).withColumn("day_utc", F.date_from_unix_date(F.floor(F.col("t_us") / 86_400_000_000).cast("int")).cast("string"))
+    return salted.salted_distinct(e, ["entity_type", "entity_value"], ["day_utc"], "event_record_id", "n_records").where("day_utc is not null and n_records >= 5")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
