@@ -63,6 +63,13 @@ CASES = [
     ("", None, False, None),
     (None, None, False, None),
     ("1" * 70, None, False, None),
+    ("7/4/1968 12:00:00 PM", "America/New_York", True, us(1968, 7, 4, 16)),
+    ("7/4/2101 12:00:00 PM", "America/New_York", True, us(2101, 7, 4, 16)),
+    ("1/4/2101 12:00:00 PM", "America/New_York", True, us(2101, 1, 4, 17)),
+    ("7/4/2950 12:00:00 PM", "Europe/Berlin", True, us(2950, 7, 4, 10)),
+    ("2014-10-06" + " " * 90 + "00:03:07", None, False, us(2014, 10, 6, 0, 3, 7)),
+    ("2014-10-06T00:03:07.123456789012 America/Argentina/ComodRivadavia", None, False, us(2014, 10, 6, 3, 3, 7, 123456)),
+    ("x" * 5000, None, False, None),
     ("13/13/2014 00:00:00", "UTC", True, None),
 ]
 
@@ -85,7 +92,7 @@ def test_each_mask_is_compiled_once():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.integers(0, 2**31 - 1), st.sampled_from(["Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kolkata", "UTC"]))
+@given(st.integers(-4 * 10**9, 4 * 10**10), st.sampled_from(["Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kolkata", "Africa/Casablanca", "UTC"]))
 def test_wall_times_like_the_zone_library(s, zone):
     wall = (datetime(1970, 1, 1) + timedelta(seconds=s)).replace(tzinfo=ZoneInfo(zone))
     assert int(wall_to_utc(np.array([s]), transitions(zone))[0]) == s - int(wall.utcoffset().total_seconds())
@@ -94,6 +101,10 @@ def test_wall_times_like_the_zone_library(s, zone):
 def test_tables_are_versioned(spark):
     t = zone_tables(spark.createDataFrame([("Europe/Berlin",), (None,), ("No/Such",)], "time_zone string"))
     assert t["#version"] == tz_version() and "Europe/Berlin" in t and "No/Such" not in t
+    named = "2014-10-06 00:00:00 Asia/Tokyo"
+    assert parse([named], [None], [False], t)[1][0]
+    with pytest.raises(RuntimeError):
+        parse([named], [None], [False], t | {"#version": "other"})
 
 
 ZONES = [("H1", "Europe/Berlin", "de-DE"), ("h2.corp", "America/New_York", "en-US"), ("h1", "Europe/Berlin", "de-DE"), (None, "UTC", "en-US"), ("h3", None, None)]

@@ -7,8 +7,7 @@ and wall times go through versioned zone transition tables.
 
 Defined results:
 
-* null, blank, unknown shape, impossible fields (month 13, 25 h, day 31 in June),
-  texts over ``MAX_CHARS`` characters: null;
+* null, blank, unknown shape, impossible fields (month 13, 25 h, day 31 in June): null;
 * a text with zone, offset or a count from a fixed epoch means just that;
 * year-month-day with dashes or compact, without zone: UTC;
 * anything else without zone: wall time of the row's zone, day and month in the order
@@ -34,8 +33,8 @@ from tracewright.functions.entities import host_form
 from tracewright.functions.zones import transitions, tz_version, wall_to_utc
 from tracewright.session import broadcast_if_small, fresh
 
-#: No notation is longer; longer texts have no instant.
-MAX_CHARS = 64
+#: No notation is longer, white space runs apart; longer texts have no instant.
+MAX_CHARS = 96
 #: Locales that write the month before the day.
 MONTH_FIRST = ("en-us", "en-ph", "es-pa", "es-pr")
 #: More host rows than this are joined by shuffle instead of broadcast.
@@ -105,15 +104,16 @@ def compile_mask(mask: str) -> Layout | None:
 def _codes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points, one row a text (zero-filled), and which texts are usable."""
     stripped = [x.strip() if isinstance(x, str) else "" for x in texts]
+    stripped = [x if len(x) <= MAX_CHARS else " ".join(x.split()) for x in stripped]
     ok = np.array([0 < len(x) <= MAX_CHARS and "\0" not in x for x in stripped], bool)
     kept = [x if k else "" for x, k in zip(stripped, ok)]
-    wide = np.array(kept, dtype=f"U{MAX_CHARS}")
-    return wide.view(np.uint32).reshape(len(kept), MAX_CHARS), ok
+    width = max(1, *map(len, kept)) if kept else 1  # as wide as the longest text of the batch
+    return np.array(kept, dtype=f"U{width}").view(np.uint32).reshape(len(kept), width), ok
 
 
 def _masks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     classes = np.where(codes < 0x10000, _CLASS[np.minimum(codes, 0xFFFF)], ord("?")).astype(np.uint8)
-    return np.unique(np.ascontiguousarray(classes).view(f"S{MAX_CHARS}").ravel(), return_inverse=True)
+    return np.unique(np.ascontiguousarray(classes).view(f"S{classes.shape[1]}").ravel(), return_inverse=True)
 
 
 def _number(codes: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -216,7 +216,11 @@ def parse(texts: Iterable[str | None], zones: Iterable[str | None], month_first:
 def _from_walls(seconds: np.ndarray, zones: np.ndarray, tables: dict) -> tuple[np.ndarray, np.ndarray]:
     known, out = np.zeros(len(seconds), bool), seconds.copy()
     for z in {z for z in zones if isinstance(z, str)}:
-        table = tables.get(z) or transitions(z)
+        table = tables.get(z)
+        if table is None:  # named in a text and in no row of the zone table
+            if tables.get("#version", tz_version()) != tz_version():
+                raise RuntimeError(f"zone data {tz_version()} here, {tables['#version']} on the driver")
+            table = transitions(z)
         if table is not None:
             rows = np.flatnonzero(zones == z)
             out[rows], known[rows] = wall_to_utc(seconds[rows], table), True
@@ -224,7 +228,7 @@ def _from_walls(seconds: np.ndarray, zones: np.ndarray, tables: dict) -> tuple[n
 
 
 def zone_tables(zones: DataFrame, zone: str = "time_zone") -> dict:
-    """Transition tables of all zones named in ``zones``, under the key ``#version`` the version of the zone data.
+    """Transition tables of all zones named in ``zones``; under the key ``#version`` the version of the zone data, which the tasks' own must be.
 
     The number of distinct zone names is bounded by the zone data base itself; more than
     ``MAX_ZONES`` names mean that the column holds something else.
