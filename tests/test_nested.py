@@ -44,39 +44,74 @@ def walk(v, path, parent, out):
                 walk(x, p, parent, out)
 
 
-def by_levels(v, leaves):
+def by_levels(v):
     """The same from the level sequences of the shredded value."""
     out = []
-    for path, most, rep, de, _ in shred_value(v, "P", leaves):
+    for path, most, nodes, rep, de, _ in shred_value(v, "P"):
         steps = path.split(SEP)
-        if steps[-1] != "[]":
-            continue
-        at = indices(np.array(rep), steps.count("[]"))
-        cut = max((i for i in range(len(steps) - 1) if steps[i] == "[]" and steps[i + 1] != "[]"), default=0)
+        arrays = [i for i, s in enumerate(steps) if s == "[]"]
+        at = indices(np.array(rep), len(arrays)).tolist()
 
         def name(n, idx):
             idx = iter(idx)
             return "".join(f"[{next(idx)}]" if s == "[]" else s for s in steps[:n])
 
-        out += [(name(len(steps), i), name(cut + 1, i)) for i, d in zip(at.tolist(), de) if d == most]
+        for level, need in enumerate(nodes, 1):
+            if need:
+                i = arrays[level - 1]
+                up = max((a for a in arrays if a < i and steps[a + 1] != "[]"), default=0)
+                out += [(name(i + 1, x), name(up + 1, x)) for x, r, d in zip(at, rep, de) if r <= level and d >= need]
     return out
 
 
+def leaves(v, path, out):
+    """Brute force: (path, text) of all scalars."""
+    v = held(v)
+    if isinstance(v, dict):
+        for k, x in v.items():
+            leaves(x, f"{path}.{k}", out)
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            leaves(x, f"{path}[{i}]", out)
+    elif v is not None:
+        out.append((path, v if isinstance(v, str) else json.dumps(v)))
+
+
 @settings(max_examples=300, deadline=None)
 @given(VALUES)
 def test_levels_give_back_the_nodes(v):
     expected: list = []
     walk(v, "P", "P", expected)
     if isinstance(held(v), (dict, list)):
-        assert sorted(by_levels(held(v), False)) == sorted(expected)
-        assert sorted(by_levels(held(v), True)) == sorted(expected)
+        assert sorted(by_levels(held(v))) == sorted(expected)
+
+
+@settings(max_examples=200, deadline=None)
+@given(VALUES)
+def test_levels_give_back_the_values(v):
+    if not isinstance(held(v), (dict, list)):
+        return
+    expected: list = []
+    leaves(v, "P", expected)
+    got = []
+    for path, most, _, rep, de, values in shred_value(held(v), "P"):
+        if values is None:
+            continue
+        steps = [s for s in path.split(SEP) if s != "$"]
+        for i, d, text in zip(indices(np.array(rep), steps.count("[]")).tolist(), de, values):
+            if d == most:
+                idx = iter(i)
+                got.append(("".join(f"[{next(idx)}]" if s == "[]" else s for s in steps), text))
+    assert sorted(got) == sorted(expected)
 
 
 def test_levels_of_a_known_record():
     v = {"a": [{"b": [1, 2]}, {}, {"b": []}, None, {"b": [3]}]}
-    got = {p.replace(SEP, ""): (most, rep, de, val) for p, most, rep, de, val in shred_value(v, "P")}
-    assert got["P.a[]"] == (3, [0, 1, 1, 1, 1], [3, 3, 3, 2, 3], None)
-    assert got["P.a[].b[]$"] == (5, [0, 2, 1, 1, 1, 1], [5, 5, 2, 3, 2, 5], ["1", "2", None, None, None, "3"])
+    got = {p.replace(SEP, ""): (most, nodes, rep, de, val) for p, most, nodes, rep, de, val in shred_value(v, "P")}
+    # The values' column stands for the objects above it as well: 3 from where an element is an object.
+    assert got == {"P.a[].b[]$": (6, [3, 0], [0, 2, 1, 1, 1, 1], [6, 6, 3, 4, 2, 6], ["1", "2", None, None, None, "3"])}
+    got = {p.replace(SEP, ""): (most, nodes, rep, de, val) for p, most, nodes, rep, de, val in shred_value({"a": [{}, 5, {"b": None}]}, "P")}
+    assert got == {"P.a[]{}": (3, [3], [0, 1, 1], [3, 2, 3], None), "P.a[]$": (3, [0], [0, 1, 1], [2, 3, 2], [None, "5", None])}
 
 
 PAYLOADS = [
@@ -116,3 +151,15 @@ def test_long_and_deep_payloads(spark):
 def test_read_json_rules():
     assert read_json('"\\"{}\\""') == {}
     assert read_json("12") is None and read_json("nan") is None and read_json(None) is None
+
+
+def test_five_thousand_nested_pairs(spark):
+    n = 5_000
+    text = '{"a":[' * n + "1" + "]}" * n
+    # So deep a value only: the paths of all of its objects together are long.
+    v = read_json(text)
+    nodes = [x for _, _, nodes, *_ in shred_value(v, "P") for x in nodes]
+    assert sum(x > 0 for x in nodes) == n - 1
+    df = spark.createDataFrame([("d", '{"a":[' * 2_000 + "1" + "]}" * 2_000), ("e", '[{"x": 1}]')], "id string, P string")
+    got = {r["record_id"]: r["count"] for r in child_objects(df, "id", ["P"]).groupBy("record_id").count().collect()}
+    assert got == {"d": 1_999, "e": 1}

@@ -16,6 +16,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.child_objects(table(spark, folder, "canonical_logs"), "RecordID", ["EventData", "UserData"])
 
 
+def p2_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.child_fields(table(spark, folder, "canonical_logs"), "RecordID", ["EventData", "UserData"])
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     e = entity_rows(spark, folder).withColumn("day_utc", F.date_from_unix_date(F.floor(F.col("t_us") / 86_400_000_000).cast("int")).cast("string"))
     return salted.salted_distinct(e, ["entity_type", "entity_value"], ["day_utc"], "event_record_id", "n_records").where("day_utc is not null and n_records >= 5")
@@ -30,7 +34,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return timestamps.resolved_notations(*[table(spark, folder, t) for t in ("canonical_logs", "template_instances", "host_zones")])
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_fields": p2_fields, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 
 #: Entity rows in normal form, as text to put in front of a query.
 ENTITY_SQL = r"""
@@ -63,6 +67,17 @@ node AS (
                    unnest(CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) ELSE list_transform(range(CAST(json_array_length(j) AS BIGINT)), lambda x: CAST(x AS VARCHAR)) END) AS k FROM node)))
   WHERE json_type(v) IN ('OBJECT', 'ARRAY'))
 SELECT DISTINCT record_id, path AS node_path, up AS parent_path FROM node WHERE element AND json_type(j) = 'OBJECT'""",
+    "p2_fields": f"""WITH RECURSIVE src AS (SELECT DISTINCT RecordID, 'EventData' AS root, EventData AS t FROM canonical_logs UNION SELECT DISTINCT RecordID, 'UserData', UserData FROM canonical_logs),
+top AS (SELECT RecordID, root, {_read("j")} AS j FROM (SELECT RecordID, root, CAST(t AS JSON) AS j FROM src WHERE json_valid(t))),
+node AS (
+  SELECT RecordID AS record_id, root AS path, root AS owner, '' AS field, j FROM top WHERE json_type(j) IN ('OBJECT', 'ARRAY')
+  UNION ALL
+  SELECT record_id, p AS path, CASE WHEN o THEN owner ELSE p END AS owner, CASE WHEN NOT o THEN '' WHEN field = '' THEN k ELSE field || '.' || k END AS field, {_read("v0")} AS j FROM (
+    SELECT record_id, owner, field, o, k, CASE WHEN o THEN path || '.' || k ELSE path || '[' || k || ']' END AS p,
+           CASE WHEN o THEN json_extract(j, '$."' || k || '"') ELSE json_extract(j, '$[' || k || ']') END AS v0
+    FROM (SELECT record_id, path, owner, field, j, json_type(j) = 'OBJECT' AS o,
+                 unnest(CASE json_type(j) WHEN 'OBJECT' THEN json_keys(j) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(j) AS BIGINT)), lambda x: CAST(x AS VARCHAR)) END) AS k FROM node)))
+SELECT record_id, owner AS node_path, field, j ->> '$' AS value FROM node WHERE json_type(j) NOT IN ('OBJECT', 'ARRAY', 'NULL')""",
     "p7_found": rf"""WITH rec AS (SELECT RecordID, min({host_sql('Computer')}) AS host FROM canonical_logs GROUP BY 1),
 texts AS (SELECT DISTINCT 'canonical_logs' AS table_name, RecordID AS row_key, TimeCreated AS text, {host_sql('Computer')} AS host FROM canonical_logs
   UNION ALL SELECT DISTINCT 'template_instances', CAST(instance_id AS VARCHAR), time_created_utc, host FROM template_instances LEFT JOIN rec ON event_record_id = RecordID),
