@@ -12,8 +12,10 @@ within words, the score of a distinct word is worked out once a batch and summed
 sentences; every document is read whole.
 
 Segments: an optimal path over the sentences pays for each change of language, so that a
-segment needs enough evidence of its own (:func:`segments`). A document's languages are
-those of its segments.
+segment needs evidence of its own (:func:`segments`), and enough of it over the languages
+beside it (:func:`merge_weak`): not the number of its words but their calibrated odds decide.
+A document's languages are those of its segments. The languages told apart are those that the labels name often enough
+(``LEAST_SHARE``); text of any other language gets the one it is most like.
 
 Defined results: null and blank texts, and texts without natural words, have no language and
 no rows; a segment's confidence is the calibrated probability of its language over its words;
@@ -29,43 +31,49 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spellings of language labels (two letters, three letters, English name).
+# Spellings of language labels (two letters, then three letters and the English name).
 SPELLINGS = {
-    "en": ["en", "eng", "english"],
-    "de": ["de", "deu", "ger", "german"],
-    "fr": ["fr", "fra", "fre", "french"],
-    "es": ["es", "spa", "spanish"],
-    "it": ["it", "ita", "italian"],
-    "nl": ["nl", "nld", "dut", "dutch"],
-    "pt": ["pt", "por", "portuguese"],
-    "ru": ["ru", "rus", "russian"],
-}
-LANGUAGES = list(SPELLINGS)
-
-#: Documents of each label and characters of a document that training may use.
+    "ar": ["ara", "arabic"], "bg": ["bul", "bulgarian"], "ca": ["cat", "catalan"], "cs": ["ces", "cze", "czech"],
+    "da": ["dan", "danish"], "de": ["deu", "ger", "german"], "el": ["ell", "gre", "greek"], "en": ["eng", "english"],
+    "es": ["spa", "spanish"], "et": ["est", "estonian"], "fa": ["fas", "per", "persian"], "fi": ["fin", "finnish"],
+    "fr": ["fra", "fre", "french"], "he": ["heb", "hebrew"], "hi": ["hin", "hindi"], "hr": ["hrv", "croatian"],
+    "hu": ["hun", "hungarian"], "id": ["ind", "indonesian"], "it": ["ita", "italian"], "ja": ["jpn", "japanese"],
+    "ko": ["kor", "korean"], "lt": ["lit", "lithuanian"], "lv": ["lav", "latvian"], "nl": ["nld", "dut", "dutch"],
+    "no": ["nor", "nb", "nob", "norwegian"], "pl": ["pol", "polish"], "pt": ["por", "portuguese"], "ro": ["ron", "rum", "romanian"],
+    "ru": ["rus", "russian"], "sk": ["slk", "slo", "slovak"], "sl": ["slv", "slovenian"], "sr": ["srp", "serbian"],
+    "sv": ["swe", "swedish"], "th": ["tha", "thai"], "tr": ["tur", "turkish"], "uk": ["ukr", "ukrainian"],
+    "vi": ["vie", "vietnamese"], "zh": ["zho", "chi", "chinese"],
+}
+
+#: Documents of each language and characters of a document that training may use.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
+#: Of all labelled documents, the share that a label needs to be a language of the model: rarer ones are as likely wrong.
+LEAST_SHARE = 0.005
+#: The sample is drawn this many times as large as wanted, as some of it will not do.
+DRAWN = 2
 #: Fits in a row, each on the sentences that the one before does not contradict.
-PASSES = 3
+PASSES = 4
+#: Share of the held-out sentences whose label may be wrong after all passes.
+LABEL_NOISE = 0.002
 LONGEST = 4
 BITS = 18
 #: Of the regularised leader: step, its offset, L1, L2; rounds over the sample.
 ALPHA, BETA, L1, L2, ROUNDS = 0.3, 1.0, 0.02, 0.5, 4
 #: Rounds of the models that only judge labels: telling languages apart takes fewer than calibrated weights.
 JUDGE_ROUNDS = 2
-#: Evidence (log odds) that a change of language must bring, and words that a segment must have.
-CHANGE, LEAST_WORDS = 6.0, 7
+#: Evidence (log odds) that a change of language must bring.
+CHANGE = 3.0
+#: Evidence that a segment must have over the language beside it, however many words it has.
+CERTAIN = 6.0
 
 
 def label_code(c: Column) -> Column:
-    """Two-letter code of a label in any spelling (case, region, three letters, English name); null if it names none of ``LANGUAGES``."""
+    """Two-letter code of a label in any spelling (case, region, three letters, English name); null if it names no language of ``SPELLINGS``."""
     base = F.regexp_extract(F.lower(F.trim(c)), r"^([a-z]+)(?:[-_].*)?$", 1)
-    out = F.lit(None).cast("string")
-    for code, forms in SPELLINGS.items():
-        out = F.when(base.isin(forms), F.lit(code)).otherwise(out)
-    return out
+    return F.element_at(F.create_map(*[F.lit(x) for code, forms in SPELLINGS.items() for f in (code, *forms) for x in (f, code)]), base)
 
 
 # Character classes.
@@ -306,25 +314,37 @@ def _leader(row: np.ndarray, gram: np.ndarray, x: np.ndarray, y: np.ndarray, bal
 
 
 def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least log loss on held-out sentences."""
+    """The temperature with the least log loss on held-out sentences, without the worst ``LABEL_NOISE`` of them: some labels are still wrong."""
     if not len(y):
         return 1.0
     grid = np.exp(np.linspace(np.log(0.5), np.log(10.0), 40))  # never sharper than twice: the held-out part is small
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
+    worst = int(np.ceil(LABEL_NOISE * len(y)))
+    loss = [np.sort(-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)))[: len(y) - worst].mean() for t in grid]
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, label: str, per_label: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model | None:
-    """Model from at most ``per_label`` documents a label (those of smallest hash) of at most ``chars`` characters each."""
+def fit(docs: DataFrame, doc_id: str, text: str, label: str, per_label: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, least_share: float = LEAST_SHARE) -> Model | None:
+    """Model of the languages that the labels name, from at most ``per_label`` documents of each (those of smallest hash) of at most ``chars`` characters.
+
+    Labels are counted first, without the texts. Their numbers give the part of the hashes
+    that holds about ``DRAWN`` times the documents wanted, and the scan lets only these pass:
+    what leaves it has the size of the sample, however many tasks there are.
+    """
     code = label_code(F.col(label))
-    few = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), code.alias("c"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h")).where((F.col("c").isNotNull()) & (F.length("t") <= chars))
-    w = Window.partitionBy("c").orderBy("h", "t")
-    rows = few.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_label).select("t", "c").collect()
-    rows = sorted({(r[0], r[1]) for r in rows}, key=lambda r: (hash_text(r[0]), r[1]))
-    if not rows:
+    counts = {r["c"]: r["n"] for r in docs.groupBy(code.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect() if r["c"]}
+    names = sorted(c for c, n in counts.items() if n >= least_share * sum(counts.values()))
+    if not names:
         return None
-    texts, y = [r[0] for r in rows], [LANGUAGES.index(r[1]) for r in rows]
-    return train(texts, y, LANGUAGES)
+    span = 1 << 40
+    limits = F.create_map(*[F.lit(x) for c in names for x in (c, int(span * min(1.0, DRAWN * per_label / counts[c])))])
+    few = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), code.alias("c"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"))
+    drawn = few.where((F.pmod("h", F.lit(span)) < F.element_at(limits, F.col("c"))) & (F.length("t") <= chars)).distinct().collect()
+    rows: set[tuple[str, str]] = set()
+    for c in names:
+        mine = sorted((r["h"] % span, r["t"]) for r in drawn if r["c"] == c)
+        rows |= {(t, c) for _, t in mine[:per_label]}
+    rows = sorted(rows, key=lambda r: (hash_text(r[0]), r[1]))
+    return train([r[0] for r in rows], [names.index(r[1]) for r in rows], names)
 
 
 def hash_text(t: str) -> int:
@@ -394,8 +414,7 @@ def analyse(model: Model, texts: list[str]) -> list[tuple[int, int, str, float,
         return []
     p = softmax(np.concatenate(logits) / model.temperature)
     words, text_of, begin, end = np.concatenate(words), np.concatenate(text_of), np.concatenate(begin), np.concatenate(end)
-    # A sentence's evidence is that of its words; a short one has little of it.
-    log_p = np.log(np.maximum(p, 1e-9)) * np.minimum(1.0, words / 6.0)[:, None]
+    log_p = np.log(np.maximum(p, 1e-9))
     bounds = np.searchsorted(text_of, np.arange(len(texts) + 1))
     out = []
     top = p.argmax(1)
@@ -404,7 +423,7 @@ def analyse(model: Model, texts: list[str]) -> list[tuple[int, int, str, float,
         if (top[a:b] == top[a]).all():
             found = [(0, b - a - 1, int(top[a]))]
         else:
-            found = merge_short(segments(log_p[a:b]), words[a:b], log_p[a:b])
+            found = merge_weak(segments(log_p[a:b]), words[a:b], log_p[a:b])
         for s, (i, j, lang) in enumerate(found):
             w = words[a + i : a + j + 1]
             conf = float(np.average(p[a + i : a + j + 1, lang], weights=w))
@@ -412,19 +431,24 @@ def analyse(model: Model, texts: list[str]) -> list[tuple[int, int, str, float,
     return out
 
 
-def merge_short(parts: list[tuple[int, int, int]], words: np.ndarray, log_p: np.ndarray) -> list[tuple[int, int, int]]:
-    """Segments of fewer than ``LEAST_WORDS`` words join a neighbour."""
+def merge_weak(parts: list[tuple[int, int, int]], words: np.ndarray, log_p: np.ndarray) -> list[tuple[int, int, int]]:
+    """Segments join a neighbour unless they have evidence of ``CERTAIN`` over either neighbour's language."""
     parts = list(parts)
+
+    def over(k: int, q: int) -> float:
+        at = slice(parts[k][0], parts[k][1] + 1)
+        return float((log_p[at, parts[k][2]] - log_p[at, parts[q][2]]).sum())
+
     while len(parts) > 1:
         size = [int(words[i : j + 1].sum()) for i, j, _ in parts]
-        k = int(np.argmin(size))
-        if size[k] >= LEAST_WORDS:
+        near = [[x for x in (k - 1, k + 1) if 0 <= x < len(parts)] for k in range(len(parts))]
+        weak = [k for k in range(len(parts)) if min(over(k, q) for q in near[k]) < CERTAIN]
+        if not weak:
             break
-        near = [x for x in (k - 1, k + 1) if 0 <= x < len(parts)]
-        x = max(near, key=lambda q: float(log_p[parts[k][0] : parts[k][1] + 1, parts[q][2]].sum()))
-        lang = parts[x][2]
+        k = min(weak, key=lambda x: size[x])
+        x = min(near[k], key=lambda q: over(k, q))
         a, b = min(k, x), max(k, x)
-        parts[a : b + 1] = [(parts[a][0], parts[b][1], lang)]
+        parts[a : b + 1] = [(parts[a][0], parts[b][1], parts[x][2])]
         i = 0
         while i + 1 < len(parts):  # neighbours of one language are one segment
             if parts[i][2] == parts[i + 1][2]:
