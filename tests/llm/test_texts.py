@@ -115,6 +115,35 @@ def test_one_changed_rare_word_in_a_shortest_passage():
         assert not found([f"other{k}" if x[-1].isdigit() or x in names else x for k, x in enumerate(w)]), i
 
 
+def test_short_items_and_items_of_equal_text(spark):
+    items = make_items()
+    short = [(50, f"{SHARED} The quokka signed forty blue forms on Tuesday."), (51, "Marmots whistle loudly"), (52, "zzyzx"), (53, "w1 w2"), (60, items[3][1]), (61, items[3][1].upper())]
+    docs = [
+        (1, "It is said that the quokka signed forty blue forms on Tuesday, and more."), (2, "the quokka signed forty green forms on tuesday"), (3, "the quokka signed two red papers on monday"), (4, "here marmots whistle loudly again"),
+        (5, "marmots whistle softly"), (6, "drive to Zzyzx now"), (7, items[3][1]), (8, "w1 w3 w2"),
+    ]
+    i = spark.createDataFrame([*items, *short], "item_id long, text string")
+    got = {tuple(x) for x in leakage.leaked(spark.createDataFrame(docs, "doc_id long, text string"), i, "doc_id", "text", "item_id", "text").collect()}
+    assert got == {(1, 50), (2, 50), (4, 51), (6, 52), (7, 3), (7, 60), (7, 61)}
+
+
+def test_small_arrays_give_the_same(monkeypatch):
+    texts = [" ".join(s) for s in leakage.own_sentences([t for _, t in make_items()])]
+    index = leakage.build_index(texts, leakage.rarities(texts))
+    words = np.concatenate([index.words, index.words[5:60], np.zeros(9, np.int32), index.words[100:400]])
+    counts = np.array([len(index.words), 55, 9, 300])
+    whole = [x.tolist() for x in leakage.passages(words, counts, index)]
+    monkeypatch.setattr(leakage, "CELLS", 50)
+    assert sorted(zip(*whole)) == sorted(zip(*[x.tolist() for x in leakage.passages(words, counts, index)])) and len(whole[0]) > 20
+
+
+def test_too_many_items_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 100)
+    i = spark.createDataFrame(make_items(), "item_id long, text string")
+    with pytest.raises(ValueError, match="characters of items"):
+        leakage.leaked(i.toDF("doc_id", "text"), i, "doc_id", "text", "item_id", "text")
+
+
 def test_several_passes_over_the_items_give_the_same(spark, monkeypatch):
     items = make_items()
     docs = spark.createDataFrame([(k, t) for k, t in items], "doc_id long, text string")
@@ -218,8 +247,8 @@ def model():
     for i in range(240):
         lang = r.choice(list(SENTENCES))
         texts.append(doc(lang, r))
-        labels.append(langid.LANGUAGES.index(lang if r.random() > 0.15 else r.choice(list(SENTENCES))))
-    return langid.train(texts, labels, langid.LANGUAGES)
+        labels.append(list(SENTENCES).index(lang if r.random() > 0.15 else r.choice(list(SENTENCES))))
+    return langid.train(texts, labels, list(SENTENCES))
 
 
 def test_held_out_accuracy_with_wrong_labels_in_training(model):
@@ -241,6 +270,37 @@ def test_mixed_documents_have_segments(model):
     assert s[1][4] > len(a) - 1 and all(0.5 < x[3] <= 1 for x in s)
 
 
+def test_short_sentences_of_another_language_stand_if_they_are_certain(model):
+    r = random.Random(6)
+    a, b = doc("en", r, 3), doc("en", r, 2)
+    for short, lang in (("niemand konnte erklären warum", "de"), ("дело остаётся открытым", "ru"), ("la sauvegarde du dossier", "fr")):
+        found = [x[2] for x in langid.analyse(model, [f"{a}\n{short}.\n{b}"])]
+        assert found == ["en", lang, "en"], (short, found)
+    # A word or two that say little do not.
+    assert [x[2] for x in langid.analyse(model, [f"{a}\nPlan der Backup.\n{b}"])] == ["en"]
+
+
+def test_segments_join_only_without_evidence():
+    words = np.array([20, 3, 20])
+    log_p = np.log(np.array([[0.9999, 0.0001], [1e-7, 1.0], [0.9999, 0.0001]]))
+    parts = [(0, 0, 0), (1, 1, 1), (2, 2, 0)]
+    assert langid.merge_weak(parts, words, log_p) == parts
+    log_p[1] = np.log([0.2, 0.8])
+    assert langid.merge_weak(parts, words, log_p) == [(0, 2, 0)]
+    log_p[1] = np.log([0.002, 0.998])
+    assert langid.merge_weak(parts, words, log_p) == parts
+
+
+def test_languages_are_those_of_the_labels_and_the_sample_is_bounded(spark):
+    r = random.Random(8)
+    rows = [(i, doc(x, r), x) for i, x in enumerate(r.choice(["en", "de", "fr"]) for _ in range(400))]
+    rows += [(1000, doc("en", r), "sv")]  # one label in four hundred is no language of the model
+    rows += [(2000, rows[0][1], "en")] * 300
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", per_label=40)
+    assert m.languages == ["de", "en", "fr"]
+    assert [x[2] for x in langid.analyse(m, [doc("de", r), doc("fr", r)])] == ["de", "fr"]
+
+
 def test_long_text_is_read_to_its_end(model):
     r = random.Random(4)
     t = doc("en", r, 9000) + "\n" + doc("fr", r, 3)
@@ -262,4 +322,4 @@ def test_cases(spark, model):
 
 def test_label_spellings(spark):
     df = spark.createDataFrame([("en_GB",), ("ENG",), (" Dutch ",), ("pt-PT",), ("bg",), ("",), (None,), ("??",), ("unknown",)], "l string")
-    assert [r[0] for r in df.select(langid.label_code(df.l)).collect()] == ["en", "en", "nl", "pt", None, None, None, None, None]
+    assert [r[0] for r in df.select(langid.label_code(df.l)).collect()] == ["en", "en", "nl", "pt", "bg", None, None, None, None]

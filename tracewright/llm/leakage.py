@@ -1,7 +1,7 @@
 """Evaluation items that leaked into documents: Wu-Manber search, then confirmation of the passage.
 
-Patterns are all windows of ``WINDOW`` words of the items, without sentences that several
-items share. A document is searched over its words: a block of two words looks up how far
+Patterns are all windows of ``WINDOW`` words of the items (all words of a shorter item),
+without sentences that several different items share. A document is searched over its words: a block of two words looks up how far
 the search may skip (block shift table); where it may not skip, the hash of the window's
 words picks a bucket of patterns and the words are compared one by one. The cursors of many
 stretches of text move together, as arrays.
@@ -11,8 +11,9 @@ one alignment: every item word that stands at its place (a few words to and fro
 earns its weight, every other one costs ``MISS`` times its weight, and the best stretch is
 the passage. Weights are the rarity of a word among the items, so that a scenario with
 other particulars loses the words that matter. A leak is a passage of at least
-``LEAST_SHARE`` of the item's words and at least ``LEAST_WORDS`` words; one word less is
-let through, as a changed word at the end of a passage shortens it.
+``LEAST_SHARE`` of the item's words and at least ``LEAST_WORDS`` words, or the whole item if
+it has fewer; one word less is let through, as a changed word at the end of a passage
+shortens it (not for items of fewer than ``STRICT`` words: nothing of them may be missing).
 
 So dear a miss would cut a short passage at a single changed word. A stretch with enough
 words in their places is therefore a passage as well if they are evidence enough: what a
@@ -22,7 +23,9 @@ miss whose neighbours match costs ``CHANGED``, however rare the word.
 
 Layout, case, accents, look-alike letters, invisible characters and mark-up do not matter.
 Null and blank texts or items give no rows; items without words of their own are never
-found; repeated rows count once; ids may be any type; an empty side gives an empty table.
+found; items of equal words are found together; repeated rows count once; ids may be any
+type; an empty side gives an empty table. More than ``ITEM_CHARS`` characters of items are
+refused: they no longer are a held-out set that every task can hold.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ WINDOW = 4
 BLOCK = 2
 LEAST_SHARE = 1 / 3
 LEAST_WORDS = 12
+STRICT = 6
 MISS = 3.0
 #: Evidence (natural logarithm of odds) that a single changed word costs, and that a stretch with changed words must have.
 CHANGED, EVIDENT = 2.5, 6.0
@@ -53,6 +57,10 @@ BEFORE = 3
 SLACK, APART = 3, 8
 #: Characters of items that one search index may hold; more items mean more passes over the documents.
 ITEMS_PER_PASS = 16_000_000
+#: Characters of all items together.
+ITEM_CHARS = 256_000_000
+#: Entries of an array that one step may build: alignments times item words, or hits times their places.
+CELLS = 4_000_000
 #: Words that one cursor covers.
 STRETCH = 256
 _TABLE = 1 << 20
@@ -60,14 +68,14 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def own_sentences(texts: list[str]) -> list[list[str]]:
-    """The sentences of each item that no other item has (compared by their words)."""
+    """The sentences of each item that no different item has (compared by their words; copies of an item are not different)."""
     split = [[s for s in _SENTENCE.split(t) if s.strip()] for t in texts]
     keys = []
     for sentences in split:
         h, n = word_hashes(sentences)
         at = np.concatenate([[0], np.cumsum(n)])
         keys.append([h[a:b].tobytes() for a, b in zip(at, at[1:])])
-    seen = Counter(k for ks in keys for k in set(ks))
+    seen = Counter(k for ks in {b"".join(ks): ks for ks in keys}.values() for k in set(ks))
     return [[s for s, k in zip(ss, ks) if k and seen[k] == 1] for ss, ks in zip(split, keys)]
 
 
@@ -89,6 +97,7 @@ class Index:
     places: np.ndarray  # places in words of all occurrences, by pattern
     place_at: np.ndarray  # bounds of the patterns in places
     item_of: np.ndarray  # item of each entry of words
+    window: int  # words of a pattern
 
 
 def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,7 +138,8 @@ def _texts_with(key: np.ndarray, item: np.ndarray) -> np.ndarray:
     return np.bincount(pairs // (int(item.max()) + 1))[key]
 
 
-def build_index(texts: list[str], rarity: dict[int, float], surprise: list[np.ndarray] | None = None) -> Index:
+def build_index(texts: list[str], rarity: dict[int, float], surprise: list[np.ndarray] | None = None, window: int = WINDOW) -> Index:
+    """Index of items that have at least ``window`` words."""
     hashes, shares, written, begin = [], [], [], [0]
     for text in texts:
         h, n = word_hashes(text.split())
@@ -148,13 +158,14 @@ def build_index(texts: list[str], rarity: dict[int, float], surprise: list[np.nd
     item_of = np.repeat(np.arange(len(texts)), np.diff(begin))
     by_word = np.array([rarity[int(x)] for x in vocabulary] or [0.0])
     total = np.array([share[a:b].sum() for a, b in zip(begin, begin[1:])])
-    need = np.maximum(LEAST_WORDS, LEAST_SHARE * total) - 1
-    ends = np.arange(WINDOW - 1, len(words))
-    ends = ends[item_of[ends] == item_of[ends - WINDOW + 1]] if len(ends) else ends
-    windows = words[ends[:, None] + np.arange(1 - WINDOW, 1)] if len(ends) else np.zeros((0, WINDOW), np.int32)
-    shift = np.full(_TABLE, WINDOW - BLOCK + 1, np.int8)
-    for q in range(BLOCK, WINDOW + 1):  # a block that ends at word q of a pattern allows a skip of WINDOW - q
-        np.minimum.at(shift, _block(windows[:, q - 2], windows[:, q - 1]), WINDOW - q)
+    need = np.minimum(total, np.maximum(LEAST_WORDS, LEAST_SHARE * total)) - (total >= STRICT) - 1e-6
+    ends = np.arange(window - 1, len(words))
+    ends = ends[item_of[ends] == item_of[ends - window + 1]] if len(ends) else ends
+    windows = words[ends[:, None] + np.arange(1 - window, 1)] if len(ends) else np.zeros((0, window), np.int32)
+    block = min(BLOCK, window)
+    shift = np.full(_TABLE, window - block + 1, np.int8)
+    for q in range(block, window + 1):  # a block that ends at word q of a pattern allows a skip of window - q
+        np.minimum.at(shift, _block(windows[:, q - block], windows[:, q - 1]), window - q)
     distinct, which = np.unique(windows, axis=0, return_inverse=True)
     bucket = _suffix(distinct)
     order = np.argsort(bucket, kind="stable")
@@ -162,7 +173,7 @@ def build_index(texts: list[str], rarity: dict[int, float], surprise: list[np.nd
     rank[order] = np.arange(len(order))
     which = rank[which.ravel()]
     by = np.argsort(which, kind="stable")
-    return Index(vocabulary, words, begin, share, by_word[words - 1] if len(words) else np.zeros(0), tells, written_, need, shift, bucket[order], distinct[order], ends[by], np.searchsorted(which[by], np.arange(len(order) + 1)), item_of)
+    return Index(vocabulary, words, begin, share, by_word[words - 1] if len(words) else np.zeros(0), tells, written_, need, shift, bucket[order], distinct[order], ends[by], np.searchsorted(which[by], np.arange(len(order) + 1)), item_of, window)
 
 
 def search(words: np.ndarray, counts: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -173,12 +184,13 @@ def search(words: np.ndarray, counts: np.ndarray, index: Index) -> tuple[np.ndar
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(spans) - spans, spans)
     low = begin[doc] + nth * STRETCH
     stop = np.minimum(low + STRETCH, begin[doc + 1])
-    at = np.maximum(low, begin[doc] + WINDOW - 1)
+    window, before = index.window, min(BLOCK, index.window) - 1
+    at = np.maximum(low, begin[doc] + window - 1)
     live = at < stop
     at, stop = at[live], stop[live]
     found = []
     while len(at):
-        step = index.shift[_block(words[at - 1], words[at])]
+        step = index.shift[_block(words[at - before], words[at])]
         found.append(at[step == 0])
         at = at + np.maximum(step, 1)
         live = at < stop
@@ -186,7 +198,7 @@ def search(words: np.ndarray, counts: np.ndarray, index: Index) -> tuple[np.ndar
     ends = np.concatenate(found) if found else np.zeros(0, np.int64)
     if not len(ends) or not len(index.bucket):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    windows = words[ends[:, None] + np.arange(1 - WINDOW, 1)]
+    windows = words[ends[:, None] + np.arange(1 - window, 1)]
     h = _suffix(windows)
     lo, hi = np.searchsorted(index.bucket, h, "left"), np.searchsorted(index.bucket, h, "right")
     ends, windows, lo, n = ends[lo < hi], windows[lo < hi], lo[lo < hi], (hi - lo)[lo < hi]
@@ -196,38 +208,63 @@ def search(words: np.ndarray, counts: np.ndarray, index: Index) -> tuple[np.ndar
     return ends[each[same]], pattern[same]
 
 
+def _spread(ends: np.ndarray, pattern: np.ndarray, begin: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, item, diagonal) of all places of all hits, about ``CELLS`` at a time; a diagonal is place in words minus place in the items' words."""
+    n = index.place_at[pattern + 1] - index.place_at[pattern]
+    upto = np.cumsum(n)
+    k = 0
+    while k < len(ends):
+        to = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + CELLS, side="right")))
+        m = n[k:to]
+        each = np.repeat(np.arange(to - k), m)
+        place = index.places[index.place_at[pattern[k:to]][each] + np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)]
+        at = ends[k:to][each]
+        yield np.searchsorted(begin, at, side="right") - 1, index.item_of[place], at - place
+        k = to
+
+
+def _parts(lens: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in parts of at most 4096 whose longest length times their number stays within ``CELLS``, if they are several."""
+    order = np.argsort(lens, kind="stable")
+    k = 0
+    while k < len(order):
+        m = min(4096, len(order) - k)
+        while m > 1 and lens[order[k + m - 1]] * m > CELLS:
+            m //= 2
+        yield order[k : k + m]
+        k += m
+
+
 def passages(words: np.ndarray, counts: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, words of the passage) for each alignment that is long enough."""
     ends, pattern = search(words, counts, index)
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if not len(ends):
-        return none, none, np.zeros(0)
+        return none
     begin = np.concatenate([[0], np.cumsum(counts)])
-    n = index.place_at[pattern + 1] - index.place_at[pattern]
-    each = np.repeat(np.arange(len(ends)), n)
-    place = index.places[index.place_at[pattern][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)]
-    at = ends[each]
-    doc, item = np.searchsorted(begin, at, side="right") - 1, index.item_of[place]
-    diagonal = at - place  # place in words minus place in the items' words
-    order = np.lexsort((diagonal, item, doc))
-    doc, item, diagonal = doc[order], item[order], diagonal[order]
+    items = len(index.begin) - 1
+    # Which document and item could go together is asked before their alignments are looked at.
+    pairs = np.zeros(0, np.int64)
+    for doc, item, _ in _spread(ends, pattern, begin, index):
+        pairs = np.union1d(pairs, doc * items + item)
+    pairs = pairs[_possible(words, begin, index, pairs // items, pairs % items)]
+    if not len(pairs):
+        return none
+    kept = []
+    for doc, item, diagonal in _spread(ends, pattern, begin, index):
+        ok = np.isin(doc * items + item, pairs)
+        kept.append(np.stack([doc[ok], item[ok], diagonal[ok]]))
+    doc, item, diagonal = np.unique(np.concatenate(kept, axis=1), axis=1)
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > APART)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
     doc, item, low, high = doc[first], item[first], diagonal[first], diagonal[last]
-    possible = _possible(words, begin, index, doc, item)
-    doc, item, low, high = doc[possible], item[possible], low[possible], high[possible]
-    if not len(doc):
-        return none, none, np.zeros(0)
-    out_doc, out_item, out_words = [], [], []
-    for k in range(0, len(doc), 4096):
-        s = slice(k, k + 4096)
+    found = []
+    for s in _parts((index.begin[1:] - index.begin[:-1])[item]):
         w = _longest(words, begin, index, doc[s], item[s], low[s] - SLACK, high[s] + SLACK)
         ok = w >= index.need[item[s]]
-        out_doc.append(doc[s][ok])
-        out_item.append(item[s][ok])
-        out_words.append(w[ok])
-    return np.concatenate(out_doc), np.concatenate(out_item), np.concatenate(out_words)
+        found.append((doc[s][ok], item[s][ok], w[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _longest(words: np.ndarray, begin: np.ndarray, index: Index, doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -313,30 +350,29 @@ def _stretches(row: np.ndarray, lens: np.ndarray, gain: np.ndarray, share: np.nd
 
 
 def _possible(words: np.ndarray, begin: np.ndarray, index: Index, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Which alignments can be long enough at all: even if every item word that the document has anywhere stood in its place.
+    """Which documents and items can have an alignment that is long enough: even if every item word that the document has anywhere stood in its place.
 
-    With more words in place no stretch gets shorter or less evident, so nothing is lost. All alignments of
-    a document and item share the answer.
+    With more words in place no stretch gets shorter or less evident, so nothing is lost.
     """
-    pair, back = np.unique(np.stack([doc, item], 1), axis=0, return_inverse=True)
-    ok = np.zeros(len(pair), bool)
+    ok = np.zeros(len(doc), bool)
     v = len(index.vocabulary) + 1
     step = int(min(4096, max(16, 64_000_000 // v)))
-    for k in range(0, len(pair), step):
-        d, i = pair[k : k + step, 0], pair[k : k + step, 1]
-        own, at = np.unique(d, return_inverse=True)
-        n = begin[own + 1] - begin[own]
-        row = np.repeat(np.arange(len(own)), n)
-        has = np.zeros((len(own), v), bool)
-        has[row, words[np.repeat(begin[own], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]] = True
-        lens = index.begin[i + 1] - index.begin[i]
-        row = np.repeat(np.arange(len(i)), lens)
-        p = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens) + index.begin[i][row]
-        hit = has[at.ravel()[row], index.words[p]]
-        gain = np.where(hit, 1.0, -MISS) * index.weight[p]
-        long = _stretches(row, lens, gain, index.share[p])[1] >= index.need[i]
-        ok[k : k + step] = long | _evident(row, lens, p, hit, index, index.need[i], ~long)
-    return ok[back.ravel()]
+    for part in _parts((index.begin[1:] - index.begin[:-1])[item]):
+        for s in (part[k : k + step] for k in range(0, len(part), step)):
+            d, i = doc[s], item[s]
+            own, at = np.unique(d, return_inverse=True)
+            n = begin[own + 1] - begin[own]
+            row = np.repeat(np.arange(len(own)), n)
+            has = np.zeros((len(own), v), bool)
+            has[row, words[np.repeat(begin[own], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]] = True
+            lens = index.begin[i + 1] - index.begin[i]
+            row = np.repeat(np.arange(len(i)), lens)
+            p = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens) + index.begin[i][row]
+            hit = has[at.ravel()[row], index.words[p]]
+            gain = np.where(hit, 1.0, -MISS) * index.weight[p]
+            long = _stretches(row, lens, gain, index.share[p])[1] >= index.need[i]
+            ok[s] = long | _evident(row, lens, p, hit, index, index.need[i], ~long)
+    return ok
 
 
 def rarities(texts: list[str]) -> dict[int, float]:
@@ -351,10 +387,21 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
     """(doc_id, item_id) of every document that contains an item or a long enough passage of it.
 
     The items are held by the driver and by each task; they are a held-out set, far smaller
-    than a corpus. Beyond ``ITEMS_PER_PASS`` characters they are searched in several passes.
+    than a corpus, and their size is checked first. Beyond ``ITEMS_PER_PASS`` characters they
+    are searched in several passes.
     """
-    rows = items.where(F.col(item_text).isNotNull()).select(item_id, item_text).distinct().orderBy(item_id, item_text).collect()
-    texts = [" ".join(s) for s in own_sentences([r[1] for r in rows])]
+    some = items.where(F.col(item_text).isNotNull()).select(item_id, item_text).distinct()
+    size = some.agg(F.sum(F.length(item_text))).first()[0] or 0
+    if size > ITEM_CHARS:
+        raise ValueError(f"{size} characters of items are more than {ITEM_CHARS}")
+    owners: dict[bytes, list] = {}
+    first: dict[bytes, str] = {}
+    for i, t in some.orderBy(item_id, item_text).collect():
+        key = word_hashes([t])[0].tobytes()
+        owners.setdefault(key, []).append(i)
+        first.setdefault(key, t)
+    texts = [" ".join(s) for s in own_sentences(list(first.values()))]
+    ids = list(owners.values())
     rarity = rarities(texts)
     surprise = surprises(texts, rarity)
     d, i = docs.schema[doc_id].dataType, items.schema[item_id].dataType
@@ -370,31 +417,35 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
     src = docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text))
     out = None
     for chosen in passes:
-        part = src.mapInArrow(_searcher([texts[k] for k in chosen], [rows[k][0] for k in chosen], rarity, [surprise[k] for k in chosen], doc_id, item_id), schema)
+        indices = []
+        for window in range(1, WINDOW + 1):  # items too short for a whole window have patterns of their own length
+            own = [k for k in chosen if min(len(surprise[k]), WINDOW) == window]
+            if own:
+                indices.append((build_index([texts[k] for k in own], rarity, [surprise[k] for k in own], window), [ids[k] for k in own]))
+        part = src.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(indices), doc_id, item_id), schema)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 
-def _searcher(texts: list[str], ids: list, rarity: dict[int, float], surprise: list[np.ndarray], doc_id: str, item_id: str):
-    index = build_index(texts, rarity, surprise)
-
+def _searcher(held, doc_id: str, item_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts_, docs, found = b.column(1), b.column(0), ([], [])
-            lens = np.cumsum([0] + [len(x) if x else 0 for x in (texts_.to_pylist())])
+            texts, docs = b.column(1), b.column(0)
+            pairs = set()
+            lens = np.cumsum([0] + [len(x) if x else 0 for x in texts.to_pylist()])
             k = 0
             while k < b.num_rows:  # about a million characters at a time
                 to = max(k + 1, int(np.searchsorted(lens, lens[k] + 1_000_000, side="right")) - 1)
-                hashes, counts = word_hashes([x or "" for x in texts_.slice(k, to - k).to_pylist()])
-                place = np.searchsorted(index.vocabulary, hashes)
-                place[place == len(index.vocabulary)] = 0
-                words = np.where(index.vocabulary[place] == hashes, place + 1, 0).astype(np.int32) if len(index.vocabulary) else np.zeros(len(hashes), np.int32)
-                d, i, _ = passages(words, counts, index)
-                found[0].extend((d + k).tolist())
-                found[1].extend(i.tolist())
+                hashes, counts = word_hashes([x or "" for x in texts.slice(k, to - k).to_pylist()])
+                for index, ids in held.value:
+                    place = np.searchsorted(index.vocabulary, hashes)
+                    place[place == len(index.vocabulary)] = 0
+                    words = np.where(index.vocabulary[place] == hashes, place + 1, 0).astype(np.int32)
+                    d, i, _ = passages(words, counts, index)
+                    pairs |= {(a + k, o) for a, c in zip(d.tolist(), i.tolist()) for o in ids[c]}
                 k = to
-            pairs = sorted(set(zip(*found)))
             if pairs:
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array([p[0] for p in pairs])), pa.array([ids[p[1]] for p in pairs])], [doc_id, item_id])
+                found = sorted(pairs, key=lambda p: p[0])
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array([p[0] for p in found])), pa.array([p[1] for p in found])], [doc_id, item_id])
 
     return run
