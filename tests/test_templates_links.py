@@ -137,6 +137,7 @@ def test_counts_equal_brute_force(spark):
 
 
 def test_latest_start_before(spark):
-    df = spark.createDataFrame([("1", "h", "7", "t1", "4688", None), ("2", "h", "7", "t2", "5", None), ("3", "h", "7", "t3", "1", None), ("4", "h", "7.0", "t4", "5", None), ("5", "g", "7", "t9", "5", None), ("6", "h", "7", "t0", "5", None)], "RecordID string, Computer string, ProcessID string, TimeCreated string, EventID string, EventData string")
-    got = {r["RecordID"]: r["s"] for r in correlate.with_last_start(df, "Computer", "ProcessID", "TimeCreated", "s").collect()}
-    assert got == {"1": "t1", "2": "t1", "3": "t3", "4": "t3", "5": None, "6": None}
+    rows = [("1", "h", "7", "t1", "4688", None, 1), ("2", "h.x", "7", "t2", "5", None, 2), ("3", "H", "7", "t3", "1", '{"UtcTime": "u3"}', 3), ("4", "h", "7.0", "t4", "5", None, 4), ("5", "g", "7", "t9", "5", None, 9), ("6", "h", "7", "t0", "5", None, 0), ("7", "h", "7", "tx", "5", None, None), ("8", "h", None, "t5", "5", None, 5)]
+    df = spark.createDataFrame(rows, "RecordID string, Computer string, ProcessID string, TimeCreated string, EventID string, EventData string, at long")
+    got = {r["RecordID"]: r["s"] for r in correlate.with_last_start(df, "at", "s").collect()}
+    assert got == {"1": "t1", "2": "t1", "3": "u3", "4": "u3", "5": None, "6": None, "7": None, "8": None}

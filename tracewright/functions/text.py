@@ -136,8 +136,12 @@ def cell(c: Column) -> Column:
 
 
 def utc_second(ts: Column) -> Column:
-    """``2026-09-14T08:00:10Z`` of a timestamp (session zone UTC)."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """``2026-09-14T08:00:10Z`` of a timestamp, whatever the session's zone."""
+    n = F.floor(F.unix_micros(ts) / 1_000_000)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    of_day = F.pmod(n, F.lit(86400))
+    day = F.date_from_unix_date(F.floor(n / 86400).cast("int")).cast("string")
+    return F.concat(day, F.lit("T"), two(F.floor(of_day / 3600)), F.lit(":"), two(F.floor(of_day / 60) % 60), F.lit(":"), two(of_day % 60), F.lit("Z"))
 
 
 def display_time(ts: Column) -> Column:

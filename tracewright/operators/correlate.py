@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import payload
+from tracewright.functions.entities import host_form
 from tracewright.functions.text import delta_text, strip_dot0
 from tracewright.operators.order import numbered_rows
 from tracewright.schema import LINK_DEFAULT, LINK_RULES, resolve_columns
@@ -25,21 +26,16 @@ ANCHOR_ROWS = 50_000
 STARTS = ["1", "4688"]
 
 
-def process_starts(df: DataFrame) -> DataFrame:
-    """(host, pid, started): every start of a process that the records tell of."""
-    at = resolve_columns(df.columns)
-    body = F.col(f"`{at['event_data']}`")
-    return df.where(strip_dot0(F.col(f"`{at['event_id']}`")).isin(STARTS)).select(F.col(f"`{at['computer']}`").alias("host"), strip_dot0(F.col(f"`{at['process_id']}`")).alias("pid"), F.coalesce(payload.field(body, "UtcTime"), F.col(f"`{at['time']}`")).alias("started")).where("pid is not null").distinct()
+def with_last_start(df: DataFrame, at_us: str, out: str) -> DataFrame:
+    """``df`` plus the latest start, not after the row's own instant, of the same process id on the same host, as its record writes it (null: none).
 
-
-def with_last_start(df: DataFrame, host: str, pid: str, time: str, out: str) -> DataFrame:
-    """``df`` plus the latest start, not after the row's own time, of the same process id on the same host (null: none)."""
-    starts = process_starts(df).withColumn("__st", F.col("started"))
-    w = Window.partitionBy("__h", "__p").orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumns({"__h": F.col(f"`{host}`"), "__p": strip_dot0(F.col(f"`{pid}`")), "__t": F.col(f"`{time}`"), "__o": F.lit(1), "__s": F.lit(None).cast("string")})
-    marks = starts.select(F.col("host").alias("__h"), F.col("pid").alias("__p"), F.col("started").alias("__t"), F.lit(0).alias("__o"), F.col("started").alias("__s"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    return both.withColumn(out, F.last("__s", ignorenulls=True).over(w)).where("__o = 1").drop("__h", "__p", "__t", "__o", "__s")
+    Hosts are compared in normal form and times as instants; of starts at one instant the greater text wins.
+    """
+    at = {k: F.col(f"`{c}`") for k, c in resolve_columns(df.columns).items()}
+    begun = F.coalesce(payload.field(at["event_data"], "UtcTime"), at["time"])
+    start = F.when(strip_dot0(at["event_id"]).isin(STARTS), F.struct(F.col(f"`{at_us}`").alias("t"), begun.alias("text")))
+    w = Window.partitionBy(host_form(at["computer"]), strip_dot0(at["process_id"])).orderBy(F.col(f"`{at_us}`")).rangeBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.when(F.col(f"`{at_us}`").isNotNull() & strip_dot0(at["process_id"]).isNotNull(), F.max(start).over(w)["text"]))
 
 
 def extract(df: DataFrame, started: str | None = None) -> DataFrame:
@@ -93,7 +89,8 @@ def extract(df: DataFrame, started: str | None = None) -> DataFrame:
 
 def build_index(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Index rows of the records that ``stored`` has none of: correlation_id (numbered on from the stored ones), entity_type, entity_value, event_record_id, source_type, event_id, provider, time_created_utc, confidence, confidence_weight."""
-    found = extract(records).withColumnRenamed("record_id", "event_record_id").withColumnRenamed("time", "time_created_utc").withColumnRenamed("weight", "confidence_weight")
+    # Exact copies of a record give its entities once.
+    found = extract(records).distinct().withColumnRenamed("record_id", "event_record_id").withColumnRenamed("time", "time_created_utc").withColumnRenamed("weight", "confidence_weight")
     start = 0
     if stored is not None:
         found = found.join(stored.select("event_record_id").where("event_record_id is not null").distinct(), "event_record_id", "left_anti")

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import payload
-from tracewright.functions.entities import integer_form
+from tracewright.functions.entities import host_form, integer_form
 from tracewright.functions.text import strip_dot0
+from tracewright.operators.timestamps import with_instant
 from tracewright.schema import ACCOUNT_FORMS, LEVEL_FORMS, resolve_columns
+from tracewright.session import fresh
 
 
 @dataclass
@@ -122,15 +125,16 @@ def _entity_predicates(e: EntityFilters, event_id: str | None, at: dict[str, Col
 def predicate(q: QueryFilter, columns: list[str], instant: str | None = None) -> Column:
     """All conditions of a question as one boolean column, so that they reach the scan together.
 
-    ``instant`` names a timestamp column for the time range; without it the time column's
-    text is read as a timestamp, and unreadable times are outside of any range.
+    ``instant`` names a timestamp column for the time range; a range cannot be asked of text.
     """
     at = {k: F.col(f"`{c}`") for k, c in resolve_columns(columns).items()}
     at.setdefault("event_data", F.lit(None).cast("string"))
     parts: list[Column] = []
     if q.time_range:
-        t = F.col(f"`{instant}`") if instant else F.try_to_timestamp(at["time"])
-        parts.append(t.between(F.to_timestamp(F.lit(q.time_range.start_utc)), F.to_timestamp(F.lit(q.time_range.end_utc))))
+        if instant is None:
+            raise ValueError("a time range needs a column of instants")
+        low, high = (F.lit(parse_instant(x)).cast("timestamp") for x in (q.time_range.start_utc, q.time_range.end_utc))
+        parts.append(F.col(f"`{instant}`").between(low, high))
     if q.source_type:
         parts.append(_low(at["channel"]) == q.source_type.lower())
     if q.event_id:
@@ -142,15 +146,38 @@ def predicate(q: QueryFilter, columns: list[str], instant: str | None = None) ->
     return reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for p in parts], F.lit(True))
 
 
-def run(df: DataFrame, q: QueryFilter, candidates: DataFrame | None = None, limit: int | None = None, instant: str | None = None) -> DataFrame:
-    """Matching rows by time and record. ``candidates``: one column of record ids to stay within (None: no bound, empty: no rows)."""
-    at = resolve_columns(df.columns)
-    out = df.where(predicate(q, df.columns, instant))
+def parse_instant(text: str) -> datetime:
+    """A bound of a range; without zone it is UTC."""
+    t = datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
+    return t if t.tzinfo else t.replace(tzinfo=timezone.utc)
+
+
+def with_instants(df: DataFrame, zones: DataFrame | None, out: str) -> DataFrame:
+    """``df`` plus ``out`` (timestamp): its time column in any notation, by the zones of its hosts; null where a row has no instant."""
+    at, us = resolve_columns(df.columns), fresh(df.columns, "__us")
+    zones = df.sparkSession.createDataFrame([], "computer string, time_zone string, locale string") if zones is None else zones
+    host = host_form(F.col(f"`{at['computer']}`")) if "computer" in at else F.lit(None).cast("string")
+    return with_instant(df, at["time"], host, zones, us).withColumn(out, F.timestamp_micros(us)).drop(us)
+
+
+def run(df: DataFrame, q: QueryFilter, candidates: DataFrame | None = None, limit: int | None = None, instant: str | None = None, zones: DataFrame | None = None) -> DataFrame:
+    """Matching rows by instant and record, rows without instant last. ``candidates``: one column of record ids to stay within (None: no bound, empty: no rows).
+
+    ``instant`` names a timestamp column; without it instants are read from the time column,
+    whatever its notation, with ``zones`` (computer, time_zone, locale) for wall times.
+    """
+    columns, at = df.columns, resolve_columns(df.columns)
+    if instant is None:
+        # What needs no instant is filtered first: times are read for the rows that are left.
+        df = df.where(predicate(replace(q, time_range=None), columns))
+        instant = fresh(columns, "__instant")
+        df = with_instants(df, zones, instant)
+    out = df.where(predicate(q, columns, instant))
     if candidates is not None:
         ids = candidates.select(strip_dot0(F.col(candidates.columns[0]).cast("string")).alias("__id")).distinct()
         out = out.withColumn("__r", strip_dot0(F.col(f"`{at['record_id']}`").cast("string"))).join(ids, F.col("__r") == F.col("__id"), "left_semi").drop("__r")
-    order = [F.col(f"`{instant or at['time']}`"), F.col(f"`{at['record_id']}`")]
-    return out.orderBy(*order).limit(limit) if limit else out.orderBy(*order)
+    out = out.orderBy(F.col(f"`{instant}`").asc_nulls_last(), F.col(f"`{at['record_id']}`"))
+    return (out.limit(limit) if limit else out).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def keyword(df: DataFrame, word: str, columns: list[str]) -> DataFrame:
@@ -213,19 +240,26 @@ def hunt(question: str) -> dict:
 STOP_WORDS = ["show", "find", "were", "what", "when", "where", "from", "with", "have", "been", "that", "this", "events", "logs"]
 
 
-def fallback_search(df: DataFrame, question: str, columns: list[str], order: list[str], level: str | None = None, limit: int = 50) -> DataFrame:
-    """Rows with one of the question's addresses or hex codes, else of its first five longer words.
+def search_terms(question: str, terms: int | None = None) -> list[str]:
+    """What a question names: its IPv4 addresses and hex codes, else its words of four characters and more that are no stop words; ``terms`` bounds their number."""
+    words = ["".join(c for c in w if c.isalnum() or c in "_.-").strip(".-") for w in question.lower().split()]
+    dotted = lambda w: w.count(".") == 3 and all(p.isdigit() and len(p) < 4 for p in w.split("."))
+    hexa = lambda w: w.startswith("0x") and len(w) > 2 and all(c in "0123456789abcdef" for c in w[2:])
+    named = [w for w in words if dotted(w) or hexa(w)]
+    return (named or [w for w in words if len(w) >= 4 and w not in STOP_WORDS])[:terms]
+
+
+def fallback_search(df: DataFrame, question: str, columns: list[str], order: list[str], level: str | None = None, limit: int = 50, terms: int | None = 5) -> DataFrame:
+    """Rows with one of the question's terms (:func:`search_terms`; the first five unless ``terms`` says otherwise, None: all).
 
     Without such terms: rows of the level that the question names, else the first ``limit``
     rows in the given order, as an excerpt to look at.
     """
-    q = question.lower()
-    terms = re.findall(r"\b(?:\d{1,3}\.){3}\d{1,3}\b|0x[0-9a-f]+", q) or [w for w in re.findall(r"\b[a-z0-9_.\-]{4,}\b", q) if w not in STOP_WORDS]
-    if terms:
-        hits = [F.coalesce(F.contains(F.lower(F.col(f"`{c}`")), F.lit(t)), F.lit(False)) for t in terms[:5] for c in columns]
+    wanted = search_terms(question, terms)
+    if wanted:
+        hits = [F.coalesce(F.contains(F.lower(F.col(f"`{c}`")), F.lit(t)), F.lit(False)) for t in wanted for c in columns]
         return df.where(reduce(lambda a, b: a | b, hits))
-    if level and "error" in q:
-        return df.where(F.lower(F.col(level)).rlike("error|critical"))
-    if level and "warning" in q:
-        return df.where(F.lower(F.col(level)).contains("warning"))
+    for word, forms in (("error", ["error", "critical"]), ("warning", ["warning"])):
+        if level and word in question.lower():
+            return df.where(reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(level)), F.lit(x)) for x in forms]))
     return df.orderBy(*order).limit(limit)

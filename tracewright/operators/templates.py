@@ -238,5 +238,5 @@ def _pattern(template: str) -> re.Pattern:
 
 
 def extracted(template: str | None, body: str | None) -> str:
-    m = _pattern(template).fullmatch(" ".join(body.split())) if template is not None and body is not None else None
+    m = _pattern(" ".join(template.split())).fullmatch(" ".join(body.split())) if template is not None and body is not None else None
     return json.dumps({str(i): v for i, v in enumerate(m.groups())} if m else {}, ensure_ascii=False)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import payload
-from tracewright.functions.text import basename, cell, description, duration_text, is_nullish, or_null, strip_dot0
+from tracewright.functions.text import basename, cell, description, duration_text, is_nullish, or_null, strip_dot0, utc_second
 from tracewright.operators.order import numbered_rows
 from tracewright.schema import resolve_columns
 
@@ -84,7 +84,7 @@ def findings(df: DataFrame, ts: str, scope: int | None = None, templates: int =
     at = {k: F.col(f"`{c}`") for k, c in resolve_columns(df.columns).items()}
     none = F.lit(None).cast("string")
     col = lambda k: at.get(k, none)
-    first = span(df, ts).withColumn("n", F.lit(0)).first()
+    first = span(df, ts).withColumns({"first_ts": utc_second(F.col("first_ts")), "last_ts": utc_second(F.col("last_ts"))}).first()
     n = df.count()
     most = [(r["v"], r["n"], r["d"]) for r in top(df, strip_dot0(col("event_id")), "v", 3).withColumn("d", description(F.col("v"))).collect()]
     values = payload_facets(df, col("event_data"))
@@ -102,7 +102,7 @@ def card(question: str, f: dict) -> str:
     if not f["records"]:
         return f"### Findings\n\nNo records match: {question.strip()}"
     events = "; ".join(f"Event {e}{f' ({d})' if d else ''}: {n:,}" for e, n, d in f["events"])
-    lines = [f"Question: {question.strip()}", f"Records: {f['records']:,} ({f['scope_percent']} % of the scope)", f"Span: {f['first']} to {f['last']} ({f['duration']})", f"Hosts: {', '.join(f['hosts']) or 'N/A'}", f"Users: {', '.join(f['users']) or 'N/A'}", "Levels: " + ", ".join(f"{k}: {v:,}" for k, v in f["levels"].items()), f"Events: {events or 'N/A'}"]
+    lines = [f"Question: {question.strip()}", f"Records: {f['records']:,} ({f['scope_percent']:.2f} % of the scope)", f"Span: {f['first']} to {f['last']} ({f['duration']})", f"Hosts: {', '.join(f['hosts']) or 'N/A'}", f"Users: {', '.join(f['users']) or 'N/A'}", "Levels: " + ", ".join(f"{k}: {v:,}" for k, v in f["levels"].items()), f"Events: {events or 'N/A'}"]
     lines += [f"{k.capitalize()}: {', '.join(v)}" for k, v in f["payload"].items() if v]
     return "### Findings\n\n" + "\n".join(f"- {x}" for x in lines)
 

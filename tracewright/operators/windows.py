@@ -113,9 +113,10 @@ def _member(name: str):
     return lambda r: r[name]
 
 
-def chunks(df: DataFrame, by: list[str], order: list[Column], at_us: str, line: str, fields: dict[str, str]) -> DataFrame:
-    """One row per ``by`` (bounded by the slices' budget): joined lines, times, row count, and the distinct values of each field in order of appearance."""
-    packed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(line).alias("line"), *[or_null(F.col(c)).alias(n) for n, c in fields.items()])
+def chunks(df: DataFrame, by: list[str], order: list[Column], at_us: str, line: str, fields: dict[str, str], row_id: str | None = None) -> DataFrame:
+    """One row per ``by`` (bounded by the slices' budget): joined lines, times, row count, and the distinct values of each field in order of appearance; ``source_rows`` are the ids of its rows if ``row_id`` names them."""
+    ids = {"source_rows": F.col(row_id).cast("string")} if row_id else {}
+    packed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(line).alias("line"), *[or_null(F.col(c)).alias(n) for n, c in fields.items()], *[c.alias(n) for n, c in ids.items()])
     g = df.groupBy(*by).agg(F.array_sort(F.collect_list(packed)).alias("rows"), F.min(at_us).alias("start_us"), F.max(at_us).alias("end_us"), F.count(F.lit(1)).alias("raw_row_count"))
     distinct = [F.array_distinct(F.filter(F.transform("rows", _member(n)), lambda v: v.isNotNull())).alias(n) for n in fields]
-    return g.select(*by, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"), "start_us", "end_us", "raw_row_count", *distinct)
+    return g.select(*by, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"), "start_us", "end_us", "raw_row_count", *distinct, *[F.transform("rows", _member(n)).alias(n) for n in ids])

@@ -5,50 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.functions.entities import utc_micros
+from tracewright.functions.entities import host_form, integer_form, utc_micros
+from tracewright.operators.timestamps import with_instant
 from tracewright.plans.tables import table
+from tracewright.plans.times_sql import TIMES_SQL, host_sql
 
-# Event types of the events table: (event id, channel, level, provider).
-_TYPES = {
-    "error": ("1000", "Application", "Error", "Application Error"),
-    "click": ("4624", "Security", "LogAlways", "Microsoft-Windows-Security-Auditing"),
-    "view": ("4688", "Security", "LogAlways", "Microsoft-Windows-Security-Auditing"),
-    "purchase": ("7036", "System", "Information", "Service Control Manager"),
-    "signup": ("4720", "Security", "LogAlways", "Microsoft-Windows-Security-Auditing"),
-}
-_COLUMNS = ["EventID", "Channel", "LevelName", "Provider"]
+def records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """canonical_logs with exact copies once, plus ``host`` (normal form), ``seq`` (numeric record id), ``t_us`` and ``ts`` (instant, null where it has none).
 
-
-def event_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table as canonical records, with ``ts`` (timestamp), ``t_us`` and ``seq``."""
-    e = table(spark, folder, "events")
-
-    def of(i: int) -> F.Column:
-        c = F.lit(None).cast("string")
-        for kind, values in _TYPES.items():
-            c = F.when(F.col("event_type") == kind, F.lit(values[i])).otherwise(c)
-        return c
-
-    u, ts = F.col("user_id"), F.col("ts").cast("timestamp")
-    k = F.get_json_object("props", "$.k")
-    body = F.concat(F.lit('{"TargetUserName":"user_'), u, F.lit('","IpAddress":"10.0.0.'), u % 250, F.lit('","TargetLogonId":"0x'), F.lower(F.hex(u + 4096)), F.lit('","k":'), k, F.lit("}"))
-    return e.select(
-        F.col("event_id").cast("string").alias("RecordID"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("TimeCreated"), *[of(i).alias(n) for i, n in enumerate(_COLUMNS)],
-        F.concat(F.lit("HOST-"), u % 10).alias("Computer"), F.concat(F.lit("user_"), u).alias("UserID"), (u % 50 + 1000).cast("string").alias("ProcessID"), body.alias("EventData"),
-        F.concat("event_type", F.lit(" by user_"), u, F.lit(" value "), k).alias("Message"), ts.alias("ts"), F.unix_micros(ts).alias("t_us"), F.col("event_id").alias("seq"),
-    )
-
-
-def _case(i: int) -> str:
-    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in _TYPES.items()) + " END"
+    Only the columns named (and the record's id, time and computer) are read.
+    """
+    df = logs(spark, folder)
+    if columns:
+        df = df.select(*dict.fromkeys(["RecordID", "TimeCreated", "Computer", *columns]))
+    df = df.distinct().withColumns({"host": host_form(F.col("Computer")), "seq": integer_form(F.col("RecordID"))})
+    return with_instant(df, "TimeCreated", F.col("host"), table(spark, folder, "host_zones"), "t_us").withColumn("ts", F.timestamp_micros("t_us"))
 
 
 RECORDS_SQL = f"""
-ev AS (SELECT *, json_extract_string(props, '$.k') AS k FROM events),
-records AS (SELECT CAST(event_id AS VARCHAR) AS RecordID, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS TimeCreated, {", ".join(f"{_case(i)} AS {n}" for i, n in enumerate(_COLUMNS))},
-  'HOST-' || (user_id % 10) AS Computer, 'user_' || user_id AS UserID, CAST(1000 + user_id % 50 AS VARCHAR) AS ProcessID,
-  '{{"TargetUserName":"user_' || user_id || '","IpAddress":"10.0.0.' || (user_id % 250) || '","TargetLogonId":"0x' || lower(to_hex(user_id + 4096)) || '","k":' || k || '}}' AS EventData,
-  event_type || ' by user_' || user_id || ' value ' || k AS Message, ts, epoch_us(ts) AS t_us, event_id AS seq FROM ev)
+texts AS (SELECT DISTINCT *, TimeCreated AS text, {host_sql("Computer")} AS host FROM canonical_logs),
+{TIMES_SQL},
+records AS (SELECT *, CAST(RecordID AS BIGINT) AS seq, utc_us AS t_us, make_timestamp(utc_us) AS ts FROM instants)
 """
 
 

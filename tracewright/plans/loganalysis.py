@@ -12,13 +12,15 @@ from tracewright.functions.entities import integer_form
 from tracewright.operators import correlate, filters, records, templates, vectors, views, windows
 from tracewright.operators.order import numbered_rows
 from tracewright.operators.filters import EntityFilters, QueryFilter, TimeRange
-from tracewright.plans.base import INDEX_SQL, RECORDS_SQL, entity_index, event_records, logs
+from tracewright.plans.base import INDEX_SQL, RECORDS_SQL, entity_index, logs
+from tracewright.plans.base import records as timed
 from tracewright.plans.parser import parse
 from tracewright.plans.pipeline import Pipeline
 from tracewright.plans.tables import table
-from tracewright.schema import EVENT_DESCRIPTIONS, EVENT_FAMILIES, MASKS
-from tracewright.session import scratch_folder
-from tracewright.sources import writers
+from tracewright.schema import CANONICAL, EVENT_DESCRIPTIONS, EVENT_FAMILIES, MASKS
+from tracewright.session import broadcast_if_small, scratch_folder
+from tracewright.sources import readers, writers
+from tracewright.streaming import incremental
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -63,7 +65,6 @@ _FILTERS = {
     "filter_json_ip": (dict(ip_address="10.44.0.9"), _held(payload.keys_of("ip_address"), "10.44.0.9")),
     "filter_json_ip_by_event": (dict(event_id="4624", ip_address="10.44.0.9"), f"{_PLAIN('EventID')} = '4624' AND " + _held(["IpAddress"], "10.44.0.9")),
     "filter_logon_id": (dict(logon_id="0x3E7"), _held(payload.keys_of("logon_id"), "0x3e7")),
-    "filter_status_code": (dict(status_code="0xC000006D"), _held(payload.keys_of("status_code"), "0xc000006d")),
     "filter_process_id_hex_dec": (dict(process_id="0x428"), "(lower(trim(ProcessID)) IN ('1064', '1064.0', '0x428') OR " + _held(payload.keys_of("process_id"), "1064", "0x428") + ")"),
     "filter_process_name": (dict(process_name="umbauth.exe"), "(" + _held(payload.keys_of("process_name"), "umbauth.exe") + " OR lower(json_extract_string(TRY_CAST(EventData AS JSON), '$.NewProcessName')) LIKE '%umbauth.exe%' OR lower(json_extract_string(TRY_CAST(EventData AS JSON), '$.ProcessName')) LIKE '%umbauth.exe%')"),
     "filter_thread_id": (dict(thread_id="102"), f"{_PLAIN('ThreadID')} = '102'"),
@@ -75,19 +76,31 @@ _FILTERS = {
 for _name, (_kw, _where) in _FILTERS.items():
     query(_name, _DEDUP + _where)(lambda spark, folder, kw=_kw: _filtered(spark, folder, **kw))
 
-_RANGE = ("2024-01-05T06:00:00Z", "2024-01-12T18:30:00Z")
+# The payloads of this log hold no status; it stands in the message and is put into one here.
+_STATUS = "0xC000E7ED"
 
 
-@query("filter_time_range", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated, EventID FROM records WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-12 18:30:00'")
+@query("filter_status_code", f"SELECT DISTINCT RecordID, EventID, Channel FROM canonical_logs WHERE regexp_extract(Message, 'status (0x[0-9A-Fa-f]+)', 1) = '{_STATUS}'")
 def _(spark, folder):
-    r = event_records(spark, folder)
-    return filters.run(r, QueryFilter(time_range=TimeRange(*_RANGE)), instant="ts").select("RecordID", "TimeCreated", "EventID")
+    df = logs(spark, folder).withColumn("EventData", F.to_json(F.struct(F.nullif(F.regexp_extract("Message", "status (0x[0-9A-Fa-f]+)", 1), F.lit("")).alias("Status"))))
+    return df.where(filters.predicate(QueryFilter(entity_filters=EntityFilters(status_code=_STATUS.lower())), df.columns)).select(*_SHOWN).distinct()
+
+
+_RANGE = ("2014-10-12T06:00:00Z", "2014-10-19T18:30:00Z")
+_IN_RANGE = "ts BETWEEN TIMESTAMP '2014-10-12 06:00:00' AND TIMESTAMP '2014-10-19 18:30:00'"
+
+
+@query("filter_time_range", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated, EventID FROM records WHERE {_IN_RANGE}")
+def _(spark, folder):
+    df = logs(spark, folder).select("RecordID", "TimeCreated", "EventID", "Computer").distinct()
+    return filters.run(df, QueryFilter(time_range=TimeRange(*_RANGE)), zones=table(spark, folder, "host_zones")).select("RecordID", "TimeCreated", "EventID")
 
 
-@query("filter_combined", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated FROM records WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-12 18:30:00' AND Channel = 'Security' AND EventID = '4624' AND UserID = 'user_7'")
+@query("filter_combined", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated FROM records WHERE {_IN_RANGE} AND lower(Channel) = 'security' AND {_PLAIN('EventID')} = '4624' AND " + _FILTERS["filter_user_sid_equivalence"][1])
 def _(spark, folder):
-    f = QueryFilter(time_range=TimeRange(*_RANGE), source_type="Security", event_id="4624", entity_filters=EntityFilters(user_id="user_7"))
-    return filters.run(event_records(spark, folder), f, instant="ts").select("RecordID", "TimeCreated")
+    df = logs(spark, folder).select("RecordID", "TimeCreated", "EventID", "Channel", "Computer", "UserID", "EventData").distinct()
+    f = QueryFilter(time_range=TimeRange(*_RANGE), source_type="Security", event_id="4624", entity_filters=EntityFilters(user_id="S-1-5-18"))
+    return filters.run(df, f, zones=table(spark, folder, "host_zones")).select("RecordID", "TimeCreated")
 
 
 @query("keyword_search", "SELECT DISTINCT RecordID, EventID, Channel FROM canonical_logs WHERE contains(lower(Message), 'paused') OR contains(lower(Provider), 'paused') OR contains(lower(EventData), 'paused')")
@@ -134,10 +147,10 @@ def _(spark, folder):
     return filters.fallback_search(logs(spark, folder), "show when QuillAgent changed", ["Message", "EventData"], ["RecordID"]).select(*_SHOWN).distinct()
 
 
-@query("nl_filter", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated, Channel FROM records WHERE Channel = 'Security' AND EventID = '4624' AND ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-10 23:59:59'")
+@query("nl_filter", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated, Channel FROM records WHERE lower(Channel) = 'security' AND {_PLAIN('EventID')} = '4624' AND ts BETWEEN TIMESTAMP '2014-10-10 00:00:00' AND TIMESTAMP '2014-10-10 23:59:59'")
 def _(spark, folder):
-    f = parse("all successful logon events on 2024-01-10", datetime(2024, 1, 30, tzinfo=timezone.utc))
-    return filters.run(event_records(spark, folder), f, instant="ts").select("RecordID", "TimeCreated", "Channel")
+    f = parse("all successful logon events on 2014-10-10", datetime(2014, 10, 30, tzinfo=timezone.utc))
+    return filters.run(timed(spark, folder, "EventID", "Channel"), f, instant="ts").select("RecordID", "TimeCreated", "Channel")
 
 
 # Joins between records, instances and templates.
@@ -164,12 +177,10 @@ def _(spark, folder):
     return table(spark, folder, "template_instances").groupBy("template_id").agg(F.count_distinct("instance_id").alias("n_instances"), F.count_distinct("event_record_id").alias("n_records"))
 
 
-@query("consolidated_union", f"WITH {RECORDS_SQL} SELECT SourceLog, Channel, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'security.csv' AS SourceLog, Channel FROM records WHERE Channel = 'Security' UNION ALL SELECT 'other.csv', Channel FROM records WHERE Channel <> 'Security') GROUP BY ALL")
+@query("consolidated_union", "SELECT \"SourceLog\", template_id, CAST(count(*) AS BIGINT) AS n, CAST(count(instance_id) AS BIGINT) AS n_instances FROM (SELECT 'log_templates.parquet' AS \"SourceLog\", template_id, NULL AS instance_id FROM log_templates UNION ALL SELECT 'template_instances.parquet', template_id, instance_id FROM template_instances) GROUP BY ALL")
 def _(spark, folder):
-    r = event_records(spark, folder)
-    a = r.where("Channel = 'Security'").withColumn("SourceLog", F.lit("security.csv"))
-    b = r.where("Channel <> 'Security'").drop("Message").withColumn("SourceLog", F.lit("other.csv"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("SourceLog", "Channel").agg(F.count(F.lit(1)).alias("n"))
+    both = readers.read_many(spark, [f"{folder}/log_templates.parquet", f"{folder}/template_instances.parquet"])
+    return both.groupBy("SourceLog", "template_id").agg(F.count(F.lit(1)).alias("n"), F.count("instance_id").alias("n_instances"))
 
 
 @query("ordered_union_of_ids", "SELECT id, CAST(min(s) AS INTEGER) AS source FROM (SELECT RecordID AS id, 0 AS s FROM canonical_logs WHERE EventID = '4672' UNION ALL SELECT event_record_id, 1 FROM entity_correlations WHERE entity_type = 'logon_id') GROUP BY id")
@@ -226,17 +237,17 @@ def _(spark, folder):
 
 @query("coverage_span", f"WITH {RECORDS_SQL}, g AS (SELECT min(ts) AS a, max(ts) AS b FROM records), s AS (SELECT a, b, CAST(floor((epoch_us(b) - epoch_us(a)) / 1000000) AS BIGINT) AS n FROM g) SELECT strftime(a, '%Y-%m-%dT%H:%M:%SZ') AS first_utc, strftime(b, '%Y-%m-%dT%H:%M:%SZ') AS last_utc, n AS seconds, (n // 86400) || 'd ' || ((n % 86400) // 3600) || 'h' AS duration FROM s")
 def _(spark, folder):
-    return views.span(event_records(spark, folder), "ts").select(text.utc_second(F.col("first_ts")).alias("first_utc"), text.utc_second(F.col("last_ts")).alias("last_utc"), "seconds", "duration")
+    return views.span(timed(spark, folder), "ts").select(text.utc_second(F.col("first_ts")).alias("first_utc"), text.utc_second(F.col("last_ts")).alias("last_utc"), "seconds", "duration")
 
 
-@query("page_of_records", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated, Channel FROM records ORDER BY CAST(RecordID AS BIGINT) DESC LIMIT 50 OFFSET 100")
+@query("page_of_records", "SELECT DISTINCT RecordID, TimeCreated, Channel FROM canonical_logs ORDER BY CAST(RecordID AS BIGINT) DESC LIMIT 50 OFFSET 100")
 def _(spark, folder):
-    return views.page(event_records(spark, folder).select("RecordID", "TimeCreated", "Channel"), [views.record_order(F.col("RecordID")).desc()], 3, 50)
+    return views.page(logs(spark, folder).select("RecordID", "TimeCreated", "Channel").distinct(), [views.record_order(F.col("RecordID")).desc()], 3, 50)
 
 
-@query("converter_order", f"WITH {RECORDS_SQL} SELECT RecordID, CAST(row_number() OVER (ORDER BY CAST(RecordID AS BIGINT)) - 1 AS BIGINT) AS place FROM records")
+@query("converter_order", "SELECT RecordID, CAST(row_number() OVER (ORDER BY CAST(RecordID AS BIGINT)) - 1 AS BIGINT) AS place FROM (SELECT DISTINCT RecordID, TimeCreated FROM canonical_logs)")
 def _(spark, folder):
-    r = event_records(spark, folder).select("RecordID", "TimeCreated")
+    r = logs(spark, folder).select("RecordID", "TimeCreated").distinct()
     return numbered_rows(r, views.converter_order(F.col("RecordID"), F.col("TimeCreated")), "place").select("RecordID", "place")
 
 
@@ -246,43 +257,68 @@ def _(spark, folder):
     return logs(spark, folder).groupBy(e.alias("event_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("description", text.description(F.col("event_id")))
 
 
-@query("findings_card")
-def _(spark, folder):
-    r = event_records(spark, folder)
-    f = views.findings(r.where("EventID = '4624'"), "ts", r.count())
-    return spark.createDataFrame([(views.card("successful logons", f),)], "card string")
+def _most_sql(source: str, expr: str, k: int, how: str) -> str:
+    """``how`` of the k most frequent values v (with n), in their order."""
+    return f"(SELECT coalesce(string_agg({how}, ', ' ORDER BY n DESC, v), 'N/A') FROM (SELECT {expr} AS v, count(*) AS n FROM {source} WHERE {expr} IS NOT NULL AND lower(trim({expr})) NOT IN {_WORDS} GROUP BY 1 ORDER BY n DESC, v LIMIT {k}))"
 
 
-@query("first_fifty_in_time", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated FROM records ORDER BY ts, RecordID LIMIT 50")
-def _(spark, folder):
-    return filters.run(event_records(spark, folder), QueryFilter(), None, 50, "ts").select("RecordID", "TimeCreated")
+def _card_sql() -> str:
+    # Comma groups up to a billion.
+    number = lambda e: f"regexp_replace(regexp_replace(CAST({e} AS VARCHAR), '(\\d)(\\d{{3}})$', '\\1,\\2'), '(\\d)(\\d{{3}}),', '\\1,\\2,')"
+    facets = " ".join(f"UNION ALL SELECT '{f.capitalize()}: ' || string_agg(value, ', ' ORDER BY n DESC, value) FROM (SELECT * FROM fac WHERE facet = '{f}' ORDER BY n DESC, value LIMIT 3) HAVING count(*) > 0" for f in views.FACETS)
+    described = " ".join(f"WHEN '{k}' THEN ' ({q(v)})'" for k, v in EVENT_DESCRIPTIONS.items())
+    return f"""WITH {RECORDS_SQL}, m AS (SELECT *, {_PLAIN('EventID')} AS eid FROM records WHERE {_PLAIN('EventID')} = '4624'),
+g AS (SELECT min(ts) AS a, max(ts) AS b, count(*) AS n, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS secs FROM m),
+fac AS (SELECT facet, value, count(*) AS n FROM ({_facet_rows('m')}) GROUP BY ALL)
+SELECT 'Question: successful logons' AS line
+UNION ALL SELECT 'Records: ' || {number('n')} || ' (' || printf('%.2f', n / (SELECT count(*) FROM records) * 100) || ' % of the scope)' FROM g
+UNION ALL SELECT 'Span: ' || strftime(a, '%Y-%m-%dT%H:%M:%SZ') || ' to ' || strftime(b, '%Y-%m-%dT%H:%M:%SZ') || ' (' || (secs // 86400) || 'd ' || ((secs % 86400) // 3600) || 'h)' FROM g
+UNION ALL SELECT 'Hosts: ' || {_most_sql('m', 'Computer', 2, 'v')}
+UNION ALL SELECT 'Users: ' || {_most_sql('m', 'UserID', 3, 'v')}
+UNION ALL SELECT 'Levels: ' || {_most_sql('m', 'LevelName', 20, "v || ': ' || " + number('n'))}
+UNION ALL SELECT 'Events: ' || {_most_sql('m', 'eid', 3, f"'Event ' || v || CASE v {described} ELSE '' END || ': ' || " + number('n'))}
+{facets}"""
 
 
-@query("pick_list", f"SELECT DISTINCT trim(Provider) AS value FROM canonical_logs WHERE lower(trim(Provider)) NOT IN {_WORDS}")
-def _(spark, folder):
-    return views.pick_list(logs(spark, folder), "Provider")
-
-
-def _facet_sql() -> str:
+def _facet_rows(source: str) -> str:
     parts = []
     for facet, (keys, none) in views.FACETS.items():
         for k in keys:
             v = f"trim(json_extract_string(TRY_CAST(EventData AS JSON), '$.{k}'))"
             shown = f"regexp_replace({v}, '^.*[\\\\/]', '')" if facet == "processes" else v
             drop = "" if not none else f" AND {v} NOT IN ({', '.join(repr(n) for n in none)})"
-            parts.append(f"SELECT rid, '{facet}' AS facet, {shown} AS value FROM r WHERE {v} IS NOT NULL AND lower({v}) NOT IN {_WORDS}{drop}")
-    return "WITH r AS (SELECT row_number() OVER () AS rid, EventData FROM canonical_logs), x AS (" + " UNION ".join(parts) + ") SELECT facet, value, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY ALL"
+            parts.append(f"SELECT rid, '{facet}' AS facet, {shown} AS value FROM (SELECT row_number() OVER () AS rid, EventData FROM {source}) WHERE {v} IS NOT NULL AND lower({v}) NOT IN {_WORDS}{drop}")
+    return " UNION ".join(parts)
+
+
+@query("findings_card", _card_sql())
+def _(spark, folder):
+    r = timed(spark, folder, "EventID", "Computer", "UserID", "LevelName", "Provider", "EventData")
+    f = views.findings(r.where(text.strip_dot0(F.col("EventID")) == "4624"), "ts", r.count())
+    lines = [x[2:] for x in views.card("successful logons", f).splitlines() if x.startswith("- ")]
+    return spark.createDataFrame([(x,) for x in lines], "line string")
 
 
-@query("payload_facets", _facet_sql())
+@query("first_fifty_in_time", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated FROM records ORDER BY ts NULLS LAST, RecordID LIMIT 50")
+def _(spark, folder):
+    df = logs(spark, folder).select("RecordID", "TimeCreated", "Computer").distinct()
+    return filters.run(df, QueryFilter(), None, 50, zones=table(spark, folder, "host_zones")).select("RecordID", "TimeCreated")
+
+
+@query("pick_list", f"SELECT DISTINCT trim(Provider) AS value FROM canonical_logs WHERE lower(trim(Provider)) NOT IN {_WORDS}")
+def _(spark, folder):
+    return views.pick_list(logs(spark, folder), "Provider")
+
+
+@query("payload_facets", f"SELECT facet, value, CAST(count(*) AS BIGINT) AS n FROM ({_facet_rows('canonical_logs')}) GROUP BY ALL")
 def _(spark, folder):
     return views.payload_facets(logs(spark, folder), F.col("EventData"))
 
 
 @query("dedup_ratio", "SELECT CAST(count(DISTINCT instance_id) AS BIGINT) AS records, CAST(count(DISTINCT template_id) AS BIGINT) AS templates, round((1 - count(DISTINCT template_id) / count(DISTINCT instance_id)) * 100, 6) AS saved_percent FROM template_instances")
 def _(spark, folder):
-    g = table(spark, folder, "template_instances").agg(F.count_distinct("instance_id").alias("records"), F.count_distinct("template_id").alias("templates"))
-    return g.withColumn("saved_percent", F.round((1 - F.col("templates") / F.col("records")) * 100, 6))
+    n, t = table(spark, folder, "template_instances").agg(F.count_distinct("instance_id"), F.count_distinct("template_id")).first()
+    return spark.createDataFrame([(n, t, round(views.dedup_ratio(n, t), 6))], "records long, templates long, saved_percent double")
 
 
 # Templates.
@@ -320,11 +356,13 @@ d3 AS (SELECT *, min(seq) OVER (PARTITION BY channel, masked) AS opened FROM d2)
 d4 AS (SELECT *, dense_rank() OVER (PARTITION BY channel ORDER BY opened, masked) AS cluster FROM d3),
 d5 AS (SELECT *, 'TPL_' || upper(regexp_replace(channel, '[^A-Za-z0-9]', '', 'g')) || '_' || CASE WHEN regexp_replace(event_id, '[^A-Za-z0-9]', '', 'g') = '' THEN '0' ELSE regexp_replace(event_id, '[^A-Za-z0-9]', '', 'g') END || '_' || CASE WHEN cluster < 10000 THEN lpad(CAST(cluster AS VARCHAR), 4, '0') ELSE CAST(cluster AS VARCHAR) END AS template_id FROM d4)
 """
-_ROLLUP_SQL = f"""WITH {_PREPARED_SQL}
-SELECT template_id, min(channel) AS source_type, arg_min(provider, seq) AS provider, min(event_id) AS event_id,
-  arg_max(level, (CASE level WHEN 'Critical' THEN 4 WHEN 'Error' THEN 3 WHEN 'Warning' THEN 2 WHEN 'Verbose' THEN 0 ELSE 1 END) * 1000000000000 - seq) AS level,
-  arg_max(masked, seq) AS template_string, min(nullif(time, '')) AS first_seen_utc, max(nullif(time, '')) AS last_seen_utc, CAST(count(*) AS BIGINT) AS total_count
-FROM d5 GROUP BY template_id"""
+_LEVEL_RANK = "(CASE level WHEN 'Critical' THEN 4 WHEN 'Error' THEN 3 WHEN 'Warning' THEN 2 WHEN 'Verbose' THEN 0 ELSE 1 END)"
+_ROLLED = f"""min(channel) AS source_type, arg_min(provider, seq) AS provider, min(event_id) AS event_id, arg_max(level, {_LEVEL_RANK} * 1000000000000 - seq) AS level,
+  arg_max(masked, seq) AS template_string, min(nullif(time, '')) AS first_seen_utc, max(nullif(time, '')) AS last_seen_utc, CAST(count(*) AS BIGINT) AS total_count"""
+_ROLLUP_SQL = f"WITH {_PREPARED_SQL} SELECT template_id, {_ROLLED} FROM d5 GROUP BY template_id"
+_MERGE_SQL = f"""WITH {_PREPARED_SQL}, half AS (SELECT template_id, seq % 2 AS age, {_ROLLED} FROM d5 GROUP BY template_id, seq % 2)
+SELECT template_id, arg_min(source_type, age) AS source_type, arg_min(provider, age) AS provider, arg_min(event_id, age) AS event_id, arg_max(level, {_LEVEL_RANK} * 10 - age) AS level,
+  arg_max(template_string, age) AS template_string, min(first_seen_utc) AS first_seen_utc, max(last_seen_utc) AS last_seen_utc, CAST(sum(total_count) AS BIGINT) AS total_count FROM half GROUP BY template_id"""
 
 
 @query("signature_template_rollup", _ROLLUP_SQL)
@@ -332,14 +370,11 @@ def _(spark, folder):
     return templates.rollup(templates.signatures(_prepared(spark, folder)))
 
 
-@query("template_merge", _ROLLUP_SQL)
+@query("template_merge", _MERGE_SQL)
 def _(spark, folder):
     s = templates.signatures(_prepared(spark, folder))
-    cut = F.col("seq") % 2 == 0
-    m = templates.merge(templates.rollup(s.where(cut)), templates.rollup(s.where(~cut)))
-    # Which provider, text and tie of levels is older is a matter of the halves; the sums are not.
-    whole = templates.rollup(s).select("template_id", "provider", "level", "template_string")
-    return m.drop("provider", "level", "template_string").join(whole, "template_id").select("template_id", "source_type", "provider", "event_id", "level", "template_string", "first_seen_utc", "last_seen_utc", "total_count")
+    even = F.col("seq") % 2 == 0
+    return templates.merge(templates.rollup(s.where(even)), templates.rollup(s.where(~even)))
 
 
 @query("integrity_check", f"WITH {_PREPARED_SQL}, n AS (SELECT CAST(count(*) AS BIGINT) AS c, CAST(count(DISTINCT template_id) AS BIGINT) AS t FROM d5) SELECT c AS canonical_count, c AS instance_count, c AS template_sum_count, t AS template_count, true AS integrity_valid FROM n")
@@ -359,9 +394,18 @@ def _(spark, folder):
     return templates.instances(templates.mine(_prepared(spark, folder, payload_too=True)))
 
 
-@query("template_variables")
+_WILD = r"<\*>|<[A-Z]+>"
+_VARIABLES_SQL = rf"""WITH t AS (SELECT template_id, trim(regexp_replace(template_string, '\s+', ' ', 'g')) AS t FROM log_templates),
+p AS (SELECT template_id, len(regexp_extract_all(t, '{_WILD}')) AS k, '^' || regexp_replace(regexp_replace(t, '([.^$*+?()\[\]{{}}|\\])', '\\\1', 'g'), '<\\\*>|<[A-Z]+>', '(.+?)', 'g') || '$' AS p FROM t),
+b AS (SELECT DISTINCT instance_id, k, p, trim(regexp_replace(Message, '\s+', ' ', 'g')) AS body FROM template_instances JOIN p USING (template_id) JOIN canonical_logs ON event_record_id = RecordID)
+SELECT instance_id, CASE WHEN NOT coalesce(regexp_matches(body, p), false) THEN '{{}}' ELSE '{{' || array_to_string(list_transform(range(k), lambda i: '"' || i || '": ' || CAST(to_json(CASE i {" ".join(f"WHEN {i} THEN regexp_extract(body, p, {i + 1})" for i in range(9))} END) AS VARCHAR)), ', ') || '}}' END AS variables FROM b"""
+
+
+@query("template_variables", _VARIABLES_SQL)
 def _(spark, folder):
-    i = table(spark, folder, "template_instances").join(F.broadcast(table(spark, folder, "log_templates").select("template_id", "template_string")), "template_id")
+    # The templates are those of the distinct messages, so their number is looked at before they are broadcast.
+    t = broadcast_if_small(table(spark, folder, "log_templates").select("template_id", "template_string"), 100_000)
+    i = table(spark, folder, "template_instances").join(t, "template_id")
     m = logs(spark, folder).select("RecordID", "Message").distinct()
     return i.join(m, F.col("event_record_id") == F.col("RecordID")).select("instance_id", templates.variables(F.col("template_string"), F.col("Message")).alias("variables")).distinct()
 
@@ -369,10 +413,9 @@ def _(spark, folder):
 _FAM_VALUES = ", ".join(f"('{k}', '{q(v)}')" for k, v in EVENT_FAMILIES.items())
 
 
-@query("representative_documents", f"WITH f(id, label) AS (VALUES {_FAM_VALUES}) SELECT template_id, '[Source: ' || source_type || '] [Level: ' || {_CAP('level')} || '] [EventID: ' || event_id || '] [Family: ' || CASE WHEN label IS NOT NULL THEN 'Event ' || event_id || ': ' || label ELSE source_type || ' Event ' || event_id END || '] [Provider: ' || provider || '] Template: ' || template_string AS text, total_count FROM (SELECT *, CASE WHEN event_id = '4625' THEN 'error' ELSE 'information' END AS level FROM (SELECT template_id, source_type, provider, event_id, template_string, total_count FROM log_templates)) LEFT JOIN f ON event_id = id")
+@query("representative_documents", f"WITH f(id, label) AS (VALUES {_FAM_VALUES}) SELECT template_id, '[Source: ' || source_type || '] [Level: ' || {_CAP("coalesce(level, 'Information')")} || '] [EventID: ' || event_id || '] [Family: ' || CASE WHEN label IS NOT NULL THEN 'Event ' || event_id || ': ' || label ELSE source_type || ' Event ' || event_id END || '] [Provider: ' || provider || '] Template: ' || template_string AS text, total_count FROM log_templates LEFT JOIN f ON event_id = id")
 def _(spark, folder):
-    t = table(spark, folder, "log_templates").drop("level").withColumn("level", F.when(F.col("event_id") == "4625", "error").otherwise("information"))
-    return templates.representative(t)
+    return templates.representative(table(spark, folder, "log_templates"))
 
 
 # Entities and links.
@@ -399,32 +442,40 @@ def _extract_sql() -> str:
     host = f"coalesce(nullif(trim(Computer), ''), {j('WorkstationName')}, {j('ComputerName')})"
     rows.append(("computer", f"CASE WHEN {host} NOT IN ('-', 'None', 'null') THEN {host} END"))
     cells = " UNION ALL ".join(f"SELECT rid, {_PLAIN('RecordID')} AS record_id, {i} AS seq, '{t}' AS entity_type, {v} AS entity_value FROM r" for i, (t, v) in enumerate(rows))
-    return f"WITH r AS (SELECT *, row_number() OVER () AS rid, TRY_CAST(EventData AS JSON) AS j FROM (SELECT DISTINCT * FROM canonical_logs)), x AS ({cells}), y AS (SELECT * FROM x WHERE entity_value IS NOT NULL AND entity_value <> '' AND lower(entity_value) NOT IN ('nan', 'none', 'null')) SELECT record_id, entity_type, arg_min(entity_value, seq) AS entity_value FROM y GROUP BY rid, record_id, entity_type, lower(entity_value)"
+    return f"WITH r AS (SELECT *, row_number() OVER () AS rid, TRY_CAST(EventData AS JSON) AS j FROM (SELECT DISTINCT * FROM canonical_logs)), x AS ({cells}), y AS (SELECT * FROM x WHERE entity_value IS NOT NULL AND entity_value <> '' AND lower(entity_value) NOT IN ('nan', 'none', 'null')) SELECT record_id, entity_type, arg_min(entity_value, seq) AS entity_value, min(seq) AS seq FROM y GROUP BY rid, record_id, entity_type, lower(entity_value)"
+
 
+_ENTITY_COLUMNS = ["RecordID", "TimeCreated", "EventID", "Channel", "Provider", "Computer", "UserID", "ProcessID", "ThreadID", "ActivityID", "RelatedActivityID", "EventData"]
 
-@query("entity_extract", _extract_sql())
+
+@query("entity_extract", f"SELECT record_id, entity_type, entity_value FROM ({_extract_sql()})")
 def _(spark, folder):
-    return correlate.extract(logs(spark, folder).distinct()).select("record_id", "entity_type", "entity_value")
+    # Copies go by the columns that entities come from; no other is read.
+    return correlate.extract(logs(spark, folder).select(*_ENTITY_COLUMNS).distinct()).select("record_id", "entity_type", "entity_value")
 
 
-@query("process_starts_before", f"WITH {RECORDS_SQL} SELECT RecordID, max(CASE WHEN EventID IN ('1', '4688') THEN TimeCreated END) OVER (PARTITION BY Computer, ProcessID ORDER BY TimeCreated RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS started FROM records")
+@query("process_starts_before", f"WITH {RECORDS_SQL} SELECT RecordID, max(CASE WHEN {_PLAIN('EventID')} IN ('1', '4688') THEN {{'t': t_us, 's': coalesce(json_extract_string(TRY_CAST(EventData AS JSON), '$.UtcTime'), TimeCreated)}} END) OVER (PARTITION BY host, {_PLAIN('ProcessID')} ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW).s AS started FROM records WHERE t_us IS NOT NULL AND ProcessID IS NOT NULL")
 def _(spark, folder):
-    r = event_records(spark, folder)
-    return correlate.with_last_start(r, "Computer", "ProcessID", "TimeCreated", "started").select("RecordID", "started")
+    r = timed(spark, folder, "EventID", "ProcessID", "EventData").where("t_us is not null and ProcessID is not null")
+    return correlate.with_last_start(r, "t_us", "started").select("RecordID", "started")
 
 
 _ANCHOR = "1000000000"
+_SECONDS = "CAST(floor(abs(delta_s)) AS BIGINT)"
+_DELTA = f"CASE WHEN delta_s >= 0 THEN '+' ELSE '-' END || CASE WHEN {_SECONDS} < 60 THEN {_SECONDS} || 's' WHEN {_SECONDS} < 3600 THEN ({_SECONDS} // 60) || 'm ' || ({_SECONDS} % 60) || 's' ELSE ({_SECONDS} // 3600) || 'h ' || (({_SECONDS} % 3600) // 60) || 'm' END"
+_TOLD_SQL = f"""SELECT *, 'Shared ' || array_to_string(list_transform(string_split(entity_type, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ': `' || entity_value || '` (' || time_delta || ' in ' || coalesce(source_type, 'None') || ')' AS relation
+  FROM (SELECT event_record_id, source_type, event_id, entity_type, entity_value, confidence, confidence_weight, delta_s, {_DELTA} AS time_delta FROM m WHERE n = 1 ORDER BY confidence_weight DESC, abs(delta_s), event_record_id LIMIT 100)"""
 _LINKED_SQL = f"""WITH {INDEX_SQL},
 rules(entity_type, window_s, w) AS (VALUES ('logon_id', 43200, 1.0), ('activity_id', 43200, 1.0), ('user_id', 14400, 0.8), ('ip_address', 3600, 0.6), ('process_id_disambiguated', 43200, 1.0), ('process_id', 300, 0.3), ('thread_id', 300, 0.2), ('computer', 86400, 0.1)),
 a AS (SELECT idx.entity_type, lower(entity_value) AS v, min(correlation_id) AS o, (SELECT min(t_us) FROM idx i JOIN rules r2 ON i.entity_type = r2.entity_type WHERE i.event_record_id = '{_ANCHOR}' AND r2.w >= 0.2) AS t0, any_value(window_s) AS window_s FROM idx JOIN rules ON idx.entity_type = rules.entity_type WHERE event_record_id = '{_ANCHOR}' AND w >= 0.2 GROUP BY ALL),
-m AS (SELECT idx.event_record_id, idx.entity_type, idx.entity_value, idx.confidence_weight, (idx.t_us - a.t0) / 1e6 AS delta_s, row_number() OVER (PARTITION BY idx.event_record_id ORDER BY idx.confidence_weight DESC, a.o, abs(idx.t_us - a.t0), idx.correlation_id) AS n
+m AS (SELECT idx.event_record_id, idx.source_type, idx.event_id, idx.entity_type, idx.entity_value, idx.confidence, idx.confidence_weight, (idx.t_us - a.t0) / 1e6 AS delta_s, row_number() OVER (PARTITION BY idx.event_record_id ORDER BY idx.confidence_weight DESC, a.o, abs(idx.t_us - a.t0), idx.correlation_id) AS n
       FROM idx JOIN a ON idx.entity_type = a.entity_type AND lower(idx.entity_value) = a.v WHERE idx.event_record_id <> '{_ANCHOR}' AND abs(idx.t_us - a.t0) <= CAST(a.window_s AS BIGINT) * 1000000)
-SELECT event_record_id, entity_type, entity_value, confidence_weight, delta_s FROM m WHERE n = 1 ORDER BY confidence_weight DESC, abs(delta_s), event_record_id LIMIT 100"""
+{_TOLD_SQL}"""
 
 
 @query("correlate_anchor", _LINKED_SQL)
 def _(spark, folder):
-    return correlate.linked_to(entity_index(spark, folder), _ANCHOR).select("event_record_id", "entity_type", "entity_value", "confidence_weight", "delta_s")
+    return correlate.linked_to(entity_index(spark, folder), _ANCHOR)
 
 
 @query("correlate_all_counts", f"""WITH {INDEX_SQL}, e AS (SELECT DISTINCT entity_type, entity_value, event_record_id, t_us, CASE entity_type WHEN 'logon_id' THEN 43200000000 ELSE 3600000000 END AS w FROM idx WHERE entity_type IN ('logon_id', 'ip_address'))
@@ -433,72 +484,79 @@ def _(spark, folder):
     return correlate.link_counts(entity_index(spark, folder), ["logon_id", "ip_address"]).select("event_record_id", "entity_type", "entity_value", "n_linked")
 
 
-@query("entity_index_build", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS last_id FROM (" + _extract_sql() + ")")
+@query("entity_index_build", f"SELECT CAST(row_number() OVER (ORDER BY record_id, seq, entity_value) AS BIGINT) AS correlation_id, record_id AS event_record_id, entity_type, entity_value FROM ({_extract_sql()})")
 def _(spark, folder):
-    built = correlate.build_index(logs(spark, folder).distinct())
-    return built.agg(F.count_distinct("correlation_id").alias("n_rows"), F.max("correlation_id").alias("last_id"))
+    return correlate.build_index(logs(spark, folder).select(*_ENTITY_COLUMNS).distinct()).select("correlation_id", "event_record_id", "entity_type", "entity_value")
 
 
-@query("annotated_records", _LINKED_SQL.replace("SELECT event_record_id, entity_type, entity_value, confidence_weight, delta_s FROM m WHERE n = 1 ORDER BY", "SELECT DISTINCT RecordID, CASE WHEN r IS NULL THEN 'none' ELSE 'linked' END AS link FROM canonical_logs LEFT JOIN (SELECT event_record_id AS r FROM m WHERE n = 1 ORDER BY") + ") ON RecordID = r")
+@query("annotated_records", _LINKED_SQL.replace("SELECT *, 'Shared '", "SELECT DISTINCT RecordID, time_delta AS link_delta, confidence AS link_confidence, relation AS link_relation FROM canonical_logs LEFT JOIN (SELECT *, 'Shared '") + ") ON RecordID = event_record_id")
 def _(spark, folder):
-    out = correlate.annotate(logs(spark, folder).select("RecordID"), "RecordID", correlate.linked_to(entity_index(spark, folder), _ANCHOR))
-    return out.select("RecordID", F.when(F.col("link_relation").isNull(), "none").otherwise("linked").alias("link")).distinct()
+    return correlate.annotate(logs(spark, folder).select("RecordID").distinct(), "RecordID", correlate.linked_to(entity_index(spark, folder), _ANCHOR))
 
 
 # Time windows.
 
 
-@query("clock_skew_order", f"""WITH {RECORDS_SQL}, g AS (SELECT *, t_us - lag(t_us) OVER (PARTITION BY Computer ORDER BY t_us, seq) AS gap FROM records),
-s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 60000000 THEN 1 ELSE 0 END) OVER (PARTITION BY Computer ORDER BY t_us, seq) AS island FROM g)
-SELECT RecordID, Computer, min(t_us) OVER (PARTITION BY Computer, island) AS cluster_us, seq FROM s""")
+@query("clock_skew_order", f"""WITH {RECORDS_SQL}, g AS (SELECT *, t_us - lag(t_us) OVER (PARTITION BY host ORDER BY t_us, seq) AS gap FROM records WHERE t_us IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 60000000 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY t_us, seq) AS island FROM g)
+SELECT RecordID, host, min(t_us) OVER (PARTITION BY host, island) AS cluster_us, seq FROM s UNION ALL SELECT RecordID, host, NULL, seq FROM records WHERE t_us IS NULL""")
 def _(spark, folder):
-    return windows.skew_order(event_records(spark, folder), ["Computer"], "t_us", "seq", 60_000_000).select("RecordID", "Computer", "cluster_us", "seq")
+    return windows.skew_order(timed(spark, folder), ["host"], "t_us", "seq", 60_000_000).select("RecordID", "host", "cluster_us", "seq")
 
 
-@query("sliding_windows", f"""WITH RECURSIVE {RECORDS_SQL},
-g AS (SELECT RecordID, Computer, t_us, t_us - lag(t_us) OVER (PARTITION BY Computer ORDER BY t_us, seq) AS gap, seq FROM records),
-i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY Computer ORDER BY t_us, seq) AS n FROM g),
-s AS (SELECT Computer, n, min(t_us) AS a, max(t_us) AS b FROM i GROUP BY ALL),
-f AS (SELECT Computer, n, a AS anchor, b FROM s WHERE n = 1
-  UNION ALL SELECT s.Computer, s.n, CASE WHEN s.a >= f.anchor + 480000000 * ((f.b - f.anchor) // 480000000 + 1) + 600000000 THEN s.a ELSE f.anchor END, s.b FROM f JOIN s ON s.Computer = f.Computer AND s.n = f.n + 1),
-w AS (SELECT i.RecordID, i.Computer, i.t_us, anchor, unnest(range(greatest(0, (i.t_us - anchor) // 480000000 - 1), (i.t_us - anchor) // 480000000 + 1)) AS k FROM i JOIN f ON i.Computer = f.Computer AND i.n = f.n)
-SELECT RecordID, Computer, anchor + k * 480000000 AS window_us FROM w WHERE t_us < anchor + k * 480000000 + 600000000""")
+_SLIDING_SQL = f"""{RECORDS_SQL},
+g AS (SELECT *, t_us - lag(t_us) OVER (PARTITION BY host ORDER BY t_us, seq) AS gap FROM records WHERE t_us IS NOT NULL AND host IS NOT NULL),
+i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY t_us, seq) AS island FROM g),
+stretch AS (SELECT host, island, min(t_us) AS a, max(t_us) AS b FROM i GROUP BY ALL),
+fold AS (SELECT host, island, a AS anchor, b FROM stretch WHERE island = 1
+  UNION ALL SELECT s.host, s.island, CASE WHEN s.a >= fold.anchor + 480000000 * ((fold.b - fold.anchor) // 480000000 + 1) + 600000000 THEN s.a ELSE fold.anchor END, s.b FROM fold JOIN stretch s ON s.host = fold.host AND s.island = fold.island + 1),
+at_window AS (SELECT i.*, anchor, unnest(range(greatest(0, (i.t_us - anchor) // 480000000 - 1), (i.t_us - anchor) // 480000000 + 1)) AS k FROM i JOIN fold ON i.host = fold.host AND i.island = fold.island),
+windowed AS (SELECT *, anchor + k * 480000000 AS window_us FROM at_window WHERE t_us < anchor + k * 480000000 + 600000000)"""
+
+
+@query("sliding_windows", f"WITH RECURSIVE {_SLIDING_SQL} SELECT RecordID, host, window_us FROM windowed")
 def _(spark, folder):
-    return windows.sliding(event_records(spark, folder), ["Computer"], "t_us").select("RecordID", "Computer", "window_us")
+    return windows.sliding(timed(spark, folder).where("host is not null"), ["host"], "t_us").select("RecordID", "host", "window_us")
 
 
 _LINE = {"time": "TimeCreated", "computer": "Computer", "channel": "Channel", "event_id": "EventID", "level": "LevelName", "user_id": "UserID", "message": "Message"}
 
 
-def _with_lines(df: DataFrame) -> DataFrame:
-    df = df.withColumn("line", records.semantic_line({k: F.col(c) for k, c in _LINE.items()}))
-    return df.withColumn("tokens", text.token_estimate(F.col("line")))
+_WIDE_LINE = {k: _WIDE(c) for k, c in _LINE.items()}
+_LINE_SQL = "concat_ws(' | ', nullif(concat_ws(' ', '[' || {time} || ']', {computer}), ''), {channel}, CASE WHEN {event_id} IS NOT NULL AND {level} IS NOT NULL THEN 'EventID: ' || {event_id} || ' (' || {level} || ')' WHEN {event_id} IS NOT NULL THEN 'EventID: ' || {event_id} WHEN {level} IS NOT NULL THEN 'Level: ' || {level} END, 'User: ' || {user_id}, 'Details: ' || substr(trim(regexp_replace({message}, '\\s+', ' ', 'g')), 1, 300))".format(**_WIDE_LINE)
+_HEX_ID = lambda x: f"substr({x}, 1, 8) || '-' || substr({x}, 9, 4) || '-5' || substr({x}, 14, 3) || '-' || lower(to_hex((CAST('0x' || substr({x}, 17, 2) AS INTEGER) & 63) | 128)) || substr({x}, 19, 2) || '-' || substr({x}, 21, 12)"
+_NAME_HASH = lambda x: f"sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({x}))"
+_CHUNK_FIELDS = {"event_ids": "EventID", "levels": "LevelName", "users": "UserID"}
+_CHUNK_SQL = f"""WITH RECURSIVE {_SLIDING_SQL},
+lined AS (SELECT *, {_LINE_SQL} AS line, row_number() OVER (PARTITION BY host, window_us ORDER BY t_us, seq) AS rn FROM windowed),
+sized AS (SELECT *, greatest(1, length(line) // 4) AS tokens FROM lined),
+filled AS (SELECT host, window_us, rn, tokens AS used, 0 AS slice FROM sized WHERE rn = 1
+  UNION ALL SELECT z.host, z.window_us, z.rn, CASE WHEN used + z.tokens > 512 THEN z.tokens ELSE used + z.tokens END, CASE WHEN used + z.tokens > 512 THEN slice + 1 ELSE slice END FROM filled f JOIN sized z ON z.host = f.host AND z.window_us = f.window_us AND z.rn = f.rn + 1),
+grouped AS (SELECT host, window_us, slice, string_agg(line, chr(10) ORDER BY rn) AS text, min(t_us) AS start_us, max(t_us) AS end_us, CAST(count(*) AS BIGINT) AS raw_row_count, {", ".join(f"list({_WIDE(c)} ORDER BY rn) FILTER ({_WIDE(c)} IS NOT NULL) AS {n}" for n, c in _CHUNK_FIELDS.items())}, string_agg(RecordID, ',' ORDER BY rn) AS source_rows
+  FROM sized JOIN filled USING (host, window_us, rn) GROUP BY host, window_us, slice),
+hashed AS (SELECT *, {_NAME_HASH("host || ':' || strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%SZ') || CASE WHEN slice > 0 THEN ':' || slice ELSE '' END")} AS x FROM grouped)
+SELECT host, window_us, slice, text, start_us, end_us, raw_row_count, {", ".join(f"coalesce(array_to_string(list_filter({n}, lambda v, i: list_position({n}, v) = i), ','), '') AS {n}" for n in _CHUNK_FIELDS)}, source_rows, {_HEX_ID("x")} AS chunk_id FROM hashed"""
 
 
-@query("window_chunks")
+@query("window_chunks", _CHUNK_SQL)
 def _(spark, folder):
-    w = windows.sliding(_with_lines(event_records(spark, folder)), ["Computer"], "t_us")
-    w = w.select("Computer", "window_us", "t_us", "seq", "line", "tokens", "EventID", "LevelName", "UserID")
-    s = windows.slices(w, ["Computer", "window_us"], ["t_us", "seq"], "tokens")
-    c = windows.chunks(s, ["Computer", "window_us", "slice"], [F.col("t_us"), F.col("seq")], "t_us", "line", {"event_ids": "EventID", "levels": "LevelName", "users": "UserID"})
-    return c.withColumn("chunk_id", windows.chunk_id(F.col("Computer"), text.utc_second(F.timestamp_micros("start_us")), F.col("slice")))
+    r = timed(spark, folder, *_LINE.values()).where("host is not null").withColumn("line", records.semantic_line({k: F.col(c) for k, c in _LINE.items()}))
+    w = windows.sliding(r.withColumn("tokens", text.token_estimate(F.col("line"))), ["host"], "t_us")
+    w = w.select("host", "window_us", "t_us", "seq", "line", "tokens", "RecordID", *_CHUNK_FIELDS.values())
+    s = windows.slices(w, ["host", "window_us"], ["t_us", "seq"], "tokens")
+    c = windows.chunks(s, ["host", "window_us", "slice"], [F.col("t_us"), F.col("seq")], "t_us", "line", _CHUNK_FIELDS, "RecordID")
+    c = c.withColumns({n: F.array_join(n, ",") for n in [*_CHUNK_FIELDS, "source_rows"]})
+    return c.withColumn("chunk_id", windows.chunk_id(F.col("host"), text.utc_second(F.timestamp_micros("start_us")), F.col("slice")))
 
 
-@query("uuid5_of_rows", f"WITH {RECORDS_SQL}, h AS (SELECT RecordID, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(Computer || ':' || TimeCreated)) AS x FROM records) SELECT RecordID, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || lower(to_hex((CAST('0x' || substr(x, 17, 2) AS INTEGER) & 63) | 128)) || substr(x, 19, 2) || '-' || substr(x, 21, 12) AS chunk_id FROM h")
+@query("uuid5_of_rows", f"SELECT RecordID, {_HEX_ID('x')} AS chunk_id FROM (SELECT DISTINCT RecordID, {_NAME_HASH("concat_ws(':', Computer, TimeCreated)")} AS x FROM canonical_logs)")
 def _(spark, folder):
-    return event_records(spark, folder).select("RecordID", text.uuid5(F.concat_ws(":", "Computer", "TimeCreated")).alias("chunk_id"))
-
+    return logs(spark, folder).select("RecordID", text.uuid5(F.concat_ws(":", "Computer", "TimeCreated")).alias("chunk_id")).distinct()
 
-_SEMANTIC_SQL = f"""WITH n AS (SELECT RecordID, {", ".join(f"{_WIDE(c)} AS {k}" for k, c in _LINE.items())} FROM (SELECT DISTINCT * FROM canonical_logs))
-SELECT RecordID, concat_ws(' | ', nullif(concat_ws(' ', '[' || time || ']', computer), ''), channel,
-  CASE WHEN event_id IS NOT NULL AND level IS NOT NULL THEN 'EventID: ' || event_id || ' (' || level || ')' WHEN event_id IS NOT NULL THEN 'EventID: ' || event_id WHEN level IS NOT NULL THEN 'Level: ' || level END,
-  'User: ' || user_id, 'Details: ' || substr(trim(regexp_replace(message, '\\s+', ' ', 'g')), 1, 300)) AS line FROM n"""
 
-
-@query("semantic_rows", _SEMANTIC_SQL)
+@query("semantic_rows", f"SELECT DISTINCT RecordID, {_LINE_SQL} AS line FROM canonical_logs")
 def _(spark, folder):
-    df = logs(spark, folder).distinct()
-    return df.select("RecordID", records.semantic_line({k: F.col(c) for k, c in _LINE.items()}).alias("line"))
+    return logs(spark, folder).select("RecordID", records.semantic_line({k: F.col(c) for k, c in _LINE.items()}).alias("line")).distinct()
 
 
 def _document_sql() -> str:
@@ -520,25 +578,34 @@ def _(spark, folder):
 @query("event_summaries")
 def _(spark, folder):
     c = F.col
-    return logs(spark, folder).distinct().select("RecordID", payload.summary(c("EventData"), c("Message"), c("UserData"), c("Task")).alias("summary"))
+    return logs(spark, folder).select("RecordID", payload.summary(c("EventData"), c("Message"), c("UserData"), c("Task")).alias("summary")).distinct()
+
 
+_CLEAN_COLUMNS = [c for c in CANONICAL if c not in records.LONG]
 
-@query("clean_records")
+
+@query("clean_records", "SELECT DISTINCT " + ", ".join(f"CASE WHEN {c} IS NULL OR lower(trim({c})) IN ('', 'null', 'none', 'nan') THEN '' ELSE trim({c}) END AS \"{c}\"" for c in _CLEAN_COLUMNS) + " FROM canonical_logs")
 def _(spark, folder):
-    return records.clean(logs(spark, folder).distinct())
+    return records.clean(logs(spark, folder)).select(*_CLEAN_COLUMNS).distinct()
+
+
+@query("clean_payloads")
+def _(spark, folder):
+    return records.clean(logs(spark, folder)).select("RecordID", *records.LONG).distinct()
 
 
 @query("xml_events")
 def _(spark, folder):
-    c = records.clean(logs(spark, folder).distinct())
-    return c.select("RecordID", writers.event_xml(c.columns).alias("xml"))
+    c = records.clean(logs(spark, folder))
+    return c.select("RecordID", writers.event_xml(c.columns).alias("xml")).distinct()
 
 
-@query("markdown_batches", f"""WITH {RECORDS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY ts, RecordID) - 1 AS i, count(*) OVER () AS total FROM records)
+@query("markdown_batches", f"""WITH {RECORDS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY ts NULLS FIRST, RecordID) - 1 AS i, count(*) OVER () AS total FROM records),
+c AS (SELECT i, total, {", ".join(f"coalesce(replace(regexp_replace({c}, '[\\r\\n]+', ' ', 'g'), '|', chr(92) || '|'), 'None') AS {c}" for c in ("RecordID", "Channel", "Message"))} FROM n)
 SELECT i // 15 AS batch, '### LOG BATCH [' || (i // 15 * 15 + 1) || ' to ' || least((i // 15 + 1) * 15, any_value(total)) || ' of ' || any_value(total) || ']' || chr(10) || 'Columns: RecordID, Channel, Message' || chr(10) || chr(10) || '| RecordID | Channel | Message |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
-string_agg('| ' || RecordID || ' | ' || Channel || ' | ' || replace(Message, '|', chr(92) || '|') || ' |', chr(10) ORDER BY i) AS text FROM n GROUP BY i // 15""")
+string_agg('| ' || RecordID || ' | ' || Channel || ' | ' || Message || ' |', chr(10) ORDER BY i) AS text FROM c GROUP BY i // 15""")
 def _(spark, folder):
-    return views.markdown_batches(event_records(spark, folder), [F.col("ts"), F.col("RecordID")], ["RecordID", "Channel", "Message"])
+    return views.markdown_batches(timed(spark, folder, "Channel", "Message"), [F.col("ts"), F.col("RecordID")], ["RecordID", "Channel", "Message"])
 
 
 # Vectors and words.
@@ -627,18 +694,17 @@ def _finished(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
-@query("stream_window_counts", "WITH w AS (SELECT epoch_us(ts) AS t, event_type, unnest(generate_series(CAST(floor(epoch_us(ts) / 480000000) AS BIGINT) - 1, CAST(floor(epoch_us(ts) / 480000000) AS BIGINT))) AS k FROM events) SELECT k * 480000000 AS start_us, event_type, CAST(count(*) AS BIGINT) AS n_events FROM w WHERE t >= k * 480000000 AND t < k * 480000000 + 600000000 GROUP BY ALL")
+@query("stream_window_counts", """WITH m AS (SELECT max(epoch_us(ts)) // 1000 - 5000 AS mark_ms FROM events),
+w AS (SELECT epoch_us(ts) AS t, event_type, unnest(generate_series(CAST(floor(epoch_us(ts) / 480000000) AS BIGINT) - 1, CAST(floor(epoch_us(ts) / 480000000) AS BIGINT))) AS k FROM events)
+SELECT k * 480000000 AS start_us, event_type, CAST(count(*) AS BIGINT) AS n_events FROM w, m WHERE t >= k * 480000000 AND t < k * 480000000 + 600000000 AND (k * 480000000 + 600000000) // 1000 <= mark_ms GROUP BY ALL""")
 def _(spark, folder):
-    s = _stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    g = s.groupBy(F.window("ts", "10 minutes", "8 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n_events"))
-    out = _finished(spark, g.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n_events"), "complete")
-    return out.where(F.col("n") == out.agg(F.max("n")).first()[0]).select("start_us", "event_type", "n_events")
+    # Append mode: a window comes out once the watermark has passed it, and its state goes.
+    counts = incremental.windowed_counts(_stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
+    return _finished(spark, counts.select(F.unix_micros("window_start").alias("start_us"), "event_type", F.col("n").alias("n_events")), "append").select("start_us", "event_type", "n_events")
 
 
 @query("stream_state_totals", "SELECT CAST(user_id AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def _(spark, folder):
-    from tracewright.streaming.incremental import running_totals
-
-    out = _finished(spark, running_totals(_stream(spark, folder), "user_id", F.col("value")).withColumnRenamed("n", "n_events"), "update")
+    out = _finished(spark, incremental.running_totals(_stream(spark, folder), "user_id", F.col("value")).withColumnRenamed("n", "n_events"), "update")
     last = Window.partitionBy("key").orderBy(F.desc("n"))
     return out.withColumn("r", F.row_number().over(last)).where("r = 1").select("key", "n_events", F.round("total", 4).alias("total"))
