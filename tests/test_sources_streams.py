@@ -168,3 +168,46 @@ def test_batches_and_backends():
     assert isinstance(backend("auto"), MockBackend)
     with pytest.raises(ValueError):
         backend("other")
+
+
+def test_answers_of_a_model_server():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tracewright.plans.pipeline import MockBackend, ServerBackend, backend
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = f"Seen [Record #7, Channel: Security] by {asked['model']} of {len(asked['messages'])} messages."
+            told = {"choices": [{"message": {"content": text}}], "model": "m-1"} if self.path == "/chat" else {"message": {"content": text}}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(told).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    one = backend("server", url=f"{url}/chat", model="m")
+    assert one.reachable()
+    a = one.generate("s", "q", ["b"])
+    assert (a.text, a.citations, a.model_version, a.backend) == ("Seen [Record #7, Channel: Security] by m of 2 messages.", ["7"], "m-1", "server")
+    assert ServerBackend(f"{url}/other", "m").generate("s", "q", []).citations == ["7"]
+    server.shutdown()
+    server.server_close()
+    assert not ServerBackend("http://127.0.0.1:9", "m").reachable() and isinstance(backend(), MockBackend)
+    with pytest.raises(ValueError):
+        backend("nothing")
+
+
+def test_a_channel_among_sixty_is_not_denied(spark):
+    df = spark.createDataFrame([(str(i), f"Channel {i:02d}") for i in range(60)], "RecordID string, Channel string")
+    q = parse("nothing")
+    q.source_type = "channel 59"
+    assert diagnose(df, q, None) == []
+    q.source_type = "Channel 60"
+    assert "does not occur" in diagnose(df, q, None)[0]

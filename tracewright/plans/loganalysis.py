@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from tracewright.operators.filters import EntityFilters, QueryFilter, TimeRange
 from tracewright.plans.base import INDEX_SQL, RECORDS_SQL, entity_index, logs
 from tracewright.plans.base import records as timed
 from tracewright.plans.parser import parse
+from tracewright.plans import pipeline
 from tracewright.plans.pipeline import Pipeline
 from tracewright.plans.tables import table
 from tracewright.schema import CANONICAL, EVENT_DESCRIPTIONS, EVENT_FAMILIES, MASKS
@@ -648,25 +650,102 @@ def _(spark, folder):
 # The whole way from a question to an audit row.
 
 
-def _ask(spark: SparkSession, folder: str, question: str):
-    r = event_records(spark, folder)
-    return Pipeline(r, "ts", "RecordID", table(spark, folder, "log_templates").withColumn("level", F.lit("Information"))).ask(question)
+_QUESTION = "what happened after the failed logon on 2014-10-10"
+# Templates of event 4625: the only ones that the question's event and channel allow.
+_CHOSEN = ["tpl_0002"]
 
 
-@query("nl_pipeline_records", f"WITH {RECORDS_SQL} SELECT RecordID, TimeCreated, Channel FROM records WHERE Channel = 'Application' AND EventID = '1000' AND LevelName = 'Error' AND ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-10 23:59:59' ORDER BY ts, RecordID LIMIT 50")
+def _ask(spark: SparkSession, folder: str):
+    """Whole records, templates as they are, their instances and the entity index: every stage of the way has rows to work on."""
+    return Pipeline(timed(spark, folder), "ts", "RecordID", table(spark, folder, "log_templates"), table(spark, folder, "template_instances"), entity_index(spark, folder)).ask(_QUESTION)
+
+
+_DIRECT_SQL = f"""direct AS (SELECT *, row_number() OVER (ORDER BY ts, RecordID) AS place FROM (SELECT * FROM records WHERE lower(Channel) = 'security' AND {_PLAIN('EventID')} = '4625' AND ts BETWEEN TIMESTAMP '2014-10-10 00:00:00' AND TIMESTAMP '2014-10-10 23:59:59'
+  AND RecordID IN (SELECT event_record_id FROM template_instances WHERE template_id IN ('tpl_0002')) ORDER BY ts, RecordID LIMIT 50))"""
+_RULES_SQL = "rules(entity_type, window_s, w) AS (VALUES ('logon_id', 43200, 1.0), ('activity_id', 43200, 1.0), ('user_id', 14400, 0.8), ('ip_address', 3600, 0.6), ('process_id_disambiguated', 43200, 1.0), ('process_id', 300, 0.3), ('thread_id', 300, 0.2), ('computer', 86400, 0.1))"
+_FOUND_SQL = f"""{RECORDS_SQL}, {INDEX_SQL}, {_RULES_SQL}, {_DIRECT_SQL},
+anchor AS (SELECT RecordID AS r FROM direct WHERE place = 1),
+mine AS (SELECT idx.entity_type, lower(entity_value) AS v, min(correlation_id) AS o, min(t_us) AS t, any_value(window_s) AS window_s FROM idx JOIN rules ON idx.entity_type = rules.entity_type WHERE event_record_id IN (SELECT r FROM anchor) AND w >= 0.2 GROUP BY ALL),
+ra AS (SELECT min(t) AS t0 FROM mine),
+near AS (SELECT idx.event_record_id, idx.source_type, idx.event_id, idx.entity_type, idx.entity_value, idx.confidence, idx.confidence_weight, (idx.t_us - t0) / 1e6 AS delta_s,
+  row_number() OVER (PARTITION BY idx.event_record_id ORDER BY idx.confidence_weight DESC, mine.o, abs(idx.t_us - t0), idx.correlation_id) AS n
+  FROM idx JOIN mine ON idx.entity_type = mine.entity_type AND lower(idx.entity_value) = mine.v, ra WHERE idx.event_record_id NOT IN (SELECT r FROM anchor) AND abs(idx.t_us - t0) <= CAST(window_s AS BIGINT) * 1000000),
+links AS (SELECT *, 'Shared ' || array_to_string(list_transform(string_split(entity_type, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ': `' || entity_value || '` (' || time_delta || ' in ' || coalesce(source_type, 'None') || ')' AS relation, row_number() OVER (ORDER BY confidence_weight DESC, abs(delta_s), event_record_id) AS place
+  FROM (SELECT *, {_DELTA} AS time_delta FROM near WHERE n = 1 ORDER BY confidence_weight DESC, abs(delta_s), event_record_id LIMIT 50)),
+wanted AS (SELECT RecordID AS r FROM direct UNION SELECT event_record_id FROM links),
+shown AS (SELECT *, row_number() OVER (ORDER BY ts NULLS LAST, RecordID) - 1 AS i FROM (SELECT * FROM records WHERE RecordID IN (SELECT r FROM wanted) ORDER BY ts NULLS LAST, RecordID LIMIT 50))"""
+
+
+@query("nl_pipeline_records", f"WITH {_FOUND_SQL} SELECT RecordID, TimeCreated, Channel FROM records WHERE RecordID IN (SELECT r FROM wanted)")
+def _(spark, folder):
+    return _ask(spark, folder).records.select("RecordID", "TimeCreated", "Channel")
+
+
+def _context_sql() -> str:
+    v = lambda c: f"coalesce({c}, '')"
+    body = f"CASE WHEN trim({v('EventData')}) IN ('', '{{}}') THEN {v('Message')} ELSE {v('EventData')} END"
+    named = {"RecordID": v(_PLAIN("RecordID")), "TimeCreated": v("TimeCreated"), "Channel": v("Channel"), "EventID": v("EventID"), "Level": v("LevelName"), "Provider": v("Provider"), "Computer": v("Computer"), "UserID": v("UserID"), "ProcessID": v(_PLAIN("ProcessID")), "ThreadID": v(_PLAIN("ThreadID")), "EventData": f"substr(trim(regexp_replace({body}, '\\s+', ' ', 'g')), 1, 140)"}
+    line = " || ' | ' || ".join(f"'{n}=' || {c}" for n, c in named.items())
+    number = lambda e: f"regexp_replace(CAST({e} AS VARCHAR), '(\\d)(\\d{{3}})$', '\\1,\\2')"
+    return f"""WITH {_FOUND_SQL},
+lines AS (SELECT i, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t, {line} || coalesce(' [Correlation: Δt=' || time_delta || ', Confidence=' || l.confidence || ', Reason=' || relation || ']', '') AS line FROM shown LEFT JOIN links l ON RecordID = l.event_record_id),
+blocks AS (SELECT i // 15 AS b, '--- BATCH ' || (i // 15 + 1) || ' OF ' || ((SELECT count(*) - 1 FROM shown) // 15 + 1) || ' (Chronological Window: ' || arg_min(t, i) || ' -> ' || arg_max(t, i) || ' UTC) ---' || chr(10) || '{pipeline.SCHEMA_LINE}' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text FROM lines GROUP BY i // 15),
+all_blocks AS (SELECT -1 AS b, '{pipeline.SUMMARY_LINE}' || chr(10) || string_agg('- Template `' || template_id || '`: Total Occurrences=' || {number('total_count')} || ' (First Seen: ' || first_seen_utc || ', Last Seen: ' || last_seen_utc || ') | Pattern: "' || template_string || '"', chr(10) ORDER BY template_id) AS text FROM log_templates WHERE template_id IN ('tpl_0002') AND (SELECT count(*) FROM shown) > 0 HAVING count(*) > 0
+  UNION ALL SELECT b, text FROM blocks
+  UNION ALL SELECT 999, replace(replace('{pipeline.CAP_NOTE.replace("{:,}", "#").replace("{}", "@")}', '@', CAST((SELECT count(*) FROM shown) AS VARCHAR)), '#', {number('(SELECT count(*) FROM wanted)')}) FROM (SELECT count(*) AS n FROM wanted) WHERE n > (SELECT count(*) FROM shown))
+SELECT CAST(row_number() OVER (ORDER BY b) - 1 AS INTEGER) AS batch, text FROM all_blocks"""
+
+
+@query("pipeline_context", _context_sql())
 def _(spark, folder):
-    return _ask(spark, folder, "Show me the application crash on 2024-01-10").records.select("RecordID", "TimeCreated", "Channel")
+    return spark.createDataFrame(list(enumerate(_ask(spark, folder).batches)), "batch int, text string")
 
 
-@query("pipeline_context")
+@query("pipeline_audit", f"""WITH {_FOUND_SQL}
+SELECT '{_QUESTION}' AS user_query, 'correlation' AS intent, 'tpl_0002' AS template_ids, coalesce((SELECT string_agg(RecordID, ',' ORDER BY place) FROM direct), '') AS direct_record_ids, coalesce((SELECT string_agg(event_record_id, ',' ORDER BY place) FROM links), '') AS correlated_record_ids,
+  CAST((SELECT count(*) FROM wanted) AS BIGINT) AS n_final, CAST(least(5, (SELECT count(*) FROM shown)) AS BIGINT) AS n_citations, 'mock' AS backend""")
 def _(spark, folder):
-    b = _ask(spark, folder, "Show me the application crash on 2024-01-10").batches
-    return spark.createDataFrame(list(enumerate(b)), "batch int, text string")
+    a = _ask(spark, folder).audit
+    joined = [F.array_join(c, ",").alias(c) for c in ("template_ids", "direct_record_ids", "correlated_record_ids")]
+    return a.select("user_query", "intent", *joined, F.size("final_record_ids").cast("long").alias("n_final"), F.size("citations").cast("long").alias("n_citations"), "backend")
+
+
+# Questions as the parser reads them, at a fixed time: each rule for times, entities, events, channels, levels and intents.
+
+_ASKED_AT = datetime(2026, 9, 16, 14, 0, tzinfo=timezone.utc)
+_BOUNDS = ("2026-09-10T00:00:00Z", "2026-09-12T23:59:59Z")
+_ASKED = [
+    ("show me the logon event for process 1064 around 3pm yesterday", "2026-09-15T14:30:00Z", "2026-09-15T15:30:00Z", True, True, "Security", None, None, "specific_instance", "process_id=1064", "logon"),
+    ("what happened at 16:45", "2026-09-16T16:15:00Z", "2026-09-16T17:15:00Z", True, True, None, None, None, "ambiguous", "", "what happened at 16:45"),
+    ("Check failed logins yesterday", "2026-09-15T00:00:00Z", "2026-09-15T23:59:59Z", True, True, None, None, "Error", "ambiguous", "", "failed logins"),
+    ("How often did the USB reader error occur last week?", "2026-09-09T14:00:00Z", "2026-09-16T14:00:00Z", True, False, None, None, "Error", "pattern_or_aggregate", "", "USB reader error occur"),
+    ("past 3 days of service started events", "2026-09-13T14:00:00Z", "2026-09-16T14:00:00Z", True, True, "System", "7036", None, "specific_instance", "", "service started"),
+    ("errors of last month", "2026-08-17T14:00:00Z", "2026-09-16T14:00:00Z", True, False, None, None, "Error", "ambiguous", "", "errors"),
+    ("application crash on September 11th, 2026", "2026-09-11T00:00:00Z", "2026-09-11T23:59:59Z", False, False, "Application", "1000", "Error", "specific_instance", "", "application crash"),
+    ("warnings between 2026-09-14 14:00 and 2026-09-14T16:00:30", "2026-09-14T14:00:00Z", "2026-09-14T16:00:30Z", False, True, None, None, None, "ambiguous", "", "warnings"),
+    ("what else happened around the time of this failed login", None, None, None, None, "Security", "4625", None, "correlation", "", "else time this failed login"),
+    ("Logon failure with status 0xC000006D for user CONTOSO\\Administrator", None, None, None, None, "Security", "4625", None, "specific_instance", "status_code=0xC000006D;user_id=CONTOSO\\Administrator", "Logon failure"),
+    ("Find events from provider Service Control Manager on host SEC-SRV-01", None, None, None, None, "System", None, None, "specific_instance", "computer=SEC-SRV-01;provider=Service Control Manager", "from"),
+    ("event id 4688 of svchost.exe, thread 12, record REC_00452, from 10.0.0.7 in logon 0x3e7", None, None, None, None, "Security", "4688", None, "specific_instance", "event_record_id=REC_00452;ip_address=10.0.0.7;logon_id=0x3e7;process_name=svchost.exe;thread_id=12", "from"),
+    ("how many critical events are there", None, None, None, None, None, None, "Critical", "pattern_or_aggregate", "", "critical are there"),
+    ("show me S-1-5-21-1004336348-1177238915-682003330-512", None, None, None, None, None, None, None, "specific_instance", "user_id=S-1-5-21-1004336348-1177238915-682003330-512", "show me S-1-5-21-1004336348-1177238915-682003330-512"),
+]
+_ASKED_COLUMNS = {"question": "string", "start_utc": "string", "end_utc": "string", "is_relative": "boolean", "outside": "boolean", "source_type": "string", "event_id": "string", "level": "string", "intent": "string", "entities": "string", "about": "string"}
+
+
+def _literal(x: object) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, bool) else f"'{q(str(x))}'"
 
 
-@query("pipeline_audit")
+@query("questions", f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, row)) + ')' for row in _ASKED)}) t({', '.join(_ASKED_COLUMNS)})")
 def _(spark, folder):
-    return _ask(spark, folder, "how many application crash events on 2024-01-10").audit.drop("query_id", "asked_at", "latency_ms")
+    rows = []
+    for asked, *_ in _ASKED:
+        f = parse(asked, _ASKED_AT, _BOUNDS)
+        named = ";".join(f"{k}={v}" for k, v in sorted(asdict(f.entity_filters).items()) if v)
+        t = f.time_range
+        rows.append((asked, *((t.start_utc, t.end_utc, t.is_relative, t.outside_coverage) if t else (None,) * 4), f.source_type, f.event_id, f.level, f.intent, named, f.semantic_query))
+    return spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in _ASKED_COLUMNS.items()))
 
 
 # Streams, run over what is there now.

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import socket
 import time
+import urllib.parse
+import urllib.request
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from typing import Protocol
@@ -13,7 +18,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import collapse, strip_dot0
+from tracewright.functions.text import collapse, strip_dot0, utc_second
 from tracewright.operators import correlate, filters, vectors
 from tracewright.operators.filters import QueryFilter
 from tracewright.plans.parser import QueryParser
@@ -63,11 +68,46 @@ class MockBackend:
         return Answer(text, [m[0] for m in CITATION.findall(text)], latency_ms=(time.perf_counter() - began) * 1e3)
 
 
-def backend(kind: str = "auto") -> Backend:
-    """``mock`` and ``auto`` give the deterministic one; others need libraries that are not part of this package."""
-    if kind in ("mock", "auto"):
-        return MockBackend()
-    raise ValueError(f"no such backend here: {kind}")
+class ServerBackend:
+    """Asks a model server on the network by HTTP: one JSON post of model and chat messages, answered with ``message.content`` or ``choices[0].message.content``."""
+
+    def __init__(self, url: str, model: str, timeout: float = 120.0):
+        self.url, self.model, self.timeout = url, model, timeout
+
+    def reachable(self) -> bool:
+        host = urllib.parse.urlsplit(self.url)
+        try:
+            socket.create_connection((host.hostname, host.port or (443 if host.scheme == "https" else 80)), 2).close()
+        except OSError:
+            return False
+        return True
+
+    def generate(self, system: str, question: str, batches: list[str]) -> Answer:
+        began = time.perf_counter()
+        body = {"model": self.model, "stream": False, "messages": [{"role": "system", "content": system}, {"role": "user", "content": question + "\n\n" + "\n\n".join(batches)}]}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as r:
+            told = json.load(r)
+        message = told["choices"][0]["message"] if "choices" in told else told["message"]
+        text = message["content"]
+        return Answer(text, [m[0] for m in CITATION.findall(text)], self.model, str(told.get("model", self.model)), "server", (time.perf_counter() - began) * 1e3)
+
+
+#: Back ends by name; a caller may add its own.
+BACKENDS: dict[str, Callable[..., Backend]] = {"mock": MockBackend, "server": ServerBackend}
+#: Environment: address and model of a server that ``auto`` takes if it answers.
+SERVER_VARIABLE, MODEL_VARIABLE = "TRACEWRIGHT_MODEL_URL", "TRACEWRIGHT_MODEL_NAME"
+
+
+def backend(kind: str = "auto", **options: object) -> Backend:
+    """A back end by name. ``auto``: the server that the environment names, if it is there, else the deterministic one."""
+    if kind == "auto":
+        url = os.environ.get(SERVER_VARIABLE)
+        server = ServerBackend(url, os.environ.get(MODEL_VARIABLE, "default")) if url else None
+        return server if server and server.reachable() else MockBackend()
+    if kind not in BACKENDS:
+        raise ValueError(f"no such backend here: {kind}")
+    return BACKENDS[kind](**options)
 
 
 SYSTEM_PROMPT = """You analyse Windows event logs and answer from the given records only.
@@ -100,19 +140,27 @@ def context_line(at: dict[str, Column]) -> Column:
     return F.concat_ws(" | ", *[F.concat(F.lit(f"{n}="), c) for n, c in named])
 
 
+# Lines of the context that a model is shown.
+EMPTY_CONTEXT = "TOTAL_RECORDS: 0\nNo canonical log records matched the retrieval criteria."
+SUMMARY_LINE = "### TEMPLATE AGGREGATE SUMMARY:"
+TEMPLATE_LINE = '- Template `{template_id}`: Total Occurrences={total_count:,} (First Seen: {first_seen_utc}, Last Seen: {last_seen_utc}) | Pattern: "{template_string}"'
+BATCH_LINE = "--- BATCH {} OF {} (Chronological Window: {} -> {} UTC) ---"
+SCHEMA_LINE = "Schema: RecordID | TimeCreated (UTC) | Channel | EventID | Level | Provider | Computer | UserID | ProcessID | ThreadID | Payload / Relation"
+LINK_MARK = " [Correlation: Δt={}, Confidence={}, Reason={}]"
+CAP_NOTE = "[NOTE: Context capped at {} representative records out of {:,} total matches in scope. The analysis must summarize high-frequency templates in aggregate rather than claiming individual inspection of every row.]"
+
+
 def batches_of(lines: list[tuple[str, str]], templates: list[dict], total: int, config: PipelineConfig) -> list[str]:
     """Text batches of (time, line) pairs in order, after a card of frequent templates; ``total`` rows matched in all."""
     if not lines:
-        return ["TOTAL_RECORDS: 0\nNo canonical log records matched the retrieval criteria."]
-    out = []
-    frequent = [t for t in templates if t["total_count"] >= config.frequent_template]
-    if frequent:
-        out.append("\n".join(["### TEMPLATE AGGREGATE SUMMARY:"] + [f"- Template `{t['template_id']}`: Total Occurrences={t['total_count']:,} (First Seen: {t['first_seen_utc']}, Last Seen: {t['last_seen_utc']}) | Pattern: \"{t['template_string']}\"" for t in frequent]))
+        return [EMPTY_CONTEXT]
+    frequent = [TEMPLATE_LINE.format(**t) for t in templates if t["total_count"] >= config.frequent_template]
+    out = ["\n".join([SUMMARY_LINE, *frequent])] if frequent else []
     parts = [lines[i : i + config.batch_rows] for i in range(0, len(lines), config.batch_rows)]
     for n, p in enumerate(parts, 1):
-        out.append("\n".join([f"--- BATCH {n} OF {len(parts)} (Chronological Window: {p[0][0]} -> {p[-1][0]} UTC) ---"] + [x for _, x in p]))
+        out.append("\n".join([BATCH_LINE.format(n, len(parts), p[0][0], p[-1][0]), SCHEMA_LINE, *(x for _, x in p)]))
     if total > len(lines):
-        out.append(f"[NOTE: Context capped at {len(lines)} representative records out of {total:,} total matches in scope.]")
+        out.append(CAP_NOTE.format(len(lines), total))
     return out
 
 
@@ -141,7 +189,7 @@ class Pipeline:
         self.config, self.llm, self.embedder = config or PipelineConfig(), llm or MockBackend(), embedder or vectors.HashingEmbedder()
 
     def bounds(self) -> tuple[str, str] | None:
-        lo, hi = self.records.agg(F.date_format(F.min(self.instant), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(F.max(self.instant), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()
+        lo, hi = self.records.agg(utc_second(F.min(self.instant)), utc_second(F.max(self.instant))).first()
         return (lo, hi) if lo else None
 
     def candidates(self, q: QueryFilter) -> list[dict]:
@@ -182,8 +230,8 @@ class Pipeline:
 
         at = {k: F.col(f"`{c}`") for k, c in resolve_columns(self.records.columns).items()}
         rows = self.records.where(strip_dot0(F.col(self.record_id).cast("string")).isin(ids))
-        shown = rows.orderBy(self.instant, self.record_id).limit(self.config.context_rows).select(F.date_format(self.instant, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), strip_dot0(F.col(self.record_id).cast("string")).alias("r"), context_line(at).alias("line")).collect()
-        why = {r["event_record_id"]: f" [Correlation: Δt={r['time_delta']}, Confidence={r['confidence']}, Reason={r['relation']}]" for r in linked}
+        shown = rows.orderBy(F.col(self.instant).asc_nulls_last(), self.record_id).limit(self.config.context_rows).select(utc_second(F.col(self.instant)).alias("t"), strip_dot0(F.col(self.record_id).cast("string")).alias("r"), context_line(at).alias("line")).collect()
+        why = {r["event_record_id"]: LINK_MARK.format(r["time_delta"], r["confidence"], r["relation"]) for r in linked}
         known = templates
         if not known and self.templates is not None and q.event_id:
             known = [r.asDict() for r in self.templates.where(F.col("event_id") == q.event_id).orderBy(F.desc("total_count"), "template_id").limit(5).collect()]
@@ -200,15 +248,20 @@ def append_audit(audit: DataFrame, path: str) -> None:
     audit.write.mode("append").parquet(path)
 
 
+#: Channels that a diagnosis names.
+SHOWN_CHANNELS = 50
+
+
 def diagnose(records: DataFrame, q: QueryFilter, bounds: tuple[str, str] | None) -> list[str]:
     """Why a question found nothing: a channel that is not there, a process id that does not occur (with the five most frequent), a time outside the data."""
     from tracewright.schema import resolve_columns
 
     at, out = resolve_columns(records.columns), []
     if q.source_type and "channel" in at:
-        have = [r[0] for r in records.select(at["channel"]).distinct().limit(50).collect()]
-        if q.source_type.lower() not in {str(h).lower() for h in have}:
-            out.append(f"channel {q.source_type} is not among {sorted(map(str, have))}")
+        named = F.lower(F.trim(F.col(f"`{at['channel']}`")))
+        if records.where(named == q.source_type.strip().lower()).limit(1).count() == 0:
+            most = records.where(named.isNotNull()).groupBy(F.col(f"`{at['channel']}`").alias("c")).count().orderBy(F.desc("count"), "c").limit(SHOWN_CHANNELS).collect()
+            out.append(f"channel {q.source_type} does not occur; most frequent: {[r['c'] for r in most]}")
     if q.entity_filters.process_id and "process_id" in at:
         pid = strip_dot0(F.col(at["process_id"]))
         if records.where(pid == q.entity_filters.process_id).limit(1).count() == 0:
