@@ -101,12 +101,12 @@ PREPARED = "record_id string, seq long, channel string, provider string, event_i
 
 
 def test_template_store_is_idempotent(spark, tmp_path):
-    rows = [(str(i), i, "Security", "P", "1", "Error" if i == 3 else "Information", f"t{i}", f"text {i % 2}") for i in range(6)]
+    rows = [(str(i), i, "Security", "P", "1", "Error" if i == 3 else "Information", f"t{i}", ["first text", "quite another one"][i % 2]) for i in range(6)]
     store = incremental.TemplateStore(spark, str(tmp_path))
     df = spark.createDataFrame(rows, PREPARED)
     assert store.add(df.where("seq < 4")) == 4 and store.add(df.where("seq < 4")) == 0 and store.add(df) == 2
     t = {r["template_string"]: r for r in store.templates().collect()}
-    assert t["text 0"]["total_count"] == 3 and t["text 1"]["level"] == "Error" and t["text 1"]["last_seen_utc"] == "t5"
+    assert t["first text"]["total_count"] == 3 and t["quite another one"]["level"] == "Error" and t["quite another one"]["last_seen_utc"] == "t5"
     assert store.instances().count() == 6
     assert templates.integrity(df, store.instances(), store.templates()).first()["integrity_valid"]
 

@@ -5,13 +5,16 @@ steps make it a distributed job. Distinct masked texts are counted first and eac
 tree once, in order of first appearance; a text that comes again therefore stays with its
 first cluster, where a strictly sequential run might move it to one that has grown since. And
 as the tree's first level is the number of tokens, texts of different lengths never meet:
-each (channel, token count) streams through a tree of its own.
+each (channel, token count) streams through a tree of its own. Trees can go on where they
+stopped (:func:`walk`): their clusters are a table.
 """
 
 from __future__ import annotations
 
+import configparser
 import json
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -25,23 +28,40 @@ from pyspark.sql.functions import pandas_udf
 from tracewright.functions.text import capitalize, collapse, family_label, mask, or_null, sequence_text, strip_dot0
 from tracewright.operators.order import numbered_within
 from tracewright.schema import LEVEL_RANK, resolve_columns
+from tracewright.session import broadcast_if_small, cut
 
 WILD = "<*>"
 
 
 @dataclass
 class Settings:
-    """Similarity that joins a cluster, depth of the tree, children of a node."""
+    """Similarity that joins a cluster, depth of the tree, children of a node, clusters of a tree (None: any number), and whether tokens with figures are wild cards to the tree."""
 
     similarity: float = 0.4
     depth: int = 4
     max_children: int = 100
+    max_clusters: int | None = 10_000
+    numbers_are_wild: bool = True
+
+    @classmethod
+    def from_ini(cls, path: str) -> Settings:
+        """Settings of a file with a section ``DRAIN``; what it does not name keeps its default."""
+        ini = configparser.ConfigParser(interpolation=None)
+        with open(path, encoding="utf-8") as f:
+            ini.read_file(f)
+        own, at = cls(), ini["DRAIN"] if ini.has_section("DRAIN") else {}
+        return cls(
+            float(at.get("sim_th", own.similarity)), int(at.get("depth", own.depth)), int(at.get("max_children", own.max_children)), int(at.get("max_clusters", own.max_clusters)),
+            str(at.get("parametrize_numeric_tokens", own.numbers_are_wild)).strip().lower() in ("true", "1", "yes", "on"),
+        )
 
 
 @dataclass
 class Cluster:
     tokens: list[str]
     first: int
+    opener: str
+    keys: list[str]
 
 
 @dataclass
@@ -51,38 +71,61 @@ class _Node:
 
 
 class Tree:
-    """Parse tree for texts of one length; the root already stands for the token count."""
+    """Parse tree for texts of one length; the root already stands for the token count.
+
+    Beyond ``max_clusters`` the cluster that was joined longest ago leaves the tree: texts it
+    has keep it, but no other joins it any more.
+    """
 
     def __init__(self, settings: Settings | None = None):
         self.settings = settings or Settings()
         self.root = _Node()
         self.clusters: list[Cluster] = []
+        self.live: OrderedDict[int, None] = OrderedDict()  # least recently joined first
 
     def _key(self, token: str) -> str:
-        return WILD if any(ch.isdigit() for ch in token) else token
+        return WILD if self.settings.numbers_are_wild and any(ch.isdigit() for ch in token) else token
 
-    def _leaf(self, tokens: list[str], grow: bool) -> _Node | None:
-        node = self.root
+    def _path(self, tokens: list[str]) -> list[str]:
+        """Keys from the root down, for a new cluster."""
+        node, keys = self.root, []
         for token in tokens[: max(0, self.settings.depth - 2)]:
             key = self._key(token)
-            if key not in node.below:
-                if not grow:
-                    key = WILD
-                    if key not in node.below:
-                        return None
-                else:
-                    # One place is kept for the wild card once a node runs full.
-                    if key != WILD and len(node.below) + (WILD not in node.below) >= self.settings.max_children:
-                        key = WILD
-                    node.below.setdefault(key, _Node())
-            node = node.below[key]
+            # One place is kept for the wild card once a node runs full.
+            if node is not None and key not in node.below and key != WILD and len(node.below) + (WILD not in node.below) >= self.settings.max_children:
+                key = WILD
+            keys.append(key)
+            node = node.below.get(key) if node is not None else None
+        return keys
+
+    def _leaf(self, tokens: list[str]) -> _Node | None:
+        node = self.root
+        for token in tokens[: max(0, self.settings.depth - 2)]:
+            node = node.below.get(self._key(token)) or node.below.get(WILD)
+            if node is None:
+                return None
         return node
 
-    def add(self, tokens: list[str], seq: int) -> int:
+    def put(self, cluster: Cluster) -> int:
+        """Add a cluster at its keys, as the one joined last; number of the cluster."""
+        node = self.root
+        for key in cluster.keys:
+            node = node.below.setdefault(key, _Node())
+        n = len(self.clusters)
+        self.clusters.append(cluster)
+        node.clusters.append(n)
+        self.live[n] = None
+        if self.settings.max_clusters is not None and len(self.live) > self.settings.max_clusters:
+            self.live.popitem(last=False)
+        return n
+
+    def add(self, tokens: list[str], seq: int, text: str = "") -> int:
         """Number of the cluster that the text joins or opens."""
-        leaf = self._leaf(tokens, False)
+        leaf = self._leaf(tokens)
         best, score = None, (-1.0, -1)
         for n in leaf.clusters if leaf else []:
+            if n not in self.live:
+                continue
             mine = self.clusters[n].tokens
             wild = sum(a == WILD for a in mine)
             same = sum(a == b for a, b in zip(mine, tokens) if a != WILD)
@@ -92,10 +135,9 @@ class Tree:
         if best is not None and score[0] >= self.settings.similarity:
             c = self.clusters[best]
             c.tokens = [a if a == b else WILD for a, b in zip(c.tokens, tokens)]
+            self.live.move_to_end(best)
             return best
-        self.clusters.append(Cluster(list(tokens), seq))
-        self._leaf(tokens, True).clusters.append(len(self.clusters) - 1)
-        return len(self.clusters) - 1
+        return self.put(Cluster(list(tokens), seq, text, self._path(tokens)))
 
 
 def log_text(message: Column, payload: Column, event_id: Column, provider: Column) -> Column:
@@ -117,33 +159,75 @@ def prepared(df: DataFrame, seq: Column, payload_too: bool = True) -> DataFrame:
     )
 
 
-def mine(records: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``records`` (as from :func:`prepared`) plus cluster (number within the channel, by first appearance) and template_string."""
+#: What a tree remembers of a cluster: where it hangs, its text now, and its place in the order of joining (null: it has left the tree).
+CLUSTERS = "channel string, n_tokens int, opener string, opened long, keys array<string>, template_string string, used int"
+_WALKED = f"is_text boolean, masked string, {CLUSTERS}"
+#: More distinct masked texts than this are joined to the records by shuffle.
+BROADCAST_TEXTS = 200_000
+
+
+def walk(texts: DataFrame, clusters: DataFrame | None = None, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+    """Send new texts (channel, masked, first) through the trees that ``clusters`` (see ``CLUSTERS``) left behind.
+
+    Gives (channel, masked, opener, opened) of each text and the clusters of all trees that
+    got a text. A cluster is known by the text that opened it. Texts of a tree stream through
+    in order of first appearance, behind its clusters.
+    """
     settings = settings or Settings()
-    texts = records.groupBy("channel", "masked").agg(F.min("seq").alias("first"))
-    texts = texts.withColumn("n_tokens", F.size(F.split("masked", " "))).repartition("channel", "n_tokens").sortWithinPartitions("channel", "n_tokens", "first", "masked")
+    n = F.size(F.split("masked", " ")).alias("n_tokens")
+    rows = texts.select(F.lit(True).alias("is_text"), "masked", "channel", n, F.col("masked").alias("opener"), F.col("first").alias("opened"), F.lit(None).cast("array<string>").alias("keys"), F.col("masked").alias("template_string"), F.lit(None).cast("int").alias("used"))
+    if clusters is not None:
+        touched = rows.select("channel", "n_tokens").distinct()
+        old = clusters.join(touched, ["channel", "n_tokens"], "left_semi")
+        rows = rows.unionByName(old.withColumns({"is_text": F.lit(False), "masked": F.lit(None).cast("string")}))
+    # Clusters come first, in the order in which they were opened; then texts.
+    rows = rows.select(*[c.split()[0] for c in _WALKED.split(", ")]).repartition("channel", "n_tokens").sortWithinPartitions("channel", "n_tokens", "is_text", "opened", "opener")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tree, held = None, None, []
+        now, tree, held, order = None, None, [], {}
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in _WALKED.split(", ")])
 
         def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                cs = [tree.clusters[c] for _, c in held]
-                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(held), pa.string()), pa.array([m for m, _ in held], pa.string()), pa.array([c.first for c in cs], pa.int64()), pa.array([" ".join(c.tokens) for c in cs], pa.string())], ["channel", "masked", "opened", "template_string"])
+            used = {c: i for i, c in enumerate(tree.live)}
+            found = [(True, m, *now, tree.clusters[c].opener, tree.clusters[c].first, None, None, None) for m, c in held]
+            found += [(False, None, *now, c.opener, c.first, c.keys, " ".join(c.tokens), used.get(i)) for i, c in enumerate(tree.clusters)]
+            for k in range(0, len(found), 20_000):
+                yield out(found[k : k + 20_000])
+
+        def settle() -> None:
+            """Bring restored clusters into the order in which they were joined; those that had left stay outside."""
+            tree.live = OrderedDict.fromkeys(sorted((c for c in order if order[c] is not None), key=order.get))
 
         for b in batches:
-            for channel, masked, first, n in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                if (channel, n) != now:
-                    yield from done()
-                    now, tree, held = (channel, n), Tree(settings), []
-                held.append((masked, tree.add(masked.split(" "), first)))
+            for is_text, masked, channel, n_tokens, opener, opened, keys, text, used in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)]):
+                if (channel, n_tokens) != now:
+                    if tree is not None:
+                        yield from done()
+                    now, tree, held, order = (channel, n_tokens), Tree(settings), [], {}
+                if not is_text:
+                    order[tree.put(Cluster(text.split(" "), opened, opener, keys))] = used
+                    continue
+                if order:
+                    settle()
+                    order = {}
+                held.append((masked, tree.add(masked.split(" "), opened, masked)))
         if tree is not None:
             yield from done()
 
-    found = texts.select("channel", "masked", "first", "n_tokens").mapInArrow(run, "channel string, masked string, opened long, template_string string")
-    clusters = numbered_within(found.select("channel", "opened", "template_string").distinct(), "channel", ["opened", "template_string"], "cluster")
-    found = found.join(clusters, ["channel", "opened", "template_string"])
-    return records.join(found.select("channel", "masked", "cluster", "template_string"), ["channel", "masked"])
+    walked = cut(rows.mapInArrow(run, _WALKED))
+    return walked.where("is_text").select("channel", "masked", "opener", "opened"), walked.where("not is_text").drop("is_text", "masked")
+
+
+def mine(records: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """``records`` (as from :func:`prepared`) plus cluster (number within the channel, by first appearance) and template_string."""
+    found, clusters = walk(records.groupBy("channel", "masked").agg(F.min("seq").alias("first")), None, settings)
+    numbered = numbered_within(clusters.select("channel", "opener", "opened", "template_string"), "channel", ["opened", "opener"], "cluster").drop("opened")
+    found = found.drop("opened").join(numbered, ["channel", "opener"]).drop("opener")
+    # A frequent text is the hottest key of a log: where the texts are few they go to the records.
+    return records.join(broadcast_if_small(found, BROADCAST_TEXTS), ["channel", "masked"])
 
 
 def signatures(records: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.operators import correlate, templates, vectors
+from tracewright.operators.order import numbered_within
+from tracewright.session import cut
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -33,40 +35,68 @@ def new_rows(batch: DataFrame, key: str, stored: DataFrame | None, stored_key: s
 
 
 class TemplateStore:
-    """Signature templates and their instances, kept in two folders.
+    """Mined templates, their instances, and the trees that mine them, kept in a folder.
 
-    Cluster numbers of known signatures stay; new signatures of a channel are numbered on.
+    Trees go on where the last batch left them; known texts keep their cluster, and clusters
+    keep their number, so batches in the order of the records give what one run over all
+    would. Every batch writes its tables under a version of its own, and the version counts
+    once all of them are there: a batch that fails half-way is simply written again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, settings: templates.Settings | None = None):
+        self.spark, self.folder, self.settings = spark, folder, settings
 
-    def _path(self, name: str, version: int | None = None) -> str:
-        return f"{self.folder}/{name}" + ("" if version is None else f"/v={version}")
+    def version(self) -> int:
+        """The last complete version, -1 if there is none."""
+        done = _stored(self.spark, f"{self.folder}/commits")
+        return -1 if done is None else done.agg(F.max("n")).first()[0]
+
+    def _table(self, name: str, newest: bool) -> DataFrame | None:
+        v, t = self.version(), _stored(self.spark, f"{self.folder}/{name}")
+        if t is None or v < 0:
+            return None
+        return t.where((F.col("v") == v) if newest else (F.col("v") <= v)).drop("v")
 
     def instances(self) -> DataFrame | None:
-        return _stored(self.spark, self._path("instances"))
+        return self._table("instances", False)
 
     def templates(self) -> DataFrame | None:
-        t = _stored(self.spark, self._path("templates"))
-        if t is None:
-            return None
-        newest = t.agg(F.max("v")).first()[0]
-        return t.where(F.col("v") == newest).drop("v")
+        return self._table("templates", True)
+
+    def clusters(self) -> DataFrame | None:
+        """What the trees remember (see ``templates.CLUSTERS``), with each cluster's number."""
+        return self._table("clusters", True)
 
     def add(self, records: DataFrame) -> int:
         """Template new records (as from ``templates.prepared``); returns how many were new."""
-        fresh = new_rows(records, "seq", self.instances(), "instance_id").persist()
+        fresh = cut(new_rows(records, "seq", self.instances(), "instance_id"))
         n = fresh.count()
-        if n:
-            old = self.templates()
-            signed = fresh.withColumn("cluster", F.pmod(F.xxhash64("masked"), F.lit(1_000_000_000))).withColumn("template_string", F.col("masked"))
-            added = templates.rollup(signed)
-            both = added if old is None else templates.merge(old, added)
-            version = 0 if old is None else _stored(self.spark, self._path("templates")).agg(F.max("v")).first()[0] + 1
-            both.write.mode("overwrite").parquet(self._path("templates", version))
-            templates.instances(signed).write.mode("append").parquet(self._path("instances"))
-        fresh.unpersist()
+        if not n:
+            return 0
+        known, old, v = self._table("signatures", False), self.clusters(), self.version() + 1
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={v}")
+        texts = fresh.groupBy("channel", "masked").agg(F.min("seq").alias("first"))
+        if known is not None:
+            texts = texts.join(known, ["channel", "masked"], "left_anti")
+        found, grown = templates.walk(texts, None if old is None else old.drop("cluster"), self.settings)
+        put(found.select("channel", "masked", "opener"), "signatures")
+        if old is None:
+            clusters = numbered_within(grown, "channel", ["opened", "opener"], "cluster")
+        else:
+            opened = numbered_within(grown.join(old.select("channel", "opener"), ["channel", "opener"], "left_anti"), "channel", ["opened", "opener"], "nth")
+            last = old.groupBy("channel").agg(F.max("cluster").alias("last"))
+            opened = opened.join(last, "channel", "left").withColumn("cluster", F.col("nth") + F.coalesce("last", F.lit(0))).drop("nth", "last")
+            grown = grown.join(old.select("channel", "opener", "cluster"), ["channel", "opener"])
+            rest = old.join(grown.select("channel", "opener"), ["channel", "opener"], "left_anti")
+            clusters = opened.unionByName(grown).unionByName(rest)
+        put(clusters, "clusters")
+        here = self.spark.read.parquet(f"{self.folder}/clusters/v={v}").select("channel", "opener", "cluster", "template_string")
+        told = self.spark.read.parquet(f"{self.folder}/signatures").where(F.col("v") <= v).drop("v").join(here, ["channel", "opener"]).drop("opener")
+        mined = cut(fresh.join(told, ["channel", "masked"]))
+        added, stored = templates.rollup(mined), self.templates()
+        put(added if stored is None else templates.merge(stored, added), "templates")
+        put(templates.instances(mined), "instances")
+        self.spark.createDataFrame([(v,)], "n int").write.mode("append").parquet(f"{self.folder}/commits")
         return n
 
     def sink(self) -> Callable[[DataFrame, int], None]:
