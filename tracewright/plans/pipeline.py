@@ -202,7 +202,7 @@ class Pipeline:
                 t = t.where(F.lower(column) == v.lower())
         if q.time_range:
             t = t.where(filters.overlapping(t, "first_seen_utc", "last_seen_utc", q.time_range.start_utc, q.time_range.end_utc))
-        wanted = [float(x) for x in self.embedder.embed([q.semantic_query])[0]]
+        wanted = [float(x) for x in vectors.query_vector(self.embedder, q.semantic_query)]
         scored = vectors.embedded(t, "template_string", self.embedder).withColumn("score", F.round(vectors.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in wanted])), 6))
         return [r.asDict() for r in scored.where("score > 0").orderBy(F.desc("score"), "template_id").limit(self.config.top_templates).drop("embedding").collect()]
 
