@@ -211,3 +211,72 @@ def test_a_channel_among_sixty_is_not_denied(spark):
     assert diagnose(df, q, None) == []
     q.source_type = "Channel 60"
     assert "does not occur" in diagnose(df, q, None)[0]
+
+
+@pytest.fixture
+def tool(tmp_path):
+    """A dump tool that prints a file as it is, and fails on some."""
+    p = tmp_path / "dump"
+    p.write_text('#!/bin/sh\n[ "$1" = --version ] && exit 0\ncat "$1"\ncase "$1" in *bad*) echo broken chunk >&2; exit 3;; esac\n')
+    p.chmod(0o755)
+    return str(p)
+
+
+def raw(i, level=3):
+    return json.dumps({"Event": {"System": {"EventRecordID": i, "Level": level, "Computer": 'h "q"'}}})
+
+
+def test_a_failing_dump_tool_is_no_success(spark, tmp_path, tool):
+    (tmp_path / "good.evtx").write_text("\n".join(raw(i) for i in (10, 9, 2)) + "\n{cut off")
+    (tmp_path / "bad.evtx").write_text(raw(1) + "\n")
+    (tmp_path / "empty.evtx").write_text("")
+    assert readers.read_evtx(spark, [str(tmp_path / "good.evtx")], tool).count() == 3
+    with pytest.raises(Exception, match="broken chunk"):
+        readers.read_evtx(spark, [str(tmp_path / "bad.evtx")], tool).count()
+    for kind in ("csv", "json", "jsonl", "xml"):
+        out = {r["source"].rsplit("/", 1)[1]: r for r in writers.convert(spark, str(tmp_path), str(tmp_path / kind), kind, tool=tool).collect()}
+        assert (out["good.evtx"]["rows"], out["good.evtx"]["lost"], out["good.evtx"]["ok"]) == (3, 1, True) and out["empty.evtx"]["ok"]
+        assert not out["bad.evtx"]["ok"] and "ended with 3" in out["bad.evtx"]["error"] and not (tmp_path / kind / f"bad.{kind}").exists()
+        if kind == "xml":
+            assert len(ET.parse(tmp_path / kind / "good.xml").getroot()) == 3 and len(ET.parse(tmp_path / kind / "empty.xml").getroot()) == 0
+        else:
+            rows = readers.read_any(spark, str(tmp_path / kind / f"good.{kind}")).collect()
+            assert {r["RecordID"] for r in rows} == {"2", "9", "10"} and rows[0]["Computer"] == 'h "q"'
+    text = (tmp_path / "jsonl" / "good.jsonl").read_text().splitlines()
+    assert [json.loads(x)["RecordID"] for x in text] == ["2", "9", "10"]
+    one = {r["source"].rsplit("/", 1)[1]: r["ok"] for r in writers.convert(spark, str(tmp_path), str(tmp_path / "o"), "csv", tool=tool, in_tasks=False).collect()}
+    assert one == {"good.evtx": True, "bad.evtx": False, "empty.evtx": True}
+
+
+def test_finding_a_dump_tool(tmp_path, tool, monkeypatch):
+    monkeypatch.setattr(readers, "TOOL_PLACES", [str(tmp_path / "none"), tool])
+    monkeypatch.delenv(readers.TOOL_VARIABLE, raising=False)
+    assert readers.dump_tool() == tool
+    broken = tmp_path / "broken"
+    broken.write_text("#!/bin/sh\nexit 1\n")
+    broken.chmod(0o755)
+    monkeypatch.setenv(readers.TOOL_VARIABLE, str(broken))
+    assert readers.dump_tool() == tool and not readers.works(str(tmp_path / "none"))
+
+
+def test_what_is_held_in_memory(spark, tool):
+    import io
+
+    import pandas as pd
+
+    frame = pd.DataFrame({"RecordID": [1, 2], "Message": ["a", None]})
+    assert [tuple(r) for r in readers.from_memory(spark, frame).collect()] == [("1", "a"), ("2", None)]
+    assert readers.from_memory(spark, b"RecordID,Message\n7,x\n", "u.csv").first()["RecordID"] == "7"
+    assert readers.from_memory(spark, io.BytesIO(b'{"RecordID": 8}\n'), "u.jsonl").first()["RecordID"] == "8"
+    assert readers.from_memory(spark, raw(5).encode(), "u.evtx", tool).first()["RecordID"] == "5"
+
+
+def test_many_files_are_few_scans(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"x {i}+.csv").write_text("RecordID,Extra\n%d,\n" % i)
+    (tmp_path / "y.csv").write_text("Other,RecordID\no,9\n")
+    spark.createDataFrame([("11",), ("12",)], "RecordID string").write.parquet(str(tmp_path / "z.parquet"))
+    df = readers.read_many(spark, [str(tmp_path / f"x {i}+.csv") for i in range(6)] + [str(tmp_path / "y.csv"), str(tmp_path / "z.parquet")])
+    got = {(r["RecordID"], r["SourceLog"], r["Extra"], r["Other"]) for r in df.collect()}
+    assert got == {*((str(i), f"x {i}+.csv", "", None) for i in range(6)), ("9", "y.csv", None, "o"), ("11", "z.parquet", None, None), ("12", "z.parquet", None, None)}
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 3

@@ -141,3 +141,12 @@ def test_latest_start_before(spark):
     df = spark.createDataFrame(rows, "RecordID string, Computer string, ProcessID string, TimeCreated string, EventID string, EventData string, at long")
     got = {r["RecordID"]: r["s"] for r in correlate.with_last_start(df, "at", "s").collect()}
     assert got == {"1": "t1", "2": "t1", "3": "u3", "4": "u3", "5": None, "6": None, "7": None, "8": None}
+
+
+def test_windows_labels_and_weights_can_be_set(spark):
+    assert correlate.link_rules({"user_id": 5, "service": (60, "Own", 0.9), "other": 7})["user_id"] == (5, "Medium-high", 0.8)
+    rules = {r["entity_type"]: tuple(r)[1:] for r in correlate.rule_table(spark, {"service": (60, "Own", 0.9), "other": 7}).collect()}
+    assert rules["service"] == (60, "Own", 0.9) and rules["other"] == (7, "Medium", 0.5)
+    df = spark.createDataFrame([("1", "H", "672"), ("1", "H", "672")], "RecordID string, Computer string, ProcessID string")
+    got = {r["entity_type"]: (r["confidence"], r["confidence_weight"]) for r in correlate.build_index(df, overrides={"computer": (9, "Strong", 0.95)}).collect()}
+    assert got == {"computer": ("Strong", 0.95), "process_id": ("Low", 0.3)}

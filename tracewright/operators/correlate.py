@@ -38,7 +38,19 @@ def with_last_start(df: DataFrame, at_us: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col(f"`{at_us}`").isNotNull() & strip_dot0(at["process_id"]).isNotNull(), F.max(start).over(w)["text"]))
 
 
-def extract(df: DataFrame, started: str | None = None) -> DataFrame:
+#: A rule: window in seconds, or (window, label, weight).
+Rule = int | tuple[int, str, float]
+
+
+def link_rules(overrides: dict[str, Rule] | None = None) -> dict[str, tuple[int, str, float]]:
+    """The rule of each entity type, with those of the caller; a type that is new takes label and weight of ``LINK_DEFAULT`` if only its window is given."""
+    out = dict(LINK_RULES)
+    for t, rule in (overrides or {}).items():
+        out[t] = (int(rule), *out.get(t, LINK_DEFAULT)[1:]) if isinstance(rule, int) else (int(rule[0]), str(rule[1]), float(rule[2]))
+    return out
+
+
+def extract(df: DataFrame, started: str | None = None, overrides: dict[str, Rule] | None = None) -> DataFrame:
     """Entity rows of all records: record_id, source_type, event_id, provider, time, seq, entity_type, entity_value, confidence, weight.
 
     ``started`` names a column with the start of the row's process, if known. A record has
@@ -77,7 +89,8 @@ def extract(df: DataFrame, started: str | None = None) -> DataFrame:
     found.append(("thread_id", F.when(tid != "0", tid)))
     host = F.coalesce(F.nullif(F.trim(col("computer")), F.lit("")), key("WorkstationName"), key("ComputerName"))
     found.append(("computer", F.when(~host.isin("-", "None", "null"), host)))
-    rules = {t: LINK_RULES.get(t, LINK_DEFAULT) for t, _ in found}
+    known = link_rules(overrides)
+    rules = {t: known.get(t, LINK_DEFAULT) for t, _ in found}
     cells = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(t).alias("entity_type"), v.alias("entity_value"), F.lit(rules[t][1]).alias("confidence"), F.lit(rules[t][2]).alias("weight")) for i, (t, v) in enumerate(found)])
     good = F.filter(cells, lambda e: e["entity_value"].isNotNull() & (e["entity_value"] != "") & ~F.lower(e["entity_value"]).isin("nan", "none", "null"))
     # Of equal entities of a record the first stays: no shuffle, the record has them all.
@@ -87,10 +100,10 @@ def extract(df: DataFrame, started: str | None = None) -> DataFrame:
     return df.select(*head, good.alias("found")).select("record_id", "source_type", "event_id", "provider", "time", F.explode(first).alias("e")).select("record_id", "source_type", "event_id", "provider", "time", "e.seq", "e.entity_type", "e.entity_value", "e.confidence", "e.weight")
 
 
-def build_index(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def build_index(records: DataFrame, stored: DataFrame | None = None, overrides: dict[str, Rule] | None = None) -> DataFrame:
     """Index rows of the records that ``stored`` has none of: correlation_id (numbered on from the stored ones), entity_type, entity_value, event_record_id, source_type, event_id, provider, time_created_utc, confidence, confidence_weight."""
     # Exact copies of a record give its entities once.
-    found = extract(records).distinct().withColumnRenamed("record_id", "event_record_id").withColumnRenamed("time", "time_created_utc").withColumnRenamed("weight", "confidence_weight")
+    found = extract(records, overrides=overrides).distinct().withColumnRenamed("record_id", "event_record_id").withColumnRenamed("time", "time_created_utc").withColumnRenamed("weight", "confidence_weight")
     start = 0
     if stored is not None:
         found = found.join(stored.select("event_record_id").where("event_record_id is not null").distinct(), "event_record_id", "left_anti")
@@ -109,13 +122,12 @@ def annotate(records: DataFrame, record_id: str, links: DataFrame) -> DataFrame:
     return records.join(marks, strip_dot0(F.col(f"`{record_id}`").cast("string")) == F.col("__r"), "left").drop("__r")
 
 
-def rule_table(spark, overrides: dict[str, int] | None = None) -> DataFrame:
+def rule_table(spark, overrides: dict[str, Rule] | None = None) -> DataFrame:
     """(entity_type, window_s, label, weight), one row a type."""
-    rows = [(t, int((overrides or {}).get(t, w)), label, weight) for t, (w, label, weight) in LINK_RULES.items()]
-    return spark.createDataFrame(rows, "entity_type string, window_s int, label string, rule_weight double")
+    return spark.createDataFrame([(t, *rule) for t, rule in link_rules(overrides).items()], "entity_type string, window_s int, label string, rule_weight double")
 
 
-def linked_to(index: DataFrame, anchor: str, overrides: dict[str, int] | None = None, types: list[str] | None = None, least_weight: float = 0.2, trivial: bool = False, limit: int = 100) -> DataFrame:
+def linked_to(index: DataFrame, anchor: str, overrides: dict[str, Rule] | None = None, types: list[str] | None = None, least_weight: float = 0.2, trivial: bool = False, limit: int = 100) -> DataFrame:
     """Records linked to one anchor: best link of each (weight, then entity order), by weight and distance.
 
     ``index``: event_record_id, source_type, event_id, provider, ts (timestamp), entity_type,
@@ -139,7 +151,7 @@ def linked_to(index: DataFrame, anchor: str, overrides: dict[str, int] | None =
     return out.orderBy(F.desc("confidence_weight"), F.abs("delta_s"), "event_record_id").limit(limit).select("event_record_id", "source_type", "event_id", "entity_type", "entity_value", "confidence", "confidence_weight", "delta_s", "time_delta", "relation")
 
 
-def link_counts(index: DataFrame, types: list[str], overrides: dict[str, int] | None = None) -> DataFrame:
+def link_counts(index: DataFrame, types: list[str], overrides: dict[str, Rule] | None = None) -> DataFrame:
     """(event_record_id, entity_type, entity_value, n_linked): for every record, how many other records of the entity lie within its window.
 
     No pair is listed. The rows up to a time are counted twice for each row, at both ends of
@@ -147,9 +159,9 @@ def link_counts(index: DataFrame, types: list[str], overrides: dict[str, int] |
     cumulative count per (entity, time block), on top of the count of the blocks before, so
     that an entity of any size is spread over its blocks and the work grows with its rows.
     """
-    w_us = F.lit(None).cast("long")
+    w_us, rules = F.lit(None).cast("long"), link_rules(overrides)
     for t in types:
-        w_us = F.when(F.col("entity_type") == t, F.lit(int((overrides or {}).get(t, LINK_RULES.get(t, LINK_DEFAULT)[0])) * 1_000_000)).otherwise(w_us)
+        w_us = F.when(F.col("entity_type") == t, F.lit(rules.get(t, LINK_DEFAULT)[0] * 1_000_000)).otherwise(w_us)
     key, row = ["entity_type", "entity_value"], ["event_record_id", "t_us"]
     rows = index.where(F.col("entity_type").isin(types)).select(*key, *row).where("t_us is not null").distinct().withColumn("w", w_us)
     point = lambda at, side, sign: F.struct(at.alias("at"), F.lit(side).alias("side"), F.lit(sign).alias("sign"))

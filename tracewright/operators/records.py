@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tracewright.functions.text import collapse, is_nullish, or_null, shorten, uuid5
@@ -42,8 +43,8 @@ def without_nulls(text: str | None) -> str | None:
     return json.dumps(walk(v), ensure_ascii=False).encode("utf-8", "replace").decode()
 
 
-def clean(df: DataFrame) -> DataFrame:
-    """All canonical columns as trimmed text, missing ones and null words as empty text; in the payload columns also inside JSON.
+def clean(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """All canonical columns (and those of ``keep`` as they are) as trimmed text, missing ones and null words as empty text; in the payload columns also inside JSON.
 
     Only payloads that look like JSON and hold a null word somewhere are read.
     """
@@ -62,7 +63,7 @@ def clean(df: DataFrame) -> DataFrame:
             return plain_text.alias(c)
         return F.when(t.rlike(r"(?is)^[\[{].*(null|none|nan)"), emptied(F.when(t.rlike(r"(?is)^[\[{].*(null|none|nan)"), t))).otherwise(plain_text).alias(c)
 
-    return df.select(*[one(c) for c in CANONICAL])
+    return df.select(*[one(c) for c in CANONICAL], *(keep or []))
 
 
 def semantic_line(at: dict[str, Column], details: int = 300) -> Column:
@@ -221,19 +222,20 @@ def row_of(event: dict) -> dict[str, str]:
     return row
 
 
-def from_json_events(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Canonical rows from one raw event a line; lines that are no JSON object are left out."""
+def from_json_events(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Canonical rows from one raw event a line (with the columns of ``keep``); lines that are no JSON object are left out."""
+    keep = keep or []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for t in f.iloc[:, 0]:
+            for t, *rest in f.itertuples(index=False):
                 try:
                     e = json.loads(t)
                 except (TypeError, ValueError):
                     continue
                 if isinstance(e, dict):
-                    rows.append(row_of(e))
-            yield pd.DataFrame(rows, columns=CANONICAL)
+                    rows.append([*row_of(e).values(), *rest])
+            yield pd.DataFrame(rows, columns=[*CANONICAL, *keep], dtype=object)
 
-    return lines.select(column).mapInPandas(run, CANONICAL_SCHEMA)
+    return lines.select(column, *keep).mapInPandas(run, T.StructType([*CANONICAL_SCHEMA.fields, *[lines.schema[c] for c in keep]]))

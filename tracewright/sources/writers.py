@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import payload
 from tracewright.functions.text import html_escape
-from tracewright.operators.records import clean
+from tracewright.operators.records import clean, from_json_events
 from tracewright.operators.views import converter_order
-from tracewright.sources.readers import find_files, read_any, read_evtx
+from tracewright.schema import CANONICAL
+from tracewright.sources.readers import find_files, raw_events, read_any, read_evtx, read_many
 
 FORMATS = {"csv": ".csv", "json": ".json", "jsonl": ".jsonl", "xml": ".xml"}
 # Fixed value: name space of event XML.
@@ -94,19 +96,107 @@ def write_file(df: DataFrame, path: str, kind: str) -> int:
     return n
 
 
-def convert(spark: SparkSession, source: str, target: str | None = None, kind: str = "csv", recursive: bool = False, extension: str = ".evtx", progress: Callable[[int, int, str], None] | None = None) -> DataFrame:
-    """Convert all files found; one result row a file (source, target, rows, ok, error). A file that fails does not stop the others."""
+def _lines(df: DataFrame, kind: str, columns: list[str]) -> Column:
+    if kind == "xml":
+        return event_xml(df.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return F.to_csv(row, {"quoteAll": "true", "escape": '"', "emptyValue": ""}) if kind == "csv" else F.to_json(row, {"ignoreNullFields": "false"})
+
+
+#: What stands before, between and after the lines of a file.
+_FRAMES = {"csv": ("", "", ""), "jsonl": ("", "", ""), "json": ("[", ",", "]\n"), "xml": ('<?xml version="1.0" encoding="utf-8"?>\n<Events>\n', "", "</Events>\n")}
+
+
+def write_files(df: DataFrame, targets: dict[str, str], kind: str, source: str, error: str | None = None, lost: str | None = None) -> DataFrame:
+    """One file for each value of ``source``, written by the tasks in converter order; a result row a file (source, target, rows, ok, error, lost).
+
+    Targets must lie where every machine can write. A file is written beside its target and
+    moved there when it is complete, so a task that runs again does no harm. ``error`` and
+    ``lost`` name columns with what went wrong while a source was read.
+    """
+    spark = df.sparkSession
+    columns = [c for c in df.columns if c not in (source, error, lost)]
+    none = F.lit(None).cast("string")
+    rows = df.select(F.col(source).alias("source"), *[c.alias(n) for c, n in zip(converter_order(F.col("RecordID"), F.col("TimeCreated")), ("o1", "o2"))], (F.when(F.col(error).isNull() & F.col(lost).isNull(), _lines(df, kind, columns)) if error else _lines(df, kind, columns)).alias("line"), (F.col(error) if error else none).alias("error"), (F.col(lost) if lost else none).cast("long").alias("lost"))
+    # Every file has a row of its own first, so that one without records is written as well.
+    names = spark.createDataFrame(list(targets.items()), "source string, target string")
+    first = names.select("source", F.lit(None).cast("long").alias("o1"), none.alias("o2"), none.alias("line"), none.alias("error"), F.lit(0).cast("long").alias("lost"))
+    head, between, foot = _FRAMES[kind]
+    if kind == "csv":
+        head = ",".join('"' + c.replace('"', '""') + '"' for c in columns) + "\n"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, f, n, wrong, gone = None, None, 0, None, 0
+
+        def done() -> pd.DataFrame:
+            f.write(foot)
+            f.close()
+            target = targets[now]
+            if wrong is None:
+                os.replace(f.name, target)
+            else:
+                os.remove(f.name)
+            return pd.DataFrame([(now, target, n if wrong is None else 0, wrong is None, wrong, gone)], columns=["source", "target", "rows", "ok", "error", "lost"])
+
+        for frame in frames:
+            for name, line, error_, lost_ in frame.itertuples(index=False):
+                if name != now:
+                    if f is not None:
+                        yield done()
+                    now, n, wrong, gone = name, 0, None, 0
+                    os.makedirs(os.path.dirname(targets[name]) or ".", exist_ok=True)
+                    f = open(f"{targets[name]}.{os.getpid()}.part", "w", encoding="utf-8", newline="")  # noqa: SIM115
+                    f.write(head)
+                if isinstance(error_, str):
+                    wrong = error_
+                if lost_ == lost_ and lost_ is not None:
+                    gone += int(lost_)
+                if isinstance(line, str):
+                    f.write((between if n else "") + ("\n" if kind == "json" else "") + line + ("" if kind == "json" else "\n"))
+                    n += 1
+        if f is not None:
+            yield done()
+
+    spread = first.unionByName(rows).repartition(max(1, len(targets)), "source").sortWithinPartitions("source", "o1", "o2")
+    return spread.select("source", "line", "error", "lost").mapInPandas(run, "source string, target string, rows long, ok boolean, error string, lost long")
+
+
+def convert(spark: SparkSession, source: str, target: str | None = None, kind: str = "csv", recursive: bool = False, extension: str = ".evtx", progress: Callable[[int, int, str], None] | None = None, tool: str | None = None, in_tasks: bool = True) -> DataFrame:
+    """Convert all files found; one result row a file (source, target, rows, ok, error, lost). A file that fails does not stop the others.
+
+    Files are written by the tasks, many at a time. With ``in_tasks=False``, or if the job as
+    a whole fails, they go one after the other through the driver, which then tells which failed.
+    """
     kind = kind if kind in FORMATS else "csv"
-    files, out = find_files(source, extension, recursive), []
+    files, shape = find_files(source, extension, recursive), "source string, target string, rows long, ok boolean, error string, lost long"
+    targets = {f: output_path(f, target, kind) for f in files}
+    if files and in_tasks and len(set(targets.values())) == len(files):
+        try:
+            if extension == ".evtx":
+                raw = raw_events(spark, files, tool, errors=True)
+                ends = raw.where("value is null").select(*[F.lit(None).cast("string").alias(c) for c in CANONICAL], "source", "error", "lost")
+                rows = from_json_events(raw.where("value is not null"), keep=["source", "error", "lost"]).unionByName(ends)
+                out = write_files(clean(rows, ["source", "error", "lost"]), targets, kind, "source", "error", "lost").collect()
+            else:
+                out = write_files(clean(read_many(spark, files, full=True), ["SourceLog"]), targets, kind, "SourceLog").collect()
+        except Exception:  # noqa: BLE001 - which file it was shows below
+            pass
+        else:
+            out = sorted(out, key=lambda r: r["source"])
+            for i, r in enumerate(out, 1):
+                if progress:
+                    progress(i, len(files), r["source"])
+            return spark.createDataFrame(out, shape)
+    out = []
     for i, f in enumerate(files, 1):
-        path = output_path(f, target, kind)
+        path = targets[f]
         try:
             os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-            df = read_evtx(spark, [f]) if extension == ".evtx" else clean(read_any(spark, f))
+            df = read_evtx(spark, [f], tool) if extension == ".evtx" else clean(read_any(spark, f))
             df = df.orderBy(*converter_order(F.col("RecordID"), F.col("TimeCreated")))
-            out.append((f, path, write_file(df, path, kind), True, None))
+            out.append((f, path, write_file(df, path, kind), True, None, 0))
         except Exception as e:  # noqa: BLE001 - any failure becomes a row
-            out.append((f, path, 0, False, str(e)[:500]))
+            out.append((f, path, 0, False, str(e)[:500], 0))
         if progress:
             progress(i, len(files), f)
-    return spark.createDataFrame(out, "source string, target string, rows long, ok boolean, error string")
+    return spark.createDataFrame(out, shape)
