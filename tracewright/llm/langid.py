@@ -251,7 +251,8 @@ def train(texts: list[str], labels: list[int], names: list[str], passes: int = P
     m, k = len(c.text_of), len(names)
     y = np.asarray(labels)[c.text_of]
     # Sentences are documents to the inverse document frequency.
-    idf = np.log((1.0 + m) / (1.0 + np.bincount(gram, minlength=1 << BITS))) + 1.0
+    used, gram = np.unique(gram, return_inverse=True)  # only features that occur have coordinates
+    idf = np.log((1.0 + m) / (1.0 + np.bincount(gram))) + 1.0
     x = count * idf[gram] / np.sqrt(np.maximum(np.bincount(row, count, m), 1.0))[row]
     held, fair, every = c.text_of % 5 == 4, np.ones(m, bool), np.arange(m)
 
@@ -259,8 +260,10 @@ def train(texts: list[str], labels: list[int], names: list[str], passes: int = P
         use = np.flatnonzero(use)
         share = np.bincount(y[use], minlength=k).astype(float)
         balance = np.where(share > 0, share.sum() / (k * np.maximum(share, 1.0)), 0.0)
-        weight, bias = _leader(row, gram, x, y, balance, use, m, k, rounds)
-        return Model((weight * idf[:, None]).astype(np.float32), bias, 1.0, names)
+        own, bias = _leader(row, gram, x, y, balance, use, m, k, rounds)
+        weight = np.zeros((1 << BITS, k), np.float32)
+        weight[used] = own * idf[:, None]
+        return Model(weight, bias, 1.0, names)
 
     half = (c.text_of // 5) % 2 == 0
     for _ in range(passes - 1):
@@ -282,7 +285,7 @@ def train(texts: list[str], labels: list[int], names: list[str], passes: int = P
 
 def _leader(row: np.ndarray, gram: np.ndarray, x: np.ndarray, y: np.ndarray, balance: np.ndarray, chosen: np.ndarray, m: int, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Follow-the-regularised-leader, per coordinate, in small batches."""
-    d = 1 << BITS
+    d = int(gram.max()) + 1
     z, n = np.zeros((d + 1, k)), np.zeros((d + 1, k))
     bounds = np.searchsorted(row, np.arange(m + 1))
 
