@@ -160,14 +160,15 @@ def with_instants(df: DataFrame, zones: DataFrame | None, out: str) -> DataFrame
     return with_instant(df, at["time"], host, zones, us).withColumn(out, F.timestamp_micros(us)).drop(us)
 
 
-def run(df: DataFrame, q: QueryFilter, candidates: DataFrame | None = None, limit: int | None = None, instant: str | None = None, zones: DataFrame | None = None) -> DataFrame:
-    """Matching rows by instant and record, rows without instant last. ``candidates``: one column of record ids to stay within (None: no bound, empty: no rows).
+def run(df: DataFrame, q: QueryFilter, candidates: DataFrame | None = None, limit: int | None = None, instant: str | None = None, zones: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+    """Matching rows by instant and record, rows without instant last (in no order unless ``ordered``, and then no instant is read for a question without time). ``candidates``: one column of record ids to stay within (None: no bound, empty: no rows).
 
     ``instant`` names a timestamp column; without it instants are read from the time column,
     whatever its notation, with ``zones`` (computer, time_zone, locale) for wall times.
     """
     columns, at = df.columns, resolve_columns(df.columns)
-    if instant is None:
+    ordered = ordered or limit is not None
+    if instant is None and (ordered or q.time_range):
         # What needs no instant is filtered first: times are read for the rows that are left.
         df = df.where(predicate(replace(q, time_range=None), columns))
         instant = fresh(columns, "__instant")
@@ -176,7 +177,8 @@ def run(df: DataFrame, q: QueryFilter, candidates: DataFrame | None = None, limi
     if candidates is not None:
         ids = candidates.select(strip_dot0(F.col(candidates.columns[0]).cast("string")).alias("__id")).distinct()
         out = out.withColumn("__r", strip_dot0(F.col(f"`{at['record_id']}`").cast("string"))).join(ids, F.col("__r") == F.col("__id"), "left_semi").drop("__r")
-    out = out.orderBy(F.col(f"`{instant}`").asc_nulls_last(), F.col(f"`{at['record_id']}`"))
+    if ordered:
+        out = out.orderBy(F.col(f"`{instant}`").asc_nulls_last(), F.col(f"`{at['record_id']}`"))
     return (out.limit(limit) if limit else out).select(*[F.col(f"`{c}`") for c in columns])
 
 

@@ -47,7 +47,7 @@ def sliding(df: DataFrame, keys: list[str], at_us: str, length_us: int = 600_000
     """One row per (row, window it lies in): ``df`` plus ``window_us`` (start). Windows start at the first event of a key, step by length - overlap, and start anew at the next event wherever a window would be empty.
 
     Where a window can be empty, events are more than a length apart; so anchors change at
-    starts of stretches only, and a fold over a key's stretches finds them all.
+    starts of stretches only, and one pass over a key's stretches in order finds them all.
     """
     if overlap_us >= length_us:
         raise ValueError("the overlap must be shorter than the window")
@@ -55,16 +55,23 @@ def sliding(df: DataFrame, keys: list[str], at_us: str, length_us: int = 600_000
     rows = islands(df.where(F.col(f"`{at_us}`").isNotNull()), keys, at_us, length_us)
     names = [f"__k{i}" for i in range(len(keys))]
     spans = rows.groupBy(*[F.col(f"`{c}`").alias(n) for c, n in zip(keys, names)], "island_us").agg(F.max(at_us).alias("stop"))
-    lists = spans.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("island_us", "stop"))).alias("s"))
-    empty = F.array().cast("array<struct<start:bigint,anchor:bigint>>")
-    begin = F.struct(F.lit(None).cast("bigint").alias("anchor"), F.lit(None).cast("bigint").alias("stop"), empty.alias("out"))
+    spans = spans.repartition(*names).sortWithinPartitions(*names, "island_us")
 
-    def fold(acc: Column, x: Column) -> Column:
-        after = acc["anchor"] + step * (F.floor((acc["stop"] - acc["anchor"]) / step) + 1)  # first window start behind the stretch before
-        anchor = F.when(acc["anchor"].isNull() | (x["island_us"] >= after + length_us), x["island_us"]).otherwise(acc["anchor"])
-        return F.struct(anchor.alias("anchor"), x["stop"].alias("stop"), F.concat(acc["out"], F.array(F.struct(x["island_us"].alias("start"), anchor.alias("anchor")))).alias("out"))
-
-    anchors = lists.select(*names, F.explode(F.aggregate("s", begin, fold, lambda a: a["out"])).alias("a")).select(*names, F.col("a.start").alias("__start"), F.col("a.anchor").alias("__anchor"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, anchor, stop = None, 0, 0
+        for b in batches:
+            found = []
+            for *key, start, end in zip(*[c.to_pylist() for c in b.columns]):
+                # First window start behind the stretch before.
+                after = anchor + step * ((stop - anchor) // step + 1)
+                if key != now or start >= after + length_us:
+                    anchor = start
+                now, stop = key, end
+                found.append(anchor)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.int64())], [*names, "__start", "__anchor"])
+
+    shape = T.StructType([*[T.StructField(n, spans.schema[n].dataType) for n in names], T.StructField("__start", T.LongType()), T.StructField("__anchor", T.LongType())])
+    anchors = spans.mapInArrow(run, shape)
     same = F.col("island_us") == F.col("__start")
     for c, n in zip(keys, names):
         same = same & F.col(f"`{c}`").eqNullSafe(F.col(n))

@@ -20,7 +20,7 @@ from tracewright.plans import pipeline
 from tracewright.plans.pipeline import Pipeline
 from tracewright.plans.tables import table
 from tracewright.schema import CANONICAL, EVENT_DESCRIPTIONS, EVENT_FAMILIES, MASKS
-from tracewright.session import broadcast_if_small, scratch_folder
+from tracewright.session import broadcast_if_small, cut, scratch_folder
 from tracewright.sources import readers, writers
 from tracewright.streaming import incremental
 
@@ -161,7 +161,7 @@ def _(spark, folder):
 @query("candidate_semi_join", "SELECT DISTINCT RecordID, EventID, Channel FROM canonical_logs WHERE lower(LevelName) IN ('2', 'error', 'failure', 'audit failure') AND RecordID IN (SELECT event_record_id FROM template_instances WHERE template_id IN ('tpl_0002', 'tpl_0015'))")
 def _(spark, folder):
     ids = table(spark, folder, "template_instances").where(F.col("template_id").isin("tpl_0002", "tpl_0015")).select("event_record_id")
-    return filters.run(logs(spark, folder), QueryFilter(level="Error"), ids).select(*_SHOWN).distinct()
+    return filters.run(logs(spark, folder), QueryFilter(level="Error"), ids, ordered=False).select(*_SHOWN).distinct()
 
 
 @query("unmapped_anti_join", "SELECT DISTINCT RecordID FROM canonical_logs WHERE RecordID NOT IN (SELECT event_record_id FROM template_instances WHERE event_record_id IS NOT NULL)")
@@ -574,7 +574,8 @@ def _document_sql() -> str:
 
 @query("row_documents", _document_sql())
 def _(spark, folder):
-    return records.documents(logs(spark, folder).distinct()).select("row_id", "text")
+    # Copies go by what comes out, which is shorter than the rows.
+    return records.documents(logs(spark, folder)).select("row_id", "text").distinct()
 
 
 @query("event_summaries")
@@ -656,8 +657,11 @@ _CHOSEN = ["tpl_0002"]
 
 
 def _ask(spark: SparkSession, folder: str):
-    """Whole records, templates as they are, their instances and the entity index: every stage of the way has rows to work on."""
-    return Pipeline(timed(spark, folder), "ts", "RecordID", table(spark, folder, "log_templates"), table(spark, folder, "template_instances"), entity_index(spark, folder)).ask(_QUESTION)
+    """Whole records, templates as they are, their instances and the entity index: every stage of the way has rows to work on.
+
+    The stages look at the records several times, so their instants are worked out once and written down.
+    """
+    return Pipeline(cut(timed(spark, folder)), "ts", "RecordID", table(spark, folder, "log_templates"), table(spark, folder, "template_instances"), entity_index(spark, folder)).ask(_QUESTION)
 
 
 _DIRECT_SQL = f"""direct AS (SELECT *, row_number() OVER (ORDER BY ts, RecordID) AS place FROM (SELECT * FROM records WHERE lower(Channel) = 'security' AND {_PLAIN('EventID')} = '4625' AND ts BETWEEN TIMESTAMP '2014-10-10 00:00:00' AND TIMESTAMP '2014-10-10 23:59:59'
