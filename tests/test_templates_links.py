@@ -140,7 +140,11 @@ def test_latest_start_before(spark):
     rows = [("1", "h", "7", "t1", "4688", None, 1), ("2", "h.x", "7", "t2", "5", None, 2), ("3", "H", "7", "t3", "1", '{"UtcTime": "u3"}', 3), ("4", "h", "7.0", "t4", "5", None, 4), ("5", "g", "7", "t9", "5", None, 9), ("6", "h", "7", "t0", "5", None, 0), ("7", "h", "7", "tx", "5", None, None), ("8", "h", None, "t5", "5", None, 5)]
     df = spark.createDataFrame(rows, "RecordID string, Computer string, ProcessID string, TimeCreated string, EventID string, EventData string, at long")
     got = {r["RecordID"]: r["s"] for r in correlate.with_last_start(df, "at", "s").collect()}
-    assert got == {"1": "t1", "2": "t1", "3": "u3", "4": "u3", "5": None, "6": None, "7": None, "8": None}
+    expected = {"1": "t1", "2": "t1", "3": "u3", "4": "u3", "5": None, "6": None, "7": None, "8": None}
+    assert got == expected
+    for block in (1, 2, 3):  # a start in an earlier block counts as well
+        out = correlate.with_last_start(df.withColumn("__h", F.lit(1)), "at", "s", block)
+        assert out.columns == [*df.columns, "__h", "s"] and {r["RecordID"]: r["s"] for r in out.collect()} == expected
 
 
 def test_windows_labels_and_weights_can_be_set(spark):

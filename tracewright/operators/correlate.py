@@ -26,16 +26,27 @@ ANCHOR_ROWS = 50_000
 STARTS = ["1", "4688"]
 
 
-def with_last_start(df: DataFrame, at_us: str, out: str) -> DataFrame:
+def with_last_start(df: DataFrame, at_us: str, out: str, block_us: int = 3_600_000_000) -> DataFrame:
     """``df`` plus the latest start, not after the row's own instant, of the same process id on the same host, as its record writes it (null: none).
 
-    Hosts are compared in normal form and times as instants; of starts at one instant the greater text wins.
+    Hosts are compared in normal form and times as instants; of starts at one instant the
+    greater text wins. Rows are looked at per (host, process id, time block); what a block
+    does not know itself is the last start of the blocks before, of which a process has few.
     """
     at = {k: F.col(f"`{c}`") for k, c in resolve_columns(df.columns).items()}
+    h, p, b, s, before = (fresh(df.columns, n) for n in ("__h", "__p", "__b", "__s", "__before"))
+    t = F.col(f"`{at_us}`")
     begun = F.coalesce(payload.field(at["event_data"], "UtcTime"), at["time"])
-    start = F.when(strip_dot0(at["event_id"]).isin(STARTS), F.struct(F.col(f"`{at_us}`").alias("t"), begun.alias("text")))
-    w = Window.partitionBy(host_form(at["computer"]), strip_dot0(at["process_id"])).orderBy(F.col(f"`{at_us}`")).rangeBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.when(F.col(f"`{at_us}`").isNotNull() & strip_dot0(at["process_id"]).isNotNull(), F.max(start).over(w)["text"]))
+    start = F.when(strip_dot0(at["event_id"]).isin(STARTS) & t.isNotNull(), F.struct(t.alias("t"), begun.alias("text")))
+    rows = df.withColumns({h: host_form(at["computer"]), p: strip_dot0(at["process_id"]), b: F.floor(t / block_us), s: start})
+    ends = rows.where(F.col(b).isNotNull() & F.col(p).isNotNull()).groupBy(h, p, b).agg(F.max(s).alias(s))
+    earlier = Window.partitionBy(h, p).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [fresh(df.columns, n) for n in ("__h2", "__p2", "__b2")]
+    known = ends.withColumn(before, F.max(s).over(earlier)).where(F.col(before).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip((h, p, b), keys)], before)
+    rows = rows.join(known, F.col(h).eqNullSafe(F.col(keys[0])) & (F.col(p) == F.col(keys[1])) & (F.col(b) == F.col(keys[2])), "left")
+    within = Window.partitionBy(h, p, b).orderBy(t).rangeBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(F.max(s).over(within), F.col(before))["text"]
+    return rows.withColumn(out, F.when(t.isNotNull() & F.col(p).isNotNull(), last)).drop(h, p, b, s, before, *keys)
 
 
 #: A rule: window in seconds, or (window, label, weight).
@@ -151,6 +162,10 @@ def linked_to(index: DataFrame, anchor: str, overrides: dict[str, Rule] | None =
     return out.orderBy(F.desc("confidence_weight"), F.abs("delta_s"), "event_record_id").limit(limit).select("event_record_id", "source_type", "event_id", "entity_type", "entity_value", "confidence", "confidence_weight", "delta_s", "time_delta", "relation")
 
 
+#: Parts of a window that the counts of an entity are cut into.
+PARTS = 12
+
+
 def link_counts(index: DataFrame, types: list[str], overrides: dict[str, Rule] | None = None) -> DataFrame:
     """(event_record_id, entity_type, entity_value, n_linked): for every record, how many other records of the entity lie within its window.
 
@@ -167,7 +182,7 @@ def link_counts(index: DataFrame, types: list[str], overrides: dict[str, Rule] |
     point = lambda at, side, sign: F.struct(at.alias("at"), F.lit(side).alias("side"), F.lit(sign).alias("sign"))
     # At one time: lower ends first, then the rows themselves, then upper ends; so both ends are inclusive.
     points = F.array(point(F.col("t_us") - F.col("w"), 0, -1), point(F.col("t_us"), 1, 0), point(F.col("t_us") + F.col("w"), 2, 1))
-    p = rows.withColumn("p", F.explode(points)).select(*key, *row, "p.at", "p.side", "p.sign", F.floor(F.col("p.at") / F.greatest(F.col("w"), F.lit(1))).alias("block"))
+    p = rows.withColumn("p", F.explode(points)).select(*key, *row, "p.at", "p.side", "p.sign", F.floor(F.col("p.at") / F.greatest(F.floor(F.col("w") / PARTS), F.lit(1))).alias("block"))
     is_row = F.when(F.col("sign") == 0, 1).otherwise(0)
     run = Window.partitionBy(*key, "block").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -113,7 +113,7 @@ MASKS = [
     (r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?\b", "<TIME>"),
 ]
 
-#: Logical name -> spellings of a column (compared without ``_``, ``-``, ``.``, blanks and case), best first.
+# Logical name -> spellings of a column (compared without ``_``, ``-``, ``.``, blanks and case), best first.
 ALIASES = {
     "record_id": ["RecordID", "EventRecordID", "event_record_id"],
     "time": ["TimeCreated", "time_created_utc", "SystemTime", "timestamp"],
