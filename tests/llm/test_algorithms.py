@@ -171,3 +171,27 @@ def test_runs_equal_brute_force(spark, block):
 def test_runs_of_nothing(spark):
     df = spark.createDataFrame([], "e string, t long, l long, r string")
     assert runs.runs(df, F.col("e"), "t", F.col("r").cast("long"), F.col("l"), "r", 5).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 40, 10**6])
+def test_near_identical_texts_stay_together(spark, block):
+    r = random.Random(block)
+    words = ["refused", "logon", "of", "user", "x1", "x2", "from"]
+    rows = [(r.choice(["hot", "hot", "b"]), i // 2, str(i), r.choice([7, 7, 7, None, 9]), r.choice([None, "", *[" ".join(r.sample(words, r.choice([2, 3, 4]))) for _ in range(5)]])) for i in range(260)]
+    df = spark.createDataFrame(rows + rows[:20], "e string, t long, r string, l long, x string")
+    out = runs.runs(df, F.col("e"), "t", F.col("r").cast("long"), F.col("l"), "r", 5, 2, block_us=block, text=F.col("x"))
+    got = {(x["first_record"], x["last_record"], x["n_records"], x["duration_us"]) for x in out.collect()}
+    expected = set()
+    for e in ("hot", "b"):
+        mine, run = sorted((x for x in rows if x[0] == e), key=lambda x: (x[1], int(x[2]))), []
+        for x in [*mine, None]:
+            if run and x is not None:
+                a, b = set((run[-1][4] or "").lower().split()), set((x[4] or "").lower().split())
+                d = 1 - len(a & b) / len(a | b) if a | b else 0.0
+                if x[3] is not None and x[3] == run[-1][3] and x[1] - run[-1][1] <= 5 and d <= 0.5:
+                    run.append(x)
+                    continue
+            if len(run) >= 2:
+                expected.add((run[0][2], run[-1][2], len(run), run[-1][1] - run[0][1]))
+            run = [x]
+    assert got == expected and len(got) > 5
