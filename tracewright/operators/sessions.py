@@ -42,13 +42,20 @@ def _sweep(df: DataFrame, by: list[str], opens: str, closes: Column) -> DataFram
     return swept.withColumn("since", F.max(F.when(starts, F.col("at"))).over(w)).where("delta = 1").drop("at", "delta", "open")
 
 
-def sessions(df: DataFrame, keys: list[str], at_us: str, gap_us: int, counted: str) -> DataFrame:
-    """``keys``, start_us, end_us, n_records: maximal stretches without a pause over ``gap_us``; ``n_records`` counts distinct ``counted``."""
+def sessions(df: DataFrame, keys: list[str], at_us: str, gap_us: int, counted: str, sample: DataFrame | None = None) -> DataFrame:
+    """``keys``, start_us, end_us, n_records: maximal stretches without a pause over ``gap_us``; ``n_records`` counts distinct ``counted``.
+
+    ``sample``: rows like those of ``df`` in which to look for cells of very many rows.
+    """
     width = gap_us + 1  # times are whole, so two of one cell are at most one gap apart
     k = [f"k{i}" for i in range(len(keys))]
-    e = df.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(at_us).alias("t"), F.col(counted).cast("string").alias("id")).dropna(subset=k)
-    e = e.dropna(subset=["t"]).withColumn("cell", F.floor(F.col("t") / width))
-    salted = with_salt(e, [*k, "cell"], F.col("id"), None, "salt")
+
+    def cut_up(rows: DataFrame) -> DataFrame:
+        e = rows.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(at_us).alias("t"), F.col(counted).cast("string").alias("id"))
+        return e.dropna(subset=[*k, "t"]).withColumn("cell", F.floor(F.col("t") / width))
+
+    e = cut_up(df)
+    salted = with_salt(e, [*k, "cell"], F.col("id"), None, "salt", None if sample is None else cut_up(sample))
     parts = salted.groupBy(*k, "cell", "salt").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.count_distinct("id").alias("n"))
     # Parts go straight to where their key is swept: salts of a cell are merged there.
     cells = parts.repartition(*k).groupBy(*k, "cell").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"))
