@@ -44,13 +44,15 @@ def default_share(spark: SparkSession) -> float:
     return 1.0 / max(LEAST_PARTS, 2 * parallelism(spark))
 
 
-def with_salt(df: DataFrame, keys: list[str], spread: Column, share: float | None, salt: str) -> DataFrame:
+def with_salt(df: DataFrame, keys: list[str], spread: Column, share: float | None, salt: str, sample: DataFrame | None = None) -> DataFrame:
     """``df`` plus ``salt``: 0 for ordinary keys, else a hash of ``spread`` below the key's number of salts.
 
-    Heavy keys are looked for in a sample of the rows. Which keys count as heavy decides how
+    Heavy keys are looked for in a sample of the rows: ``sample``, if the caller has one that
+    costs less than to draw from ``df``. Which keys count as heavy decides how
     the work is spread, never a result: salts depend on key and ``spread`` alone.
     """
-    heavy = heavy_keys(df.select(*keys).sample(SAMPLE, seed=7), keys, share or default_share(df.sparkSession))
+    few = df.select(*keys).sample(SAMPLE, seed=7) if sample is None else sample.select(*keys)
+    heavy = heavy_keys(few, keys, share or default_share(df.sparkSession))
     names = {k: fresh(df.columns, f"__{i}k") for i, k in enumerate(keys)}
     n = fresh(df.columns, "__n")
     heavy = heavy.toDF(*[names[k] for k in keys], n)
@@ -59,13 +61,13 @@ def with_salt(df: DataFrame, keys: list[str], spread: Column, share: float | Non
     return salted.drop(n, *names.values())
 
 
-def salted_distinct(df: DataFrame, keys: list[str], per: list[str], counted: str, out: str, share: float | None = None) -> DataFrame:
-    """Number of distinct, non-null ``counted`` for each ``keys + per``; ``keys`` are those that may be heavy.
+def salted_distinct(df: DataFrame, keys: list[str], per: list[str], counted: str, out: str, share: float | None = None, sample: DataFrame | None = None) -> DataFrame:
+    """Number of distinct, non-null ``counted`` for each ``keys + per``; ``keys`` are those that may be heavy (``sample``: see :func:`with_salt`).
 
     An empty input gives an empty table; null keys form a group of their own; repeated rows count once.
     """
     salt = fresh(df.columns, "__salt")
-    s = with_salt(df.select(*keys, *per, counted), keys, F.col(counted), share, salt)
+    s = with_salt(df.select(*keys, *per, counted), keys, F.col(counted), share, salt, sample)
     partial = s.groupBy(*keys, *per, salt).agg(F.count_distinct(counted).alias(out))
     return partial.groupBy(*keys, *per).agg(F.sum(out).alias(out))
 

@@ -22,12 +22,13 @@ def p2_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     e = entity_rows(spark, folder).withColumn("day_utc", F.date_from_unix_date(F.floor(F.col("t_us") / 86_400_000_000).cast("int")).cast("string"))
-    return salted.salted_distinct(e, ["entity_type", "entity_value"], ["day_utc"], "event_record_id", "n_records").where("day_utc is not null and n_records >= 5")
+    return salted.salted_distinct(e, ["entity_type", "entity_value"], ["day_utc"], "event_record_id", "n_records", sample=entity_rows(spark, folder, salted.SAMPLE)).where("day_utc is not null and n_records >= 5")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    e = entity_rows(spark, folder).where(F.col("entity_type").isin("user_id", "computer"))
-    return sessions.sessions(e, ["entity_type", "entity_value"], "t_us", SESSION_GAP_US, "event_record_id")
+    wanted = F.col("entity_type").isin("user_id", "computer")
+    few = entity_rows(spark, folder, salted.SAMPLE).where(wanted)
+    return sessions.sessions(entity_rows(spark, folder).where(wanted), ["entity_type", "entity_value"], "t_us", SESSION_GAP_US, "event_record_id", few)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
