@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tracewright.session import cut
+
+_TERM = re.compile("[a-z0-9]+")
 #: Bytes of query vectors that one pass holds; more queries are searched in blocks.
 QUERY_BYTES = 64_000_000
 
@@ -245,15 +248,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _is(term: str):
-    return lambda t: t == F.lit(term)
+def occurrences(lowered: Column, term: str) -> Column:
+    """How often a lower-case text has a term as a whole token; texts without it are not searched token by token."""
+    if not _TERM.fullmatch(term):
+        return F.lit(0)
+    return F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))).otherwise(0)
 
 
 def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) of documents with any of the terms. Counts cover all documents with text; nothing is exploded but the terms found."""
+    """(doc_id, score) of documents with any of the terms. Counts cover all documents with text; no token is listed."""
     terms = sorted(set(terms))
-    d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id), tokens(F.col(text)).alias("w"))
-    d = d.select(doc_id, F.size("w").alias("len"), *[F.size(F.filter("w", _is(x))).alias(f"tf{i}") for i, x in enumerate(terms)])
+    d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.lower(F.col(text)).alias("t"))
+    d = d.select(doc_id, F.regexp_count("t", F.lit("[a-z0-9]+")).alias("len"), *[occurrences(F.col("t"), x).alias(f"tf{i}") for i, x in enumerate(terms)])
+    d = cut(d)  # texts are read once; what is kept of each is a few numbers
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -265,7 +272,7 @@ def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], k1: float =
 
 
 def _average_length(docs: DataFrame, text: str) -> float:
-    return docs.where(F.col(text).isNotNull()).agg(F.avg(F.size(tokens(F.col(text))))).first()[0] or 1.0
+    return docs.where(F.col(text).isNotNull()).agg(F.avg(F.regexp_count(F.lower(F.col(text)), F.lit("[a-z0-9]+")))).first()[0] or 1.0
 
 
 def sparse(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -290,9 +297,6 @@ def sparse(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return lowered.mapInArrow(run, f"`{doc_id}` {kind}, term string, weight double")
 
 
-_TERM = re.compile("[a-z0-9]+")
-
-
 def weights_of(lowered: str, average: float, k1: float = 1.5, b: float = 0.75) -> dict[str, float]:
     """Weight of each term of a lower-case text."""
     found = _TERM.findall(lowered)
