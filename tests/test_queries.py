@@ -34,3 +34,19 @@ def test_entry_point(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns
+
+
+def test_no_record_with_an_instant_is_out_of_every_range(spark, data):
+    from tracewright.operators import filters
+    from tracewright.operators.filters import QueryFilter, TimeRange
+    from tracewright.plans import base
+    from tracewright.plans.tables import table
+
+    timed = base.records(spark, data)
+    wanted = {r[0] for r in timed.where("t_us is not null").select("RecordID").collect()}
+    df = base.logs(spark, data).distinct()
+    got = filters.run(df, QueryFilter(time_range=TimeRange("1990-01-01T00:00:00Z", "2090-01-01T00:00:00+00:00")), zones=table(spark, data, "host_zones"))
+    assert got.columns == df.columns and {r[0] for r in got.select("RecordID").collect()} == wanted and len(wanted) > 400
+    assert filters.run(df, QueryFilter(), zones=table(spark, data, "host_zones")).count() == df.count()
+    with pytest.raises(ValueError):
+        filters.predicate(QueryFilter(time_range=TimeRange("1990-01-01T00:00:00Z", "2090-01-01T00:00:00Z")), df.columns)

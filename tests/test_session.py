@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from tracewright.session import checkpoint_root, cut, ensure_checkpoint_dir
+from tracewright.session import broadcast_if_small, checkpoint_root, cut, ensure_checkpoint_dir
 
 
 def test_only_a_local_master_goes_without_a_shared_folder():
@@ -29,3 +29,10 @@ def test_checkpoints_are_removed_when_nothing_needs_them(spark):
         if not kept & set(os.listdir(root)):
             break
     assert not kept & set(os.listdir(root))
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) AS t", "CAST(NULL AS string) AS u")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(broadcast_if_small(df, 100)) and not hinted(broadcast_if_small(df, 99)) and not hinted(broadcast_if_small(df, 100, 100_000))
+    assert hinted(broadcast_if_small(df.limit(0), 1))

@@ -221,13 +221,23 @@ def walk(texts: DataFrame, clusters: DataFrame | None = None, settings: Settings
     return walked.where("is_text").select("channel", "masked", "opener", "opened"), walked.where("not is_text").drop("is_text", "masked")
 
 
+def _text_key(masked: Column) -> list[Column]:
+    """128 bits that stand for a text where rows are moved."""
+    return [F.xxhash64(masked).alias("__h1"), F.xxhash64(F.lit(1), masked).alias("__h2")]
+
+
 def mine(records: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``records`` (as from :func:`prepared`) plus cluster (number within the channel, by first appearance) and template_string."""
+    """``records`` (as from :func:`prepared`, exact copies once) plus cluster (number within the channel, by first appearance) and template_string, without the masked text.
+
+    Texts are moved once, to their tree. Records find their cluster by a key of the text.
+    """
     found, clusters = walk(records.groupBy("channel", "masked").agg(F.min("seq").alias("first")), None, settings)
     numbered = numbered_within(clusters.select("channel", "opener", "opened", "template_string"), "channel", ["opened", "opener"], "cluster").drop("opened")
-    found = found.drop("opened").join(numbered, ["channel", "opener"]).drop("opener")
+    found = found.join(numbered.drop("template_string"), ["channel", "opener"]).select("channel", *_text_key(F.col("masked")), "cluster")
+    small = records.select(*[c for c in records.columns if c != "masked"], *_text_key(F.col("masked")))
     # A frequent text is the hottest key of a log: where the texts are few they go to the records.
-    return records.join(broadcast_if_small(found, BROADCAST_TEXTS), ["channel", "masked"])
+    mined = small.join(broadcast_if_small(found, BROADCAST_TEXTS), ["channel", "__h1", "__h2"]).drop("__h1", "__h2").distinct()
+    return mined.join(broadcast_if_small(numbered.select("channel", "cluster", "template_string"), BROADCAST_TEXTS), ["channel", "cluster"])
 
 
 def signatures(records: DataFrame) -> DataFrame:

@@ -340,10 +340,17 @@ def _(spark, folder):
     return logs(spark, folder).where("Message is not null").select(text.mask(text.collapse(F.col("Message"))).alias("masked")).groupBy("masked").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _prepared(spark: SparkSession, folder: str, payload_too: bool = False) -> DataFrame:
-    """Messages of all records, and payloads where asked for, exact copies once; the sequence is the numeric record id."""
-    df = logs(spark, folder).select("RecordID", "TimeCreated", "EventID", "LevelName", "Channel", "Provider", "Message", *["EventData"] * payload_too).distinct()
-    return templates.prepared(df, integer_form(F.col("RecordID")), payload_too=payload_too)
+_MINED_COLUMNS = ["RecordID", "TimeCreated", "EventID", "LevelName", "Channel", "Provider", "Message"]
+
+
+def _prepared(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages of all records, exact copies once; the sequence is the numeric record id."""
+    return templates.prepared(logs(spark, folder).select(*_MINED_COLUMNS).distinct(), integer_form(F.col("RecordID")), payload_too=False)
+
+
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages and payloads of all records; mining itself counts copies once, without moving the payloads for that."""
+    return templates.prepared(logs(spark, folder).select(*_MINED_COLUMNS, "EventData"), integer_form(F.col("RecordID")))
 
 
 _WIDE = lambda c: f"CASE WHEN {c} IS NULL OR lower(trim({c})) IN {_WORDS} THEN NULL ELSE trim({c}) END"
@@ -388,12 +395,12 @@ def _(spark, folder):
 
 @query("drain_templates")
 def _(spark, folder):
-    return templates.rollup(templates.mine(_prepared(spark, folder, payload_too=True)))
+    return templates.rollup(templates.mine(_whole(spark, folder)))
 
 
 @query("drain_instances")
 def _(spark, folder):
-    return templates.instances(templates.mine(_prepared(spark, folder, payload_too=True)))
+    return templates.instances(templates.mine(_whole(spark, folder)))
 
 
 _WILD = r"<\*>|<[A-Z]+>"
@@ -651,9 +658,9 @@ def _(spark, folder):
 # The whole way from a question to an audit row.
 
 
-_QUESTION = "what happened after the failed logon on 2014-10-10"
-# Templates of event 4625: the only ones that the question's event and channel allow.
-_CHOSEN = ["tpl_0002"]
+_QUESTION = "what happened after the successful logon on 2014-10-06"
+# Templates of event 4624: the only ones that the question's event and channel allow.
+_CHOSEN = ["tpl_0001"]
 
 
 def _ask(spark: SparkSession, folder: str):
@@ -664,8 +671,8 @@ def _ask(spark: SparkSession, folder: str):
     return Pipeline(cut(timed(spark, folder)), "ts", "RecordID", table(spark, folder, "log_templates"), table(spark, folder, "template_instances"), entity_index(spark, folder)).ask(_QUESTION)
 
 
-_DIRECT_SQL = f"""direct AS (SELECT *, row_number() OVER (ORDER BY ts, RecordID) AS place FROM (SELECT * FROM records WHERE lower(Channel) = 'security' AND {_PLAIN('EventID')} = '4625' AND ts BETWEEN TIMESTAMP '2014-10-10 00:00:00' AND TIMESTAMP '2014-10-10 23:59:59'
-  AND RecordID IN (SELECT event_record_id FROM template_instances WHERE template_id IN ('tpl_0002')) ORDER BY ts, RecordID LIMIT 50))"""
+_DIRECT_SQL = f"""direct AS (SELECT *, row_number() OVER (ORDER BY ts, RecordID) AS place FROM (SELECT * FROM records WHERE lower(Channel) = 'security' AND {_PLAIN('EventID')} = '4624' AND ts BETWEEN TIMESTAMP '2014-10-06 00:00:00' AND TIMESTAMP '2014-10-06 23:59:59'
+  AND RecordID IN (SELECT event_record_id FROM template_instances WHERE template_id IN ('tpl_0001')) ORDER BY ts, RecordID LIMIT 50))"""
 _RULES_SQL = "rules(entity_type, window_s, w) AS (VALUES ('logon_id', 43200, 1.0), ('activity_id', 43200, 1.0), ('user_id', 14400, 0.8), ('ip_address', 3600, 0.6), ('process_id_disambiguated', 43200, 1.0), ('process_id', 300, 0.3), ('thread_id', 300, 0.2), ('computer', 86400, 0.1))"
 _FOUND_SQL = f"""{RECORDS_SQL}, {INDEX_SQL}, {_RULES_SQL}, {_DIRECT_SQL},
 anchor AS (SELECT RecordID AS r FROM direct WHERE place = 1),
@@ -694,8 +701,9 @@ def _context_sql() -> str:
     return f"""WITH {_FOUND_SQL},
 lines AS (SELECT i, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t, {line} || coalesce(' [Correlation: Δt=' || time_delta || ', Confidence=' || l.confidence || ', Reason=' || relation || ']', '') AS line FROM shown LEFT JOIN links l ON RecordID = l.event_record_id),
 blocks AS (SELECT i // 15 AS b, '--- BATCH ' || (i // 15 + 1) || ' OF ' || ((SELECT count(*) - 1 FROM shown) // 15 + 1) || ' (Chronological Window: ' || arg_min(t, i) || ' -> ' || arg_max(t, i) || ' UTC) ---' || chr(10) || '{pipeline.SCHEMA_LINE}' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text FROM lines GROUP BY i // 15),
-all_blocks AS (SELECT -1 AS b, '{pipeline.SUMMARY_LINE}' || chr(10) || string_agg('- Template `' || template_id || '`: Total Occurrences=' || {number('total_count')} || ' (First Seen: ' || first_seen_utc || ', Last Seen: ' || last_seen_utc || ') | Pattern: "' || template_string || '"', chr(10) ORDER BY template_id) AS text FROM log_templates WHERE template_id IN ('tpl_0002') AND (SELECT count(*) FROM shown) > 0 HAVING count(*) > 0
+all_blocks AS (SELECT -1 AS b, '{pipeline.SUMMARY_LINE}' || chr(10) || string_agg('- Template `' || template_id || '`: Total Occurrences=' || {number('total_count')} || ' (First Seen: ' || first_seen_utc || ', Last Seen: ' || last_seen_utc || ') | Pattern: "' || template_string || '"', chr(10) ORDER BY template_id) AS text FROM log_templates WHERE template_id IN ('tpl_0001') AND (SELECT count(*) FROM shown) > 0 HAVING count(*) > 0
   UNION ALL SELECT b, text FROM blocks
+  UNION ALL SELECT 0, {" || chr(10) || ".join(f"'{x}'" for x in pipeline.EMPTY_CONTEXT.splitlines())} WHERE NOT EXISTS (FROM shown)
   UNION ALL SELECT 999, replace(replace('{pipeline.CAP_NOTE.replace("{:,}", "#").replace("{}", "@")}', '@', CAST((SELECT count(*) FROM shown) AS VARCHAR)), '#', {number('(SELECT count(*) FROM wanted)')}) FROM (SELECT count(*) AS n FROM wanted) WHERE n > (SELECT count(*) FROM shown))
 SELECT CAST(row_number() OVER (ORDER BY b) - 1 AS INTEGER) AS batch, text FROM all_blocks"""
 
@@ -706,7 +714,7 @@ def _(spark, folder):
 
 
 @query("pipeline_audit", f"""WITH {_FOUND_SQL}
-SELECT '{_QUESTION}' AS user_query, 'correlation' AS intent, 'tpl_0002' AS template_ids, coalesce((SELECT string_agg(RecordID, ',' ORDER BY place) FROM direct), '') AS direct_record_ids, coalesce((SELECT string_agg(event_record_id, ',' ORDER BY place) FROM links), '') AS correlated_record_ids,
+SELECT '{_QUESTION}' AS user_query, 'correlation' AS intent, 'tpl_0001' AS template_ids, coalesce((SELECT string_agg(RecordID, ',' ORDER BY place) FROM direct), '') AS direct_record_ids, coalesce((SELECT string_agg(event_record_id, ',' ORDER BY place) FROM links), '') AS correlated_record_ids,
   CAST((SELECT count(*) FROM wanted) AS BIGINT) AS n_final, CAST(least(5, (SELECT count(*) FROM shown)) AS BIGINT) AS n_citations, 'mock' AS backend""")
 def _(spark, folder):
     a = _ask(spark, folder).audit

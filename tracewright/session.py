@@ -56,12 +56,19 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if a bounded look shows at most ``max_rows`` rows; else leave the join to the planner.
+#: Bytes of text and values that a hinted broadcast may have, about.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if a bounded look shows at most ``max_rows`` rows of ``max_bytes`` in all; else leave the join to the planner.
 
     The look stops after ``max_rows + 1`` rows, so it costs no full scan of a large side.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    width = sum(texts, F.lit(16 * len(df.columns)))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def fresh(columns: list[str], wanted: str) -> str:
